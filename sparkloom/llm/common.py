@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,12 +42,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more."""
+        """Deletes tables that nothing reads any more, and lets Spark drop the shuffle files behind them."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             where = jvm.org.apache.hadoop.fs.Path(self.path(name))
             where.getFileSystem(conf).delete(where, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def crc_fold(column: str, folds: int) -> Column:

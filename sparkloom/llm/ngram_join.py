@@ -23,7 +23,6 @@ Repeated doc_ids are taken as one document per row that share an id.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +35,7 @@ from pyspark.sql.types import LongType
 
 from sparkloom.llm.common import Scratch
 from sparkloom.llm.components import components
-from sparkloom.llm.shingles import mix, shingle_set
+from sparkloom.llm.shingles import mix, shingle_sets
 
 #: Similarity as a fraction.
 OVER, UNDER = 75, 100
@@ -87,9 +86,8 @@ def frequency_order(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                buckets = _buckets(shingle_set(text))
-                np.add.at(counts, buckets, 1) if len(buckets) < 4096 else np.add(counts, np.bincount(buckets, minlength=len(counts)), out=counts, casting="unsafe")
+            for _, shingles in shingle_sets(batch.column(0).to_pylist()):
+                np.add.at(counts, _buckets(shingles), np.uint32(1))
         yield pa.RecordBatch.from_pydict({"counts": [zlib.compress(counts.astype("<u8").tobytes(), 1)]})
 
     parts = docs.select("text").mapInArrow(count, "counts binary")
@@ -100,10 +98,9 @@ def frequency_order(docs: DataFrame) -> np.ndarray:
     return np.minimum(255, np.round(16 * np.log2(1 + total))).astype(np.uint8)
 
 
-def _ordered(shingles: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Sorted tokens: 8 bits of frequency above 56 bits of the shingle."""
-    low = mix(shingles) & np.uint64((1 << 56) - 1)
-    return np.sort((order[_buckets(shingles)].astype(np.uint64) << np.uint64(56)) | low)
+def _tokens(shingles: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """8 bits of frequency above 56 bits of the shingle: their order is rare first."""
+    return (frequency.astype(np.uint64) << np.uint64(56)) | (mix(shingles) & np.uint64((1 << 56) - 1))
 
 
 def _salts(tokens: np.ndarray) -> np.ndarray:
@@ -120,25 +117,31 @@ def profiles(spark: SparkSession, docs: DataFrame, order: np.ndarray) -> DataFra
     shared = spark.sparkContext.broadcast(order)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = shared.value, set()
+        order, seen = shared.value, set()
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shingles = shingle_set(text)
-                n = len(shingles)
-                with np.errstate(over="ignore"):
-                    high = int(np.bitwise_xor.reduce(mix(shingles + np.uint64(1))) if n else 0) ^ n
-                    low = int(np.add.reduce(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5))) if n else 0)
-                tokens = None
-                central = 0
-                if n and (high, low) not in seen and doc is not None:
-                    seen.add((high, low))
-                    ordered = _ordered(shingles, own)
-                    central = int(own[_buckets(shingles)].mean() / 4)
-                    tokens = ordered[: prefix_length(n)].tobytes()
-                for column, value in zip(rows, (doc, n, high - (high >> 63 << 64), low - (low >> 63 << 64), tokens, central), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], ["doc_id", "n_shingles", "high", "low", "tokens", "centrality"])
+            ids, at = batch.column(0), 0
+            for n, shingles in shingle_sets(batch.column(1).to_pylist()):
+                own = ids.slice(at, len(n))
+                at += len(n)
+                starts = np.minimum(np.cumsum(n) - n, max(0, len(shingles) - 1))
+                empty = n == 0
+                high, low, central = (np.zeros(len(n), dtype=x) for x in (np.uint64, np.uint64, np.int32))
+                tokens = np.zeros(0, dtype=np.uint64)
+                if len(shingles):
+                    frequency = order[_buckets(shingles)]
+                    high = np.where(empty, 0, np.bitwise_xor.reduceat(mix(shingles + np.uint64(1)), starts)).astype(np.uint64)
+                    low = np.where(empty, 0, np.add.reduceat(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)).astype(np.uint64)
+                    central = np.where(empty, 0, np.add.reduceat(frequency.astype(np.int64), starts) // np.maximum(n, 1) // 4).astype(np.int32)
+                    tokens = _tokens(shingles, frequency)
+                prefixes: list[bytes | None] = []
+                for doc, size, start, key in zip(own.to_pylist(), n.tolist(), starts.tolist(), zip(high.tolist(), low.tolist(), strict=True), strict=True):
+                    if not size or doc is None or key in seen:
+                        prefixes.append(None)
+                    else:
+                        seen.add(key)
+                        prefixes.append(np.sort(tokens[start : start + size])[: prefix_length(size)].tobytes())
+                columns = [own, pa.array(n), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(prefixes, pa.binary()), pa.array(central)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "high", "low", "tokens", "centrality"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(profile, PROFILE)
 
@@ -228,8 +231,12 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            at = 0
+            for n, shingles in shingle_sets(batch.column(1).to_pylist()):
+                cuts = np.append(0, np.cumsum(n)).tolist()
+                sets = [shingles[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                at += len(n)
 
     return _only(docs.select(F.col("doc_id").cast("bigint"), "text"), ids).mapInArrow(of, "doc_id bigint, shingles binary").dropDuplicates(["doc_id"])
 
@@ -291,13 +298,15 @@ def _products(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) ->
 def join(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs (doc_id, text)."""
     profile = scratch.write(profiles(spark, docs, frequency_order(docs)), "profiles")
-    digest = profile.where("n_shingles > 0 and doc_id is not null").select("doc_id", "high", "low", "n_shingles")
+    sizes = scratch.write(profile.select("doc_id", "high", "low", "n_shingles"), "sizes")
+    digest = sizes.where("n_shingles > 0 and doc_id is not null")
     first = digest.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("v"))
     copies = digest.join(first, ["high", "low", "n_shingles"]).select(F.col("doc_id").alias("u"), "v")
 
     entries = profile.where("tokens is not null").select("doc_id", "n_shingles", "tokens", "centrality").mapInArrow(_entries, "key bigint, doc_id bigint, info bigint")
     lists = _with_heads(entries.selectExpr("key", "doc_id", *_FIELDS), "key").where("members > 1 or salt > 0")
     lists = scratch.write(lists.withColumn("token", F.when(F.col("salt") > 0, _unsalted("key", "doc_id", "salt")).otherwise(F.col("key"))), "lists")
+    scratch.drop("profiles")
     # Heads of the groups of a salted list meet by its token.
     heads = lists.where("salt > 0 and doc_id = head.doc").select("token", "doc_id", "central", "n", "pos", "salt")
     pairs = scratch.write(_star(lists).unionByName(_star(_with_heads(heads, "token"))).distinct(), "pairs")
@@ -311,9 +320,10 @@ def join(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
     stars = scratch.write(components(edges, scratch, "stars"), "components")
 
     more = _across(docs, lists, stars, scratch)
+    scratch.drop("lists")
     joined = stars.selectExpr("node as u", "component as v").unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     ends = components(joined, scratch, "ends")
-    return profile.join(ends, profile["doc_id"] == ends["node"], "left").select(profile["doc_id"], "n_shingles", F.coalesce("component", profile["doc_id"]).alias("component_id"))
+    return sizes.join(ends, sizes["doc_id"] == ends["node"], "left").select(sizes["doc_id"], "n_shingles", F.coalesce("component", sizes["doc_id"]).alias("component_id"))
 
 
 def _across(docs: DataFrame, lists: DataFrame, stars: DataFrame, scratch: Scratch) -> DataFrame:
