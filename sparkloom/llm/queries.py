@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import lang_id, ngram_join, quality
+from sparkloom.llm import lang_id, mixing, ngram_join, pieces, quality
 from sparkloom.llm.common import Scratch, crc_fold, read
 
+#: The folder of the public tokenizers' files.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+BYTE_BPE, PIECE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op2"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.sizes(read(spark, sf_dir, "documents"))
+    taken = mixing.copies(spark, sized, Scratch(spark, "op3"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     measured, model = quality.measure_and_fit(spark, docs, read(spark, sf_dir, "labels"), Scratch(spark, "op6"), crc_fold("doc_id", 5) != 0)
@@ -20,6 +32,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(docs, PIECE_BPE).select("doc_id", "pieces.*")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = lang_id.train(docs.where(crc_fold("doc_id", 4) != 2))
@@ -29,7 +46,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
+    "op3_mixing": op3_mixing,
     "op6_quality": op6_quality,
+    "op9_pieces": op9_pieces,
     "op10_language_id": op10_language_id,
 }
 #: None of the queries above can be expressed in DuckDB's SQL within reason; tests/llm holds brute-force versions.
