@@ -1,22 +1,23 @@
 """Byte-level BPE ids of whole texts, by the tokenizers library, word by word.
 
-Splitting at a single space between two characters that are not white space never changes the ids, because the
-byte-level pattern starts a new word there.  So each task hands the library only words it has not met lately
-(a bounded cache) and joins their ids.  Texts with other white space at a cut, or with the string of a
-special token, go to the library whole or in the longer parts that keep this true.
+A single space or line feed between two characters that are not white space always begins a new word of the
+byte-level pattern (the space belongs to the word after it, the line feed stands alone), so cutting there never
+changes the ids.  Each task hands the library only words that its process has not met lately (a bounded cache)
+and joins their ids.  Texts with other white space at a cut, or with the string of a special token that is
+not taken as text, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 
-#: Words and characters that a task keeps before it starts anew.
-WORDS_KEPT, CHARACTERS_KEPT = 500_000, 16 << 20
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Words and characters that a process keeps before it starts anew.
+WORDS_KEPT, CHARACTERS_KEPT = 900_000, 24 << 20
 
 
 class _Places(dict):
@@ -39,27 +40,51 @@ class ByteTokens:
         self.library = Tokenizer.from_file(tokenizer_file)
         self.library.encode_special_tokens = special_as_text
         self.specials = [] if special_as_text else [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.vocabulary = self.library.get_vocab_size()
-        self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
+        self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        self._line_feed = self._bytes(["\n"])[0]
         self._forget()
 
     def _forget(self) -> None:
         self.places, self.ids, self.characters = _Places(), [], 0
 
     def _bytes(self, parts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(parts, add_special_tokens=False) if parts else []
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        code = self._code
+        return [array(code, e.ids).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)] if parts else []
 
     def _learn(self) -> None:
-        """Ids of the new words, each with the space before it; None where a cut beside the word isn't safe."""
+        """Ids of the new words, each with the space before it; None where a cut beside the word isn't safe.
+
+        A word may hold single line feeds between its other characters: what is before and after each is known
+        to be cut there, and its first part alone follows a space.
+        """
         new, self.places.new = self.places.new, []
-        safe = [bool(w) and not w[0].isspace() and not w[-1].isspace() for w in new]
-        found = iter(self._bytes([" " + w for w, ok in zip(new, safe, strict=True) if ok]))
-        self.ids.extend([next(found) if ok else None for ok in safe])
         self.characters += sum(map(len, new))
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text, as the smallest unsigned integers that hold the vocabulary."""
+        found: list[bytes | None] = []
+        simple: list[str] = []
+        where: list[list[int] | None] = []
+        for w in new:
+            if w.isalnum() or not any(map(str.isspace, w)):
+                where.append([len(simple)] if w else None)
+                if w:
+                    simple.append(" " + w)
+                continue
+            lines = w.split("\n")
+            if all(lines) and not any(c.isspace() for line in lines for c in line):
+                where.append(list(range(len(simple), len(simple) + len(lines))))
+                simple.extend([" " + lines[0], *lines[1:]])
+            elif not (w[0].isspace() or w[-1].isspace()):
+                where.append([len(simple)])
+                simple.append(" " + w)
+            else:
+                where.append(None)
+        ids = self._bytes(simple)
+        for at in where:
+            found.append(None if at is None else self._line_feed.join([ids[k] for k in at]))
+        self.ids.extend(found)
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, as raw little-endian unsigned integers of self.dtype."""
         if len(self.ids) > WORDS_KEPT or self.characters > CHARACTERS_KEPT:
             self._forget()
         places, texts = self.places, [t or "" for t in texts]
@@ -67,21 +92,21 @@ class ByteTokens:
         rows = [[places[w] for w in words[1:]] for words in split]
         self._learn()
         ids = self.ids
-        joined: list[bytes | None] = []
         firsts = self._bytes([words[0] for words in split])
         for text, words, row, first in zip(texts, split, rows, firsts, strict=True):
-            found = [ids[p] for p in row]
-            cut = not row or (words[0] and not words[0][-1].isspace() and None not in found)
-            joined.append(first + b"".join(found) if cut and not any(s in text for s in self.specials) else None)
-        for text, own in zip(texts, joined, strict=True):
-            if own is None:
-                own = b"".join(self._bytes([text] if any(s in text for s in self.specials) else self._parts(text)))
-            yield np.frombuffer(own, dtype=self.dtype)
-
-    def _parts(self, text: str) -> list[str]:
-        """Parts of a text whose ids can be joined: all but the first begin with the space before them."""
-        first, *rest = _CUT.split(text)
-        return [first, *[" " + w for w in rest]]
+            safe = not row or (words[0] and not words[0][-1].isspace())
+            if safe and not any(s in text for s in self.specials):
+                found = [ids[p] for p in row]
+                if None not in found:
+                    yield first + b"".join(found)
+                    continue
+            yield self._bytes([text])[0]
+
+
+@cache
+def encoder(tokenizer_file: str, special_as_text: bool = False) -> ByteTokens:
+    """One for each process, so that later tasks find the words of earlier ones."""
+    return ByteTokens(tokenizer_file, special_as_text)
 
 
 def groups(texts: list[str | None], characters: int = 4 << 20) -> Iterator[slice]:

@@ -15,14 +15,16 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -202,52 +204,57 @@ class PieceEncoder:
         return list(chain.from_iterable([ids[p] for p in places]))
 
 
-SCHEMA = "n_tokens bigint, ids array<int>, decoded string"
-
-
-def _batches(texts: pd.Series, characters: int = 4 << 20) -> Iterator[list[str | None]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
+def _slices(texts: list[str | None], characters: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    start, size = 0, 0
+    for i, t in enumerate(texts):
         size += len(t) if t else 0
         if size >= characters:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
-def encode(docs: DataFrame, model_file: str, text: str = "text", into: str = "pieces") -> DataFrame:
-    """docs with a struct (n_tokens bigint, ids array<int>, decoded string) of the whole text."""
-
-    @F.pandas_udf(SCHEMA)
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = PieceEncoder(model_file)
-        for texts in batches:
-            rows = []
-            for part in _batches(texts):
-                for places in encoder.encode(part):
-                    ids = encoder.ids_of(places)
-                    rows.append((len(ids), ids, encoder.library.decode(ids) if ids else ""))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"])
-
-    return docs.withColumn(into, apply(F.col(text)))
-
-
-def digests(docs: DataFrame, model_file: str, text: str = "text", into: str = "pieces") -> DataFrame:
-    """docs with a struct (n_tokens, ids_sha256, decoded_sha256): what encode() returns, digested where it is made."""
-
-    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = PieceEncoder(model_file)
-        for texts in batches:
-            rows = []
-            for part in _batches(texts):
-                for places in encoder.encode(part):
-                    ids = encoder.ids_of(places)
-                    joined = ",".join([encoder.text[p] for p in places])
-                    decoded = encoder.library.decode(ids) if ids else ""
-                    rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.withColumn(into, apply(F.col(text)))
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+@cache
+def encoder(model_file: str) -> PieceEncoder:
+    """One for each process, so that later tasks find the words of earlier ones."""
+    return PieceEncoder(model_file)
+
+
+def encode(docs: DataFrame, model_file: str, text: str = "text", into: str = "pieces", with_ids: bool = True) -> DataFrame:
+    """docs with a struct of the whole text's n_tokens, ids_sha256 and decoded_sha256 and, if asked for, its ids.
+
+    ids_sha256 is the digest of the decimal ids joined by commas, decoded_sha256 that of the text decoded from them.
+    A column named as into is replaced.
+    """
+    docs = docs.drop(into)
+    place = docs.columns.index(text)
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    arrow = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
+    if with_ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+        arrow.append(pa.field("ids", pa.list_(pa.int32())))
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StructType(fields))])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(model_file)
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for start, end in _slices(texts):
+                sizes, of_ids, of_texts, flat = [], [], [], array("i")
+                for places in own.encode(texts[start:end]):
+                    ids = own.ids_of(places)
+                    sizes.append(len(ids))
+                    of_ids.append(hashlib.sha256(",".join([own.text[p] for p in places]).encode()).hexdigest())
+                    decoded = own.library.decode(ids) if ids else ""
+                    of_texts.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
+                    if with_ids:
+                        flat.extend(ids)
+                columns = [pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())]
+                if with_ids:
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32())))
+                made = pa.StructArray.from_arrays(columns, fields=arrow)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, end - start) for i in range(batch.num_columns)), made], [*batch.schema.names, into])
+
+    return docs.mapInArrow(apply, schema)

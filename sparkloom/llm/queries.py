@@ -7,13 +7,21 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import lang_id, mixing, ngram_join, pieces, quality
+from sparkloom.llm import ann, embed_dedup, huffman, lang_id, mixing, ngram_join, pieces, quality, token_counts, warc
 from sparkloom.llm.common import Scratch, crc_fold, read
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 BYTE_BPE, PIECE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
 
+#: The ids that close a document in op4's and op7's files.
+END_OF_CODED, END_OF_FLAT = 2, 50256
+EVERY = 50
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark, read(spark, sf_dir, "embeddings"), F.col("vec_id") % EVERY == 0, Scratch(spark, "op1"))
+
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op2"))
@@ -25,6 +33,16 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op4")
+    manifest = huffman.write(spark, read(spark, sf_dir, "documents"), scratch.path("files"), BYTE_BPE, END_OF_CODED, scratch)
+    return huffman.digests(spark, manifest)
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link(spark, read(spark, sf_dir, "embeddings"), Scratch(spark, "op5"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     measured, model = quality.measure_and_fit(spark, docs, read(spark, sf_dir, "labels"), Scratch(spark, "op6"), crc_fold("doc_id", 5) != 0)
@@ -32,9 +50,28 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, end id included, from flat files of their ids."""
+    scratch = Scratch(spark, "op7")
+    folder = scratch.path("flat")
+    placed = scratch.write(token_counts.write_flat(read(spark, sf_dir, "documents"), folder, BYTE_BPE, END_OF_FLAT), "placed")
+    counted = token_counts.count(spark, folder, scratch, END_OF_FLAT).where("closed").withColumn("file", F.element_at(F.split("path", "/"), -1))
+    return placed.join(counted, ["file", "ordinal"], "left").select("doc_id", "n_tokens")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows for each page: its metadata and its conversion record."""
+    made = warc.derive(warc.responses(read(spark, sf_dir, "pages")))
+    header = lambda name: F.element_at("headers", name)
+    return made.select(
+        F.col("key").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", header("WARC-Concurrent-To").alias("concurrent_to"), header("WARC-Source-Payload-Digest").alias("source_digest"),
+        header("WARC-Block-Digest").alias("block_digest"), F.octet_length("block").cast("bigint").alias("block_bytes"), F.sha2("block", 256).alias("block_sha256"),
+    )
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.digests(docs, PIECE_BPE).select("doc_id", "pieces.*")
+    return pieces.encode(docs, PIECE_BPE, with_ids=False).select("doc_id", "pieces.*")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +82,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_ngram_join": op2_ngram_join,
     "op3_mixing": op3_mixing,
+    "op4_token_files": op4_token_files,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_quality": op6_quality,
+    "op7_token_counts": op7_token_counts,
+    "op8_warc": op8_warc,
     "op9_pieces": op9_pieces,
     "op10_language_id": op10_language_id,
 }
