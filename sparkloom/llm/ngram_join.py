@@ -8,10 +8,11 @@
 3. The prefixes meet by shingle.  Of each list the most central document (the one with the commonest shingles)
    is paired with all others: a star, linear in the list.  Length and positional filters drop pairs there; each
    distinct pair is then verified once, after a suffix filter (a bound by hash ranges).
-4. Lists that still hold more than one component are gathered by their head; such a bundle is cut into blocks
-   and pairs of blocks are compared exactly, with one matrix product over their shingles.  Pairs inside one
-   component are never looked at again.  So no link between different components is lost, and no list
-   is expanded into its pairs.
+4. Lists that still hold more than one component beside their head look for further pairs of different components
+   that pass the filters; a list with a few of these for each member yields them, to be verified once.  A list with
+   more is gathered with others of its head; such a bundle is cut into blocks and pairs of blocks are compared
+   exactly, with one matrix product over their shingles.  Pairs inside one component are never looked at again.
+   So no link between different components is lost, and no list is expanded into its pairs.
 
 Common shingles are salted: a list's members are dealt by document over as many groups as the sketch counts,
 each with its own head, and the heads meet in a second round.
@@ -36,6 +37,7 @@ from pyspark.sql.types import LongType
 from sparkloom.llm.common import Scratch
 from sparkloom.llm.components import components
 from sparkloom.llm.shingles import mix, shingle_sets
+from sparkloom.llm.vectors import BatchRows
 
 #: Similarity as a fraction.
 OVER, UNDER = 75, 100
@@ -48,6 +50,8 @@ LARGEST = (1 << FIELD) - 1
 #: Shingles in a block of a bundle, about.
 BLOCK = 1 << 16
 RANGES = 32
+#: Candidates for each member beyond which a list is compared in blocks.
+FEW = 8
 
 
 def prefix_length(n: int) -> int:
@@ -259,6 +263,43 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
 
+def _list_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each list, the pairs of different components that pass the filters: (a, b, null).
+
+    A list with more than FEW of them for each member is named instead: (null, null, token).  The head has met
+    all others already.
+    """
+    for batch in batches:
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        crowded: list[int] = []
+        for token, head, members in zip(batch["token"], batch["head"], batch["members"], strict=True):
+            doc, of, n, pos = (np.array([m[k] for m in members], dtype=np.int64) for k in ("doc_id", "component", "n", "pos"))
+            rest = doc != head
+            doc, of, n, pos = doc[rest], of[rest], n[rest], pos[rest]
+            found, total = [], 0
+            for start in range(0, len(doc), 256):
+                i = slice(start, start + 256)
+                less, more = np.minimum(n[i, None], n[None]), np.maximum(n[i, None], n[None])
+                bound = np.minimum(pos[i, None], pos[None]) + 1 + np.minimum((n - pos)[i, None], (n - pos)[None]) - 1
+                least = (OVER * (n[i, None] + n[None]) + OVER + UNDER - 1) // (OVER + UNDER)
+                near = ((UNDER * less >= OVER * more) & (bound >= least)) | (more == LARGEST)
+                near &= (of[i, None] != of[None]) & (doc[i, None] < doc[None])
+                x, y = np.nonzero(near)
+                found.append((doc[i][x], doc[y]))
+                total += len(x)
+                if total > FEW * len(doc):
+                    break
+            if total > FEW * len(doc):
+                crowded.append(token)
+            elif total:
+                out.extend(found)
+        if out:
+            a, b = np.unique(np.stack([np.concatenate(side) for side in zip(*out, strict=True)]), axis=1)
+            yield pd.DataFrame({"a": a, "b": b, "token": None}).astype("Int64")
+        if crowded:
+            yield pd.DataFrame({"a": None, "b": None, "token": crowded}).astype("Int64")
+
+
 def _tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links across components between the documents of two blocks, or within one."""
     for batch in batches:
@@ -295,6 +336,17 @@ def _products(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) ->
     return out.round().astype(np.int64)
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) that are links."""
+    ids = scratch.write(pairs.selectExpr("explode(array(a, b)) as doc_id").distinct(), f"{name}-ids")
+    sets = scratch.write(_sets(docs, ids), f"{name}-sets")
+    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
+    with BatchRows(docs.sparkSession, 128):
+        links = scratch.write(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(_verify, "a bigint, b bigint"), f"{name}-links")
+    scratch.drop(f"{name}-sets", f"{name}-ids")
+    return links
+
+
 def join(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs (doc_id, text)."""
     profile = scratch.write(profiles(spark, docs, frequency_order(docs)), "profiles")
@@ -305,30 +357,39 @@ def join(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     entries = profile.where("tokens is not null").select("doc_id", "n_shingles", "tokens", "centrality").mapInArrow(_entries, "key bigint, doc_id bigint, info bigint")
     lists = _with_heads(entries.selectExpr("key", "doc_id", *_FIELDS), "key").where("members > 1 or salt > 0")
-    lists = scratch.write(lists.withColumn("token", F.when(F.col("salt") > 0, _unsalted("key", "doc_id", "salt")).otherwise(F.col("key"))), "lists")
+    lists = lists.withColumn("token", F.when(F.col("salt") > 0, _unsalted("key", "doc_id", "salt")).otherwise(F.col("key")))
+    lists = scratch.write(lists.select("token", "doc_id", "central", "n", "pos", "salt", "head"), "lists")
     scratch.drop("profiles")
     # Heads of the groups of a salted list meet by its token.
     heads = lists.where("salt > 0 and doc_id = head.doc").select("token", "doc_id", "central", "n", "pos", "salt")
     pairs = scratch.write(_star(lists).unionByName(_star(_with_heads(heads, "token"))).distinct(), "pairs")
-
-    ids = scratch.write(pairs.selectExpr("explode(array(a, b)) as doc_id").distinct(), "pair-ids")
-    sets = scratch.write(_sets(docs, ids), "pair-sets")
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
-    links = scratch.write(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(_verify, "a bigint, b bigint"), "links")
-    scratch.drop("pair-sets", "pair-ids", "pairs")
+    links = _verified(docs, pairs, scratch, "star")
     edges = copies.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     stars = scratch.write(components(edges, scratch, "stars"), "components")
 
-    more = _across(docs, lists, stars, scratch)
+    owned = lists.select("token", "doc_id", "central", "n", "pos", "salt", F.col("head.doc").alias("head")).join(stars, F.col("doc_id") == F.col("node"), "left")
+    owned = scratch.write(owned.select("token", "doc_id", "central", "n", "pos", "salt", "head", F.coalesce("component", "doc_id").alias("component")), "owned")
     scratch.drop("lists")
-    joined = stars.selectExpr("node as u", "component as v").unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # A list that isn't salted has HOT members at most.
+    rest = F.when(F.col("doc_id") != F.col("head"), F.col("component"))
+    gathered = owned.where("salt = 0").groupBy("token").agg(F.first("head").alias("head"), F.min(rest).alias("low"), F.max(rest).alias("high"), F.collect_list(F.struct("doc_id", "component", "n", "pos")).alias("members"))
+    with BatchRows(spark, 2000):
+        found = scratch.write(gathered.where("low <> high").select("token", "head", "members").mapInPandas(_list_pairs, "a bigint, b bigint, token bigint"), "found")
+    unmet = scratch.write(found.where("a is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "unmet")
+    more = _verified(docs, unmet, scratch, "more")
+    crowded = found.where("token is not null").select("token").unionByName(owned.where("salt > 0").select("token")).distinct()
+    last = _across(docs, owned.join(crowded, "token", "left_semi"), scratch)
+    joined = stars.selectExpr("node as u", "component as v").unionByName(more.unionByName(last).select(F.col("a").alias("u"), F.col("b").alias("v")))
     ends = components(joined, scratch, "ends")
+    scratch.drop("owned", "found", "pairs", "unmet")
     return sizes.join(ends, sizes["doc_id"] == ends["node"], "left").select(sizes["doc_id"], "n_shingles", F.coalesce("component", sizes["doc_id"]).alias("component_id"))
 
 
-def _across(docs: DataFrame, lists: DataFrame, stars: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): all links between documents of different components that share a prefix shingle."""
-    lists = lists.select("token", "doc_id", "central", "n", "head").join(stars, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "central", "n", F.coalesce("component", "doc_id").alias("component"))
+def _across(docs: DataFrame, lists: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): all links between documents of different components in each of some lists, however long."""
+    lists = scratch.write(lists, "crowded")
+    if lists.isEmpty():
+        return lists.sparkSession.createDataFrame([], "a bigint, b bigint")
     open_lists = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("central", (-F.col("doc_id")).alias("doc"))).alias("head")).where("low <> high")
     # A bundle: all documents of the open lists with one head.
     members = lists.join(open_lists.select("token", (-F.col("head.doc")).alias("bundle")), "token").groupBy("bundle", "doc_id").agg(F.first("component").alias("component"), F.first("n").alias("n"))
@@ -342,6 +403,7 @@ def _across(docs: DataFrame, lists: DataFrame, stars: DataFrame, scratch: Scratc
     blocks = scratch.write(blocks, "blocks")
     left, right = blocks.where("block >= 0").selectExpr("bundle", "block as i", "members as left"), blocks.selectExpr("bundle", "block as j", "members as right")
     tiles = left.join(right, (left["bundle"] == right["bundle"]) & (F.col("j") <= F.col("i"))).select("left", "right")
-    more = scratch.write(tiles.mapInPandas(_tile, "a bigint, b bigint").distinct(), "more")
-    scratch.drop("blocks", "member-sets", "member-ids", "members")
+    with BatchRows(docs.sparkSession, 4):
+        more = scratch.write(tiles.mapInPandas(_tile, "a bigint, b bigint").distinct(), "more")
+    scratch.drop("blocks", "member-sets", "member-ids", "members", "crowded")
     return more
