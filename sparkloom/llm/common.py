@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,8 +49,10 @@ class Scratch:
         for name in names:
             where = jvm.org.apache.hadoop.fs.Path(self.path(name))
             where.getFileSystem(conf).delete(where, True)
-        gc.collect()
-        jvm.System.gc()
+        for _ in range(2):  # what the first round frees may hold shuffles that the second one frees
+            gc.collect()
+            jvm.System.gc()
+            time.sleep(0.25)
 
 
 def crc_fold(column: str, folds: int) -> Column:
