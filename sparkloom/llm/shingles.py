@@ -8,7 +8,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes hashed at a time; pieces end at white space.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.default_rng(0x5EED)
