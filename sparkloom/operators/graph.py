@@ -58,29 +58,47 @@ def trace(edges: DataFrame, source: object, target: object, depth: int) -> DataF
     return spark.createDataFrame(list(enumerate(reversed(path))), f"step int, node {kind}")
 
 
+def _peel(edges: DataFrame) -> DataFrame:
+    """Edges without those at nodes with no way in or no way out, again and again: such nodes are on no cycle."""
+    n = edges.count()
+    while n:
+        edges = _cut(edges.join(edges.select(F.col("tgt").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("tgt")).distinct(), "tgt", "left_semi").select("src", "tgt"))
+        was, n = n, edges.count()
+        if n == was:
+            break
+    return edges
+
+
+def _colours(edges: DataFrame, depth: int) -> DataFrame:
+    """(node, colour): the least node that reaches it, itself included."""
+    now = _cut(edges.select(F.explode(F.array("src", "tgt")).alias("node")).distinct().select("node", F.col("node").alias("colour"), F.lit(True).alias("fresh")))
+    for _ in range(depth + 1):
+        step = edges.join(now.where("fresh").select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("tgt").alias("node")).agg(F.min("colour").alias("offered"))
+        less = F.coalesce(F.col("offered") < F.col("colour"), F.lit(False))
+        now = _cut(now.join(step, "node", "left").select("node", F.when(less, F.col("offered")).otherwise(F.col("colour")).alias("colour"), less.alias("fresh")))
+        if now.where("fresh").isEmpty():
+            return now.select("node", "colour")
+    raise ValueError(f"cycles go on beyond depth {depth}")
+
+
 def cycle_edges(edges: DataFrame, depth: int) -> DataFrame:
     """(src, tgt): edges whose ends reach each other, self-loops included.
 
-    Nodes without a way in or out can be on no cycle; they are peeled off before the closure of the rest.
+    Nodes without a way in or out are peeled off. In the rest a node's colour is the least node that reaches it; the nodes
+    of a colour that reach that node are its component. Components leave the graph, with all edges between colours, until
+    no edge is left: what is held grows with the edges, not with the pairs of nodes.
     """
     edges = _cut(edges.select("src", "tgt").distinct())
-    while True:
-        kept = edges.join(edges.select(F.col("tgt").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("tgt")).distinct(), "tgt", "left_semi").select("src", "tgt")
-        kept = _cut(kept)
-        if kept.count() == edges.count():
-            break
-        edges = kept
-    closure = frontier = edges
-    for _ in range(depth):
-        step = frontier.select("src", F.col("tgt").alias("mid")).join(edges.select(F.col("src").alias("mid"), "tgt"), "mid").select("src", "tgt").distinct()
-        frontier = _cut(step.join(closure, ["src", "tgt"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        closure = _cut(closure.unionByName(frontier))
-    else:
-        raise ValueError(f"cycles go on beyond depth {depth}")
-    back = closure.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))
-    return edges.where("src = tgt").unionByName(edges.where("src <> tgt").join(back, ["src", "tgt"], "left_semi"))
+    found, rest = edges.where("src = tgt"), _peel(edges.where("src <> tgt"))
+    while not rest.isEmpty():
+        colours = _colours(rest, depth)
+        ends = rest.join(colours.select(F.col("node").alias("src"), "colour"), "src").join(colours.select(F.col("node").alias("tgt"), F.col("colour").alias("other")), "tgt")
+        inside = _cut(ends.where("colour = other").select("src", "tgt", "colour"))
+        backwards = inside.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))
+        own = reach(backwards, inside.select(F.col("colour").alias("node")), depth).select("node")
+        found = _cut(found.unionByName(inside.join(own.withColumnRenamed("node", "src"), "src", "left_semi").join(own.withColumnRenamed("node", "tgt"), "tgt", "left_semi").select("src", "tgt")))
+        rest = _peel(inside.join(own.withColumnRenamed("node", "src"), "src", "left_anti").join(own.withColumnRenamed("node", "tgt"), "tgt", "left_anti").select("src", "tgt"))
+    return found
 
 
 def resolve_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
