@@ -134,7 +134,19 @@ def resolve_cascade(refs: DataFrame, symbols: DataFrame, imports: DataFrame) ->
     return refs.select("ref_id").join(best, "ref_id", "left").select("ref_id", "stage", F.coalesce("n_targets", F.lit(0)).alias("n_targets"), F.when(F.col("n_targets") == 1, F.col("target")).alias("target"), state.alias("resolution"))
 
 
+#: Positions to a bucket of innermost().
+BUCKET = 64
+
+
 def innermost(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(point_id, symbol_id): of the half-open ranges that hold a point in its file, the one that starts last, then the shortest."""
-    met = points.join(ranges, "path").where("start <= pos and pos < end")
-    return met.groupBy("point_id").agg(F.max_by("symbol_id", F.struct("start", -F.col("end"), -F.col("symbol_id"))).alias("symbol_id"))
+    """(point_id, symbol_id): of the half-open ranges that hold a point in its file, the one that starts last, then the shortest.
+
+    One row for each row of points that is in a range, also where rows share a point_id. Equal positions are settled once,
+    and equal ranges count as the one with the least symbol_id. A range is in each bucket of positions that it overlaps.
+    """
+    own = ranges.where("start < end").groupBy("path", "start", "end").agg(F.min("symbol_id").alias("symbol_id"))
+    own = own.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("end") - 1) / BUCKET))))
+    places = points.select("path", "pos").distinct().withColumn("bucket", F.floor(F.col("pos") / BUCKET))
+    met = places.join(own, ["path", "bucket"]).where("start <= pos and pos < end")
+    best = met.groupBy("path", "pos").agg(F.max_by("symbol_id", F.struct("start", -F.col("end"), -F.col("symbol_id"))).alias("symbol_id"))
+    return points.join(best, ["path", "pos"]).select("point_id", "symbol_id")

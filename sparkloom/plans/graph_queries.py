@@ -54,10 +54,11 @@ def cycles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def point_in_range(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as positions, orders as ranges in the files of their customers."""
+    """Line items as positions, orders as ranges in the files of their customers: a row for each line item, as line numbers repeat within an order."""
     o = table(spark, d, "orders")
     ranges = o.select(F.col("o_orderkey").alias("symbol_id"), (F.col("o_custkey") % 100).alias("path"), (F.col("o_orderkey") % 1000).alias("start"), (F.col("o_orderkey") % 1000 + F.col("o_custkey") % 50 + 1).alias("end"))
-    return graph.innermost(table(spark, d, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("point_id")).agg((F.min("l_suppkey") % 100).alias("path"), (F.min("l_partkey") % 1000).alias("pos")), ranges)
+    points = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), (F.col("l_suppkey") % 100).alias("path"), (F.col("l_partkey") % 1000).alias("pos"))
+    return graph.innermost(points, ranges)
 
 
 def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
