@@ -68,6 +68,22 @@ def likely_binary(text: Column) -> Column:
     return F.coalesce(head.contains("\0") | (F.regexp_count(head, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]")) * 10 >= F.length(head)) & (F.length(head) > 0), F.lit(False))
 
 
+def fuzzy_windows(texts: DataFrame, key: str) -> DataFrame:
+    """(key, ln, distance, similarity): each window of as many lines as the sought text has, with its edits to the sought text.
+
+    texts: (key, text, sought).  Lines are framed as in lines() and compared whole; the similarity is 1 - edits / the longer
+    length, of lines whose blanks are collapsed.
+    """
+    framed = [F.regexp_replace(c, r"\r(\n|\z)", "$1") for c in ("text", "sought")]
+    own, wanted = F.split(framed[0], "\n"), F.split(framed[1], "\n")
+    cut = texts.select(key, own.alias("own"), framed[1].alias("a"), F.size(wanted).alias("n")).where("size(own) >= n")
+    each = cut.select(key, "a", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("own") - F.col("n") + 1), lambda i: F.array_join(F.slice("own", i, F.col("n")), "\n"))).alias("at", "b"))
+    x, y = (F.trim(F.regexp_replace(F.regexp_replace(c, r"[^\S\n]+", " "), " ?\n ?", "\n")) for c in ("a", "b"))
+    met = each.select(key, (F.col("at") + 1).alias("ln"), "a", "b", x.alias("x"), y.alias("y")).withColumn("distance", F.levenshtein("a", "b"))
+    edits = F.when((F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), F.col("distance")).otherwise(F.levenshtein("x", "y"))
+    return met.select(key, "ln", "distance", (1 - edits / F.greatest(F.length("x"), F.length("y"), F.lit(1))).alias("similarity"))
+
+
 def common_run(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, run): the longest run of equal trimmed lines of two sides: (keys, ln, line) each.  Runs are islands of one diagonal."""
     a = left.select(*keys, F.col("ln").alias("i"), F.trim("line").alias("line"))

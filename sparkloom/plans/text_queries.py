@@ -106,11 +106,9 @@ def common_run(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity of each document's first two lines, ASCII only."""
-    two = lines(_docs(spark, d), "doc_id").where("ln <= 2").groupBy("doc_id").agg(F.max(F.when(F.col("ln") == 1, F.col("line"))).alias("a"), F.max(F.when(F.col("ln") == 2, F.col("line"))).alias("b"))
-    plain = [F.substring(F.regexp_replace(c, r"[^\x20-\x7E]", ""), 1, 200) for c in ("a", "b")]
-    two = two.where("b is not null").select("doc_id", plain[0].alias("a"), plain[1].alias("b"))
-    return two.select("doc_id", F.levenshtein("a", "b").alias("distance"), F.round(fx.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """Each document's first line, sought in all windows of its further lines; whole lines, all characters."""
+    sought = _docs(spark, d).select("doc_id", "text", F.split("text", "\n")[0].alias("sought"))
+    return search.fuzzy_windows(sought, "doc_id").where("ln > 1").select("doc_id", "ln", "distance", F.round("similarity", 6).alias("similarity"))
 
 
 def glob_filter(spark: SparkSession, d: str) -> DataFrame:
