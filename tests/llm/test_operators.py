@@ -167,6 +167,17 @@ def test_pieces(spark, docs):
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
+def test_pieces_of_long_words_and_line_feeds():
+    own = pieces.PieceEncoder(queries.PIECE_BPE)
+    rng = np.random.default_rng(7)
+    parts = ["-" * 3000, "=" * 1500, "_", " ", "a", "r", "\n", "▁", "  ", "héllo", "\t", "z" * 1200, "🌍", "ab" * 700, "\0", "the", "1" * 2000]
+    texts = ["r" + "-" * 3000, "r" + "=" * 3000 + "_", "-" * 1100, "\n", " \n ", "\na", "a\n", "▁a", "a\n\nb", " a", "a ", "", None, "a", "a"]
+    texts += ["".join(rng.choice(parts, rng.integers(1, 6))) for _ in range(400)]
+    want = [own.library.encode(t or "") for t in texts]
+    assert [own.ids_of(p).tolist() for p in own.encode(texts)] == want  # together
+    assert [own.ids_of(own.encode([t])[0]).tolist() for t in texts[:120]] == want[:120]  # and alone
+
+
 def test_language(spark):
     rows = [(f"{w} is the {w} of and the thing {i}", "en") for i, w in enumerate("house tree dog cat river".split())] + [(f"{w} est la {w} des et une chose {i}", "fr") for i, w in enumerate("maison arbre chien chat fleuve".split())]
     model = lang_id.train(spark.createDataFrame([*rows, (None, "en"), ("x", None)], "text string, lang string"))
