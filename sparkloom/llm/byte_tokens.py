@@ -2,9 +2,9 @@
 
 A single space or line feed between two characters that are not white space always begins a new word of the
 byte-level pattern (the space belongs to the word after it, the line feed stands alone), so cutting there never
-changes the ids.  Each task hands the library only words that its process has not met lately (a bounded cache)
-and joins their ids.  Texts with other white space at a cut, or with the string of a special token that is
-not taken as text, go to the library whole.
+changes the ids.  Each task hands the library only words that its process has not met lately (a cache of bounded
+bytes), many in one text, and joins their ids.  Texts with other white space at a cut, or with the string of a
+special token that is not taken as text, go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,11 +13,14 @@ import os
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 
-#: Words and characters that a process keeps before it starts anew.
-WORDS_KEPT, CHARACTERS_KEPT = 900_000, 24 << 20
+#: Bytes of words and their ids that a process keeps before it starts anew, and what an entry takes besides.
+KEPT, ENTRY = 96 << 20, 200
+#: New words in one text for the library.
+TOGETHER = 2048
 
 
 class _Places(dict):
@@ -43,64 +46,70 @@ class ByteTokens:
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._line_feed = self._bytes(["\n"])[0]
-        self._forget()
+        # In the joined words only the first id of each begins with a space.
+        mark = self.library.encode(" a", add_special_tokens=False).tokens[0][0]
+        self._begins = np.zeros(1 + max(self.library.get_vocab().values()), dtype=bool)
+        self._begins[[i for token, i in self.library.get_vocab().items() if token.startswith(mark)]] = True
+        self.forget()
 
-    def _forget(self) -> None:
-        self.places, self.ids, self.characters = _Places(), [], 0
+    def forget(self) -> None:
+        self.places, self.ids, self.bytes = _Places(), [], 0
 
     def _bytes(self, parts: list[str]) -> list[bytes]:
         code = self._code
         return [array(code, e.ids).tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)] if parts else []
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without a space, each with a space before it."""
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            ids = np.array(self.library.encode(" " + " ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+            starts = np.flatnonzero(self._begins[ids])
+            if len(starts) == len(part) and not starts[0]:
+                raw = ids.tobytes()
+                out.extend([raw[i:j] for i, j in pairwise([*(starts * self.dtype.itemsize).tolist(), len(raw)])])
+            else:
+                out.extend(self._bytes([" " + w for w in part]))
+        return out
+
     def _learn(self) -> None:
         """Ids of the new words, each with the space before it; None where a cut beside the word isn't safe.
 
-        A word may hold single line feeds between its other characters: what is before and after each is known
-        to be cut there, and its first part alone follows a space.
+        Words that begin with a line feed have no space; what follows the line feed is known to be cut there.
         """
         new, self.places.new = self.places.new, []
-        self.characters += sum(map(len, new))
-        found: list[bytes | None] = []
-        simple: list[str] = []
-        where: list[list[int] | None] = []
+        spaced: list[str] = []
+        bare: list[str] = []
+        kinds: list[int] = []  # of each new word: 0 unsafe, 1 after a space, 2 after a line feed
         for w in new:
-            if w.isalnum() or not any(map(str.isspace, w)):
-                where.append([len(simple)] if w else None)
-                if w:
-                    simple.append(" " + w)
-                continue
-            lines = w.split("\n")
-            if all(lines) and not any(c.isspace() for line in lines for c in line):
-                where.append(list(range(len(simple), len(simple) + len(lines))))
-                simple.extend([" " + lines[0], *lines[1:]])
-            elif not (w[0].isspace() or w[-1].isspace()):
-                where.append([len(simple)])
-                simple.append(" " + w)
+            kind, own = (2, w[1:]) if w[:1] == "\n" else (1, w)
+            if not own or own[0].isspace() or own[-1].isspace():
+                kind = 0
+            elif kind == 1:
+                spaced.append(own)
             else:
-                where.append(None)
-        ids = self._bytes(simple)
-        for at in where:
-            found.append(None if at is None else self._line_feed.join([ids[k] for k in at]))
-        self.ids.extend(found)
+                bare.append(own)
+            kinds.append(kind)
+        after = [iter(self._words(spaced)), iter(self._bytes(bare))]
+        self.ids.extend([None if k == 0 else next(after[0]) if k == 1 else self._line_feed + next(after[1]) for k in kinds])
+        self.bytes += sum(map(len, new)) + ENTRY * len(new)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, as raw little-endian unsigned integers of self.dtype."""
-        if len(self.ids) > WORDS_KEPT or self.characters > CHARACTERS_KEPT:
-            self._forget()
+        if self.bytes > KEPT:
+            self.forget()
         places, texts = self.places, [t or "" for t in texts]
-        split = [t.split(" ") for t in texts]
-        rows = [[places[w] for w in words[1:]] for words in split]
+        # The first word goes in as if it followed a line feed, whose ids are then left out.
+        rows = [[places[w] for w in ("\n" + (t if "\n\n" in t else t.replace("\n", " \n"))).split(" ")] if t else [] for t in texts]
         self._learn()
-        ids = self.ids
-        firsts = self._bytes([words[0] for words in split])
-        for text, words, row, first in zip(texts, split, rows, firsts, strict=True):
-            safe = not row or (words[0] and not words[0][-1].isspace())
-            if safe and not any(s in text for s in self.specials):
-                found = [ids[p] for p in row]
-                if None not in found:
-                    yield first + b"".join(found)
-                    continue
-            yield self._bytes([text])[0]
+        ids, lead = self.ids, len(self._line_feed)
+        for text, row in zip(texts, rows, strict=True):
+            found = [ids[p] for p in row]
+            if None in found or any(s in text for s in self.specials):
+                yield self._bytes([text])[0]
+            else:
+                yield b"".join(found)[lead:]
 
 
 @cache
