@@ -6,7 +6,9 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,12 @@ class Scratch:
             time.sleep(0.25)
 
 
+def strings(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The values of an Arrow column, a few at a time, so that a batch is never held twice."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def crc_fold(column: str, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo folds (null for a null id)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(folds)

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: links of documents whose sets of 5-word shingles have a Jaccard similarity >= 0.75.
 
-1. A bounded sketch counts all shingles of all texts (counters by hash, summed over partitions).  Its logarithm,
-   8 bits a counter, is broadcast and orders every document's shingles rare first.
+1. A bounded sketch counts all shingles of all texts (counters by hash, summed over partitions in slices).  Its
+   logarithm, 8 bits a counter, reaches to 2^31; it is broadcast and orders every document's shingles rare first.
 2. Each task keeps, of the documents with one and the same set, one: copies are joined by their 128-bit set
    digest and cost nothing afterwards.  The others emit their prefix: any two sets that reach the similarity
    share one of their first n - ceil(0.75 n) + 1 shingles.
@@ -10,20 +10,23 @@
    distinct pair is then verified once, after a suffix filter (a bound by hash ranges).
 4. Lists that still hold more than one component beside their head look for further pairs of different components
    that pass the filters; a list with a few of these for each member yields them, to be verified once.  A list with
-   more is gathered with others of its head; such a bundle is cut into blocks and pairs of blocks are compared
-   exactly, with one matrix product over their shingles.  Pairs inside one component are never looked at again.
-   So no link between different components is lost, and no list is expanded into its pairs.
+   more is gathered with others of its head; such a bundle is cut into blocks by set size and by hash, only blocks
+   whose sizes pass the length filter meet, and these are compared exactly, with one matrix product over their
+   shingles.  Pairs inside one component are never looked at again.  So no link between different components is
+   lost, and no list is expanded into its pairs.
 
-Common shingles are salted: a list's members are dealt by document over as many groups as the sketch counts,
-each with its own head, and the heads meet in a second round.
+Common shingles are salted: a list's members are dealt by document over as many groups as the sketch counts beyond
+a counter's usual load, each with its own head, and the heads meet in a second round.
 
 Nulls and edge cases: a text that is null or has no word has an empty set and links with nothing; one with fewer
-than five words is a single shingle.  Rows with a null doc_id take no part and come back with themselves only.
-Repeated doc_ids are taken as one document per row that share an id.
+than five words is a single shingle.  Rows with a null doc_id take no part and come back with a null component_id.
+Rows that share a doc_id are verified each with its own text, under a key of its own, and are of one component, as
+they are one document.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from sparkloom.llm.common import Scratch
+from sparkloom.llm.common import Scratch, strings
 from sparkloom.llm.components import components
 from sparkloom.llm.shingles import mix, shingle_sets
 from sparkloom.llm.vectors import BatchRows
@@ -42,8 +45,12 @@ from sparkloom.llm.vectors import BatchRows
 #: Similarity as a fraction.
 OVER, UNDER = 75, 100
 SKETCH_BITS = 22
+#: Slices in which the sketch is summed, parts that one task adds at first, and steps of a counter's logarithm a doubling.
+SLICES, PARTS, STEPS = 16, 64, 8
 #: Sketched count from which a shingle's list is salted, into groups of about half as many.
 HOT = 20_000
+#: Sets that a task remembers.
+SEEN = 100_000
 #: A document's size and the position in its prefix, in one long with its centrality and the salt's bits.
 FIELD = 26
 LARGEST = (1 << FIELD) - 1
@@ -71,35 +78,64 @@ def _buckets(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<u8").tobytes(), 1)
+
+
 def _add_packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = None
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for packed in batch["counts"]:
+        for k, packed in zip(batch["slice"], batch["counts"], strict=True):
             counts = np.frombuffer(zlib.decompress(packed), dtype="<u8")
-            total = counts.copy() if total is None else total + counts
-    if total is not None:
-        yield pd.DataFrame({"counts": [zlib.compress(total.astype("<u8").tobytes(), 1)]})
+            if k in sums:
+                sums[k] += counts
+            else:
+                sums[k] = counts.copy()
+    for k, total in sums.items():
+        yield pd.DataFrame({"slice": [k], "counts": [_packed(total)]})
+
+
+@dataclasses.dataclass(frozen=True)
+class Order:
+    """logs: of each sketch counter STEPS * log2(1 + count), at most 255; load: the mean of the counters; hot: the count that is salted."""
+
+    logs: np.ndarray
+    load: float
+    hot: int = HOT
 
+    def salts(self, tokens: np.ndarray) -> np.ndarray:
+        """log2 of the number of groups over which each token's list is dealt.
 
-def frequency_order(docs: DataFrame) -> np.ndarray:
-    """For each sketch counter 16 log2(1 + count), at most 255: what orders shingles rare first.
+        What other shingles are likely to add to a counter, and half a step, is taken off, so that rare shingles are
+        never dealt out where all counters are high.
+        """
+        logs = (tokens >> np.uint64(56)).astype(np.float64)
+        count = np.exp2((logs - 0.5) / STEPS) - self.load - 4 * np.sqrt(self.load)
+        return np.where(count >= self.hot, np.ceil(np.log2(np.maximum(count, 2) / (self.hot / 2))), 0).astype(np.int64)
 
-    A partition sends one row of fixed size; two levels of tasks add them, and the driver adds the last few.
+
+def frequency_order(docs: DataFrame, hot: int = HOT) -> Order:
+    """What orders shingles rare first.
+
+    A partition sends one row of fixed size for each slice of the counters; two levels of tasks add them, and the
+    driver gets one row for each slice.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for batch in batches:
-            for _, shingles in shingle_sets(batch.column(0).to_pylist()):
+            for _, shingles in shingle_sets(strings(batch.column(0))):
                 np.add.at(counts, _buckets(shingles), np.uint32(1))
-        yield pa.RecordBatch.from_pydict({"counts": [zlib.compress(counts.astype("<u8").tobytes(), 1)]})
+        for k, part in enumerate(np.split(counts, SLICES)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_packed(part)])], ["slice", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "counts binary")
-    parts = parts.repartition(12).mapInPandas(_add_packed, "counts binary").repartition(2).mapInPandas(_add_packed, "counts binary")
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.float64)
+    schema = "slice int, counts binary"
+    parts = docs.select("text").mapInArrow(count, schema).withColumn("part", F.spark_partition_id())
+    parts = parts.repartition(SLICES, "slice", F.floor(F.col("part") / PARTS)).select("slice", "counts").mapInPandas(_add_packed, schema).repartition(SLICES, "slice").mapInPandas(_add_packed, schema)
+    total = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES))
     for row in parts.toLocalIterator():
-        total += np.frombuffer(zlib.decompress(row["counts"]), dtype="<u8")
-    return np.minimum(255, np.round(16 * np.log2(1 + total))).astype(np.uint8)
+        total[row["slice"]] += np.frombuffer(zlib.decompress(row["counts"]), dtype="<u8")
+    return Order(np.minimum(255, np.round(STEPS * np.log2(1 + total))).astype(np.uint8).ravel(), float(total.mean()), hot)
 
 
 def _tokens(shingles: np.ndarray, frequency: np.ndarray) -> np.ndarray:
@@ -107,58 +143,73 @@ def _tokens(shingles: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     return (frequency.astype(np.uint64) << np.uint64(56)) | (mix(shingles) & np.uint64((1 << 56) - 1))
 
 
-def _salts(tokens: np.ndarray) -> np.ndarray:
-    """log2 of the number of groups over which each token's list is dealt."""
-    count = np.exp2((tokens >> np.uint64(56)).astype(np.float64) / 16)
-    return np.where(count >= HOT, np.ceil(np.log2(np.maximum(count, 2) / (HOT / 2))), 0).astype(np.int64)
+def _digests(n: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each of some successive sets of n shingles; 0 for empty ones."""
+    high, low = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        starts = (np.cumsum(n) - n)[full]
+        high[full] = np.bitwise_xor.reduceat(mix(shingles + np.uint64(1)), starts)
+        low[full] = np.add.reduceat(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
+    return high, low
 
 
-PROFILE = "doc_id bigint, n_shingles bigint, high bigint, low bigint, tokens binary, centrality int"
+PROFILE = "doc_id bigint, n_shingles bigint, high bigint, low bigint, tokens binary, salts binary, centrality int"
 
 
-def profiles(spark: SparkSession, docs: DataFrame, order: np.ndarray) -> DataFrame:
-    """One row per document: its set's size and digest and, for the first of a set in its task, the prefix."""
+def profiles(spark: SparkSession, docs: DataFrame, order: Order) -> DataFrame:
+    """One row per document: its set's size and digest and, for the first of a set in its task, the prefix.
+
+    salts has the logarithm of the number of groups of each of the prefix's tokens.
+    """
     shared = spark.sparkContext.broadcast(order)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = shared.value, set()
         for batch in batches:
             ids, at = batch.column(0), 0
-            for n, shingles in shingle_sets(batch.column(1).to_pylist()):
+            for n, shingles in shingle_sets(strings(batch.column(1))):
                 own = ids.slice(at, len(n))
                 at += len(n)
-                starts = np.minimum(np.cumsum(n) - n, max(0, len(shingles) - 1))
-                empty = n == 0
-                high, low, central = (np.zeros(len(n), dtype=x) for x in (np.uint64, np.uint64, np.int32))
-                tokens = np.zeros(0, dtype=np.uint64)
-                if len(shingles):
-                    frequency = order[_buckets(shingles)]
-                    high = np.where(empty, 0, np.bitwise_xor.reduceat(mix(shingles + np.uint64(1)), starts)).astype(np.uint64)
-                    low = np.where(empty, 0, np.add.reduceat(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)).astype(np.uint64)
-                    central = np.where(empty, 0, np.add.reduceat(frequency.astype(np.int64), starts) // np.maximum(n, 1) // 4).astype(np.int32)
-                    tokens = _tokens(shingles, frequency)
+                starts = np.cumsum(n) - n
+                high, low = _digests(n, shingles)
+                frequency = order.logs[_buckets(shingles)]
+                tokens = _tokens(shingles, frequency)
+                central = np.zeros(len(n), dtype=np.int32)
+                full = np.flatnonzero(n)
+                if len(full):
+                    central[full] = np.add.reduceat(frequency.astype(np.int64), starts[full]) // n[full] // 4
+                if len(seen) > SEEN:
+                    seen.clear()
                 prefixes: list[bytes | None] = []
+                salts: list[bytes | None] = []
                 for doc, size, start, key in zip(own.to_pylist(), n.tolist(), starts.tolist(), zip(high.tolist(), low.tolist(), strict=True), strict=True):
                     if not size or doc is None or key in seen:
                         prefixes.append(None)
+                        salts.append(None)
                     else:
                         seen.add(key)
-                        prefixes.append(np.sort(tokens[start : start + size])[: prefix_length(size)].tobytes())
-                columns = [own, pa.array(n), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(prefixes, pa.binary()), pa.array(central)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "high", "low", "tokens", "centrality"])
+                        prefix = np.sort(tokens[start : start + size])[: prefix_length(size)]
+                        prefixes.append(prefix.tobytes())
+                        salts.append(order.salts(prefix).astype(np.uint8).tobytes())
+                columns = [own, pa.array(n), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(prefixes, pa.binary()), pa.array(salts, pa.binary()), pa.array(central)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "high", "low", "tokens", "salts", "centrality"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(profile, PROFILE)
 
 
+#: The key of a row that shares its doc_id with other sets; else the doc_id is the key.
+_OWN_KEY = "xxhash64(doc_id, high, low)"
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, doc_id, info): a row per prefix shingle. key is the token, or for salted ones its group."""
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(4)]
+        columns = [batch.column(i).to_pylist() for i in range(5)]
         parts: list[tuple[np.ndarray, ...]] = []
         size = 0
-        for doc, n, packed, central in zip(*columns, strict=True):
-            tokens = np.frombuffer(packed, dtype=np.uint64)
-            salt = _salts(tokens)
+        for doc, n, packed, salts, central in zip(*columns, strict=True):
+            tokens, salt = np.frombuffer(packed, dtype=np.uint64), np.frombuffer(salts, dtype=np.uint8).astype(np.int64)
             group = _salted(tokens, doc, salt)
             info = (salt << 58) | (min(63, central) << 52) | (min(n, LARGEST) << FIELD) | np.minimum(np.arange(len(tokens)), LARGEST)
             parts.append((group.view(np.int64), np.full(len(tokens), doc), info))
@@ -230,19 +281,35 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).where(maybe(place)).join(ids, "doc_id", "left_semi")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the sorted set of each document in ids, as raw 64-bit values; one row per id."""
+@dataclasses.dataclass(frozen=True)
+class Texts:
+    """docs (doc_id, text) and, of rows that share a doc_id with other sets, doc_id and key, distinct; None if there are none."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for n, shingles in shingle_sets(batch.column(1).to_pylist()):
-                cuts = np.append(0, np.cumsum(n)).tolist()
-                sets = [shingles[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
-                at += len(n)
+    docs: DataFrame
+    shared: DataFrame | None
+
+    def sets(self, keys: DataFrame) -> DataFrame:
+        """(doc_id, shingles): the sorted set of each row whose key is in keys (doc_id, distinct), as raw 64-bit values."""
 
-    return _only(docs.select(F.col("doc_id").cast("bigint"), "text"), ids).mapInArrow(of, "doc_id bigint, shingles binary").dropDuplicates(["doc_id"])
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = 0
+                for n, shingles in shingle_sets(strings(batch.column(1))):
+                    cuts = np.append(0, np.cumsum(n)).tolist()
+                    sets = [shingles[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+                    high, low = _digests(n, shingles)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(sets, pa.binary())], ["doc_id", "high", "low", "shingles"])
+                    at += len(n)
+
+        docs = self.docs.select(F.col("doc_id").cast("bigint"), "text")
+        schema = "doc_id bigint, high bigint, low bigint, shingles binary"
+        if self.shared is None:
+            return _only(docs, keys).mapInArrow(of, schema).select("doc_id", "shingles").dropDuplicates(["doc_id"])
+        named = keys.withColumnRenamed("doc_id", "key").join(self.shared.select("key", F.col("doc_id").alias("of")), "key", "left")
+        wanted = named.select(F.coalesce("of", "key").alias("doc_id"), F.col("of").isNotNull().alias("is_shared")).distinct()
+        found = _only(docs, wanted.select("doc_id")).mapInArrow(of, schema).join(wanted, "doc_id")
+        by_key = found.select(F.when(F.col("is_shared"), F.expr(_OWN_KEY)).otherwise(F.col("doc_id")).alias("doc_id"), "shingles")
+        return by_key.join(keys, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def _suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
@@ -263,41 +330,45 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
 
-def _list_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _list_pairs(few: int):
     """Of each list, the pairs of different components that pass the filters: (a, b, null).
 
-    A list with more than FEW of them for each member is named instead: (null, null, token).  The head has met
+    A list with more than few of them for each member is named instead: (null, null, token).  The head has met
     all others already.
     """
-    for batch in batches:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        crowded: list[int] = []
-        for token, head, members in zip(batch["token"], batch["head"], batch["members"], strict=True):
-            doc, of, n, pos = (np.array([m[k] for m in members], dtype=np.int64) for k in ("doc_id", "component", "n", "pos"))
-            rest = doc != head
-            doc, of, n, pos = doc[rest], of[rest], n[rest], pos[rest]
-            found, total = [], 0
-            for start in range(0, len(doc), 256):
-                i = slice(start, start + 256)
-                less, more = np.minimum(n[i, None], n[None]), np.maximum(n[i, None], n[None])
-                bound = np.minimum(pos[i, None], pos[None]) + 1 + np.minimum((n - pos)[i, None], (n - pos)[None]) - 1
-                least = (OVER * (n[i, None] + n[None]) + OVER + UNDER - 1) // (OVER + UNDER)
-                near = ((UNDER * less >= OVER * more) & (bound >= least)) | (more == LARGEST)
-                near &= (of[i, None] != of[None]) & (doc[i, None] < doc[None])
-                x, y = np.nonzero(near)
-                found.append((doc[i][x], doc[y]))
-                total += len(x)
-                if total > FEW * len(doc):
-                    break
-            if total > FEW * len(doc):
-                crowded.append(token)
-            elif total:
-                out.extend(found)
-        if out:
-            a, b = np.unique(np.stack([np.concatenate(side) for side in zip(*out, strict=True)]), axis=1)
-            yield pd.DataFrame({"a": a, "b": b, "token": None}).astype("Int64")
-        if crowded:
-            yield pd.DataFrame({"a": None, "b": None, "token": crowded}).astype("Int64")
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            crowded: list[int] = []
+            for token, head, members in zip(batch["token"], batch["head"], batch["members"], strict=True):
+                doc, of, n, pos = (np.array([m[k] for m in members], dtype=np.int64) for k in ("doc_id", "component", "n", "pos"))
+                rest = doc != head
+                doc, of, n, pos = doc[rest], of[rest], n[rest], pos[rest]
+                found, total = [], 0
+                for start in range(0, len(doc), 256):
+                    i = slice(start, start + 256)
+                    less, more = np.minimum(n[i, None], n[None]), np.maximum(n[i, None], n[None])
+                    bound = np.minimum(pos[i, None], pos[None]) + 1 + np.minimum((n - pos)[i, None], (n - pos)[None]) - 1
+                    least = (OVER * (n[i, None] + n[None]) + OVER + UNDER - 1) // (OVER + UNDER)
+                    near = ((UNDER * less >= OVER * more) & (bound >= least)) | (more == LARGEST)
+                    near &= (of[i, None] != of[None]) & (doc[i, None] < doc[None])
+                    x, y = np.nonzero(near)
+                    found.append((doc[i][x], doc[y]))
+                    total += len(x)
+                    if total > few * len(doc):
+                        break
+                if total > few * len(doc):
+                    crowded.append(token)
+                elif total:
+                    out.extend(found)
+            if out:
+                a, b = np.unique(np.stack([np.concatenate(side) for side in zip(*out, strict=True)]), axis=1)
+                yield pd.DataFrame({"a": a, "b": b, "token": None}).astype("Int64")
+            if crowded:
+                yield pd.DataFrame({"a": None, "b": None, "token": crowded}).astype("Int64")
+
+    return pairs
 
 
 def _tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,26 +407,39 @@ def _products(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) ->
     return out.round().astype(np.int64)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _verified(texts: Texts, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) that are links."""
     ids = scratch.write(pairs.selectExpr("explode(array(a, b)) as doc_id").distinct(), f"{name}-ids")
-    sets = scratch.write(_sets(docs, ids), f"{name}-sets")
+    sets = scratch.write(texts.sets(ids), f"{name}-sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
-    with BatchRows(docs.sparkSession, 128):
+    with BatchRows(scratch.spark, 128):
         links = scratch.write(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(_verify, "a bigint, b bigint"), f"{name}-links")
     scratch.drop(f"{name}-sets", f"{name}-ids")
     return links
 
 
-def join(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
+def join(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot: int = HOT, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs (doc_id, text)."""
-    profile = scratch.write(profiles(spark, docs, frequency_order(docs)), "profiles")
+    profile = scratch.write(profiles(spark, docs, frequency_order(docs, hot)), "profiles")
     sizes = scratch.write(profile.select("doc_id", "high", "low", "n_shingles"), "sizes")
-    digest = sizes.where("n_shingles > 0 and doc_id is not null")
+    shared = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("high", "low")).alias("a"), F.max(F.struct("high", "low")).alias("b")).where("a <> b").select("doc_id")
+    shared = scratch.write(sizes.join(shared, "doc_id", "left_semi").selectExpr("doc_id", f"{_OWN_KEY} as key").distinct(), "shared")
+    several = not shared.isEmpty()
+    texts = Texts(docs, shared if several else None)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        """Rows with their key as doc_id."""
+        if not several:
+            return rows
+        found = rows.join(shared.select("doc_id").distinct().withColumn("is_shared", F.lit(True)), "doc_id", "left")
+        return found.withColumn("doc_id", F.when(F.col("is_shared"), F.expr(_OWN_KEY)).otherwise(F.col("doc_id"))).select(*rows.columns)
+
+    digest = keyed(sizes.where("n_shingles > 0 and doc_id is not null"))
     first = digest.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("v"))
     copies = digest.join(first, ["high", "low", "n_shingles"]).select(F.col("doc_id").alias("u"), "v")
 
-    entries = profile.where("tokens is not null").select("doc_id", "n_shingles", "tokens", "centrality").mapInArrow(_entries, "key bigint, doc_id bigint, info bigint")
+    prefixes = keyed(profile.where("tokens is not null")).select("doc_id", "n_shingles", "tokens", "salts", "centrality")
+    entries = prefixes.mapInArrow(_entries, "key bigint, doc_id bigint, info bigint")
     lists = _with_heads(entries.selectExpr("key", "doc_id", *_FIELDS), "key").where("members > 1 or salt > 0")
     lists = lists.withColumn("token", F.when(F.col("salt") > 0, _unsalted("key", "doc_id", "salt")).otherwise(F.col("key")))
     lists = scratch.write(lists.select("token", "doc_id", "central", "n", "pos", "salt", "head"), "lists")
@@ -363,47 +447,58 @@ def join(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
     # Heads of the groups of a salted list meet by its token.
     heads = lists.where("salt > 0 and doc_id = head.doc").select("token", "doc_id", "central", "n", "pos", "salt")
     pairs = scratch.write(_star(lists).unionByName(_star(_with_heads(heads, "token"))).distinct(), "pairs")
-    links = _verified(docs, pairs, scratch, "star")
+    links = _verified(texts, pairs, scratch, "star")
     edges = copies.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    if several:
+        edges = edges.unionByName(shared.select(F.col("key").alias("u"), F.col("doc_id").alias("v")))
     stars = scratch.write(components(edges, scratch, "stars"), "components")
 
     owned = lists.select("token", "doc_id", "central", "n", "pos", "salt", F.col("head.doc").alias("head")).join(stars, F.col("doc_id") == F.col("node"), "left")
     owned = scratch.write(owned.select("token", "doc_id", "central", "n", "pos", "salt", "head", F.coalesce("component", "doc_id").alias("component")), "owned")
     scratch.drop("lists")
-    # A list that isn't salted has HOT members at most.
+    # A list that isn't salted has about hot members at most.
     rest = F.when(F.col("doc_id") != F.col("head"), F.col("component"))
     gathered = owned.where("salt = 0").groupBy("token").agg(F.first("head").alias("head"), F.min(rest).alias("low"), F.max(rest).alias("high"), F.collect_list(F.struct("doc_id", "component", "n", "pos")).alias("members"))
-    with BatchRows(spark, 2000):
-        found = scratch.write(gathered.where("low <> high").select("token", "head", "members").mapInPandas(_list_pairs, "a bigint, b bigint, token bigint"), "found")
+    with BatchRows(spark, 128):
+        found = scratch.write(gathered.where("low <> high").select("token", "head", "members").mapInPandas(_list_pairs(few), "a bigint, b bigint, token bigint"), "found")
     unmet = scratch.write(found.where("a is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "unmet")
-    more = _verified(docs, unmet, scratch, "more")
+    more = _verified(texts, unmet, scratch, "more")
     crowded = found.where("token is not null").select("token").unionByName(owned.where("salt > 0").select("token")).distinct()
-    last = _across(docs, owned.join(crowded, "token", "left_semi"), scratch)
+    last = _across(texts, owned.join(crowded, "token", "left_semi"), scratch, block)
     joined = stars.selectExpr("node as u", "component as v").unionByName(more.unionByName(last).select(F.col("a").alias("u"), F.col("b").alias("v")))
     ends = components(joined, scratch, "ends")
     scratch.drop("owned", "found", "pairs", "unmet")
+    if several:
+        # Keys aren't ids: a component's id is the least doc_id of its rows.
+        ends = scratch.write(ends, "ends-by-key")
+        least = ends.join(shared.select("key"), ends["node"] == F.col("key"), "left_anti").groupBy("component").agg(F.min("node").alias("least"))
+        ends = ends.join(least, "component").select("node", F.col("least").alias("component"))
     return sizes.join(ends, sizes["doc_id"] == ends["node"], "left").select(sizes["doc_id"], "n_shingles", F.coalesce("component", sizes["doc_id"]).alias("component_id"))
 
 
-def _across(docs: DataFrame, lists: DataFrame, scratch: Scratch) -> DataFrame:
+def _across(texts: Texts, lists: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     """(a, b): all links between documents of different components in each of some lists, however long."""
     lists = scratch.write(lists, "crowded")
     if lists.isEmpty():
-        return lists.sparkSession.createDataFrame([], "a bigint, b bigint")
+        return scratch.spark.createDataFrame([], "a bigint, b bigint")
     open_lists = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("central", (-F.col("doc_id")).alias("doc"))).alias("head")).where("low <> high")
     # A bundle: all documents of the open lists with one head.
     members = lists.join(open_lists.select("token", (-F.col("head.doc")).alias("bundle")), "token").groupBy("bundle", "doc_id").agg(F.first("component").alias("component"), F.first("n").alias("n"))
     members = scratch.write(members, "members")
-    sizes = members.groupBy("bundle", "component").agg(F.sum("n").alias("n")).groupBy("bundle").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
-    sizes = sizes.selectExpr("bundle", "main.component as main", f"cast(ceil(main.n / {BLOCK}) as bigint) as main_blocks", f"cast(ceil((n - main.n) / {BLOCK}) as bigint) as rest_blocks")
-    # Blocks of the largest component have negative numbers; they only meet the blocks of the rest.
-    dealt = members.join(sizes, "bundle").selectExpr("bundle", "doc_id", "component", "if(component = main, -1 - pmod(xxhash64(doc_id), main_blocks), pmod(xxhash64(doc_id), rest_blocks)) as block")
+    main = members.groupBy("bundle", "component").agg(F.sum("n").alias("n")).groupBy("bundle").agg(F.max(F.struct("n", "component")).alias("main"))
+    # Documents of the largest component only meet those of the rest.  Sets that link are of the same class or successive ones.
+    classes = members.join(main, "bundle").selectExpr("bundle", "doc_id", "component", "n", "component = main.component as is_main", f"cast(floor(ln(n) / ln({UNDER} / {OVER})) as int) as class")
+    group = ["bundle", "is_main", "class"]
+    parts = classes.groupBy(*group).agg(F.expr(f"cast(ceil(sum(n) / {block}) as bigint)").alias("parts"))
+    dealt = classes.join(parts, group).selectExpr(*group, "doc_id", "component", "n", "pmod(xxhash64(doc_id), parts) as part")
     ids = scratch.write(members.select("doc_id").distinct(), "member-ids")
-    blocks = dealt.join(scratch.write(_sets(docs, ids), "member-sets"), "doc_id").groupBy("bundle", "block").agg(F.collect_list(F.struct("doc_id", "component", "shingles")).alias("members"))
+    blocks = dealt.join(scratch.write(texts.sets(ids), "member-sets"), "doc_id").groupBy(*group, "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list(F.struct("doc_id", "component", "shingles")).alias("members"))
     blocks = scratch.write(blocks, "blocks")
-    left, right = blocks.where("block >= 0").selectExpr("bundle", "block as i", "members as left"), blocks.selectExpr("bundle", "block as j", "members as right")
-    tiles = left.join(right, (left["bundle"] == right["bundle"]) & (F.col("j") <= F.col("i"))).select("left", "right")
-    with BatchRows(docs.sparkSession, 4):
+    left = blocks.where("not is_main").selectExpr("bundle", "class as i", "part as x", "low as l", "high as h", "members as left")
+    right = blocks.selectExpr("bundle", "is_main", "class as j", "part as y", "low", "high", "members as right", "explode(array(class - 1, class, class + 1)) as i")
+    near = f"(is_main or struct(j, y) <= struct(i, x)) and ({UNDER} * h >= {OVER} * low and {UNDER} * high >= {OVER} * l or greatest(h, high) = {LARGEST})"
+    tiles = left.join(right, ["bundle", "i"]).where(near).select("left", "right")
+    with BatchRows(scratch.spark, 4):
         more = scratch.write(tiles.mapInPandas(_tile, "a bigint, b bigint").distinct(), "more")
     scratch.drop("blocks", "member-sets", "member-ids", "members", "crowded")
     return more

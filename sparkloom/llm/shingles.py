@@ -11,23 +11,9 @@ WORDS = 5
 PIECE = 1 << 18
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
-_rng = np.random.default_rng(0x5EED)
-_SYMBOL = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_powers = {"size": 0}
-
-
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64 and their inverses."""
-    if _powers["size"] < size:
-        size = max(size, 1 << 16)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("up", _BASE), ("down", inverse)):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-        _powers["size"] = size
-    return _powers["up"], _powers["down"]
+#: A random value for each byte at each of the first PLACES positions of a word.
+PLACES = 64
+_VALUES = np.random.default_rng(0x5EED).integers(0, 1 << 64, PLACES << 8, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,7 +24,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """One 64-bit hash for each word of some lower-cased texts, and the number of words of each text."""
+    """One 64-bit hash for each word of some lower-cased texts, and the number of words of each text.
+
+    A word's hash is the mixed sum of a random value for each (place, byte), so no two words collide but by chance.
+    """
     raw = raws[0] if len(raws) == 1 else b"\n".join(raws)
     found, places = [], []
     at = 0
@@ -47,14 +36,22 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         while end < len(raw) and not _WHITE[raw[end]]:
             end += 1
         piece = np.frombuffer(raw, dtype=np.uint8, count=end - at, offset=at)
-        up, down = _power_tables(len(piece) + 1)
         white = np.ones(len(piece) + 2, dtype=bool)
         np.take(_WHITE, piece, out=white[1:-1])
         edges = np.flatnonzero(white[1:] != white[:-1])
         starts, ends = edges[::2], edges[1::2]
+        # The place of each byte in its word; that of white space doesn't matter.
+        index = np.arange(len(piece), dtype=np.int64)
+        first = np.zeros(len(piece), dtype=np.int64)
+        first[starts] = starts
+        index -= np.maximum.accumulate(first, out=first)
+        values = _VALUES.take(((index & (PLACES - 1)) << 8) | piece)
+        if len(starts) and int((ends - starts).max()) > PLACES:
+            far = np.flatnonzero(index >= PLACES)
+            values[far] = mix(values[far] + mix((index[far] >> (PLACES.bit_length() - 1)).astype(np.uint64)))
         sums = np.zeros(len(piece) + 1, dtype=np.uint64)
-        np.cumsum(_SYMBOL[piece] * up[: len(piece)], out=sums[1:])
-        found.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        np.cumsum(values, out=sums[1:])
+        found.append(mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64)))
         places.append(starts + at)
         at = end
     if not found:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import ann, byte_tokens, embed_dedup, huffman, lang_id, mixing, ngram_join, pieces, quality, queries, token_counts, warc
 from sparkloom.llm.common import Scratch
+from sparkloom.llm.shingles import shingle_set
 
 ODD = [None, "", " ", "\n\n", "one", "two words here", "the cat sat on the mat. And then\nit ran, <|endoftext|> away!", "  double  spaces \t tab", "été où ça ¿qué? 你好 🌍 ǅ", "x" * 3000, "it's d'ou, x.\nIt's"]
 
@@ -83,16 +84,71 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def check_join(spark, rows, **options):
+    """rows: (doc_id, text), any of them null; rows that share a doc_id are one document."""
+    got = ngram_join.join(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), Scratch(spark, "t"), **options).collect()
+    sets = [shingles(t) for _, t in rows]
+    ids = sorted({i for i, _ in rows if i is not None})
+    place = {i: k for k, i in enumerate(ids)}
+    by_shingle = {}
+    for k, s in enumerate(sets):
+        for x in s if rows[k][0] is not None else ():
+            by_shingle.setdefault(x, []).append(k)
+    near = {p for own in by_shingle.values() for p in itertools.combinations(own, 2)}
+    links = [(place[rows[a][0]], place[rows[b][0]]) for a, b in near if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    of = list(range(len(ids)))
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            if of[i] != of[j]:
+                of[i] = of[j] = min(of[i], of[j])
+                changed = True
+    want = sorted((str(i), len(s), str(None if i is None else ids[of[place[i]]])) for (i, _), s in zip(rows, sets, strict=True))
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == want
+    return links
+
+
 def test_ngram_join(spark, docs):
-    got = ngram_join.join(spark, docs.select("doc_id", "text"), Scratch(spark, "t")).toPandas()
-    rows = docs.select("doc_id", "text").where("doc_id is not null").distinct().toPandas()
-    sets = {int(i): shingles(t) for i, t in zip(rows["doc_id"], rows["text"], strict=True)}
-    n = max(sets) + 1
-    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
-    of = brute_components(n, links)
-    assert links and len(got) == docs.count()
-    for row in got.dropna(subset=["doc_id"]).itertuples():
-        assert (row.n_shingles, row.component_id) == (len(sets[row.doc_id]), of[int(row.doc_id)])
+    assert check_join(spark, [tuple(r) for r in docs.select("doc_id", "text").collect()])
+    assert ngram_join.join(spark, docs.select("doc_id", "text").limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_ngram_join_of_shared_ids(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = (" ".join(rng.choice([f"w{i}" for i in range(400)], 40)) for _ in range(3))
+    assert check_join(spark, [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, c), (4, None), (5, c + " z"), (6, ""), (6, "x"), (7, "x"), (1, a)])
+
+
+def test_ngram_join_of_crowded_lists(spark):
+    """Groups whose members share most shingles with each other and more with some: every way of the join is taken."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+    common = list(rng.choice(words, 30))
+    rows = []
+    for k in range(25):
+        own = [*common, *rng.choice(words, 11)]
+        for j in range(8):
+            t = list(own)
+            t[31 + j] = f"x{k}-{j}"
+            rows.append((len(rows), " ".join(t + ["y"] * int(rng.integers(0, 3)))))
+    assert check_join(spark, rows)
+    assert check_join(spark, rows, hot=20, few=0, block=512)
+
+
+def test_digests_after_empty_texts():
+    n = np.array([3, 0, 0])
+    high, low = ngram_join._digests(n, np.array([1, 2, 3], dtype=np.uint64))
+    more, _ = ngram_join._digests(n, np.array([1, 2, 4], dtype=np.uint64))
+    assert high[0] != more[0] and not high[1:].any() and not low[1:].any()
+
+
+def test_long_words_that_differ():
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert shingle_set(word)[0] != shingle_set(other)[0] and shingle_set(word)[0] == shingle_set(f" {word}\n")[0]
 
 
 def test_mixing(spark, docs):
