@@ -6,8 +6,9 @@
    digest and cost nothing afterwards.  The others emit their prefix: any two sets that reach the similarity
    share one of their first n - ceil(0.75 n) + 1 shingles.
 3. The prefixes meet by shingle.  Of each list the most central document (the one with the commonest shingles)
-   is paired with all others: a star, linear in the list.  Length and positional filters drop pairs there; each
-   distinct pair is then verified once, after a suffix filter (a bound by hash ranges).
+   is paired with all others: a star, linear in the list.  Length and positional filters drop pairs there.  Of each
+   distinct pair small bitmaps of both sets bound the overlap first; what passes is verified once, after a suffix
+   filter (a bound by hash ranges).
 4. Lists that still hold more than one component beside their head look for further pairs of different components
    that pass the filters; a list with a few of these for each member yields them, to be verified once.  A list with
    more is gathered with others of its head; such a bundle is cut into blocks by set size and by hash, only blocks
@@ -49,8 +50,8 @@ SKETCH_BITS = 22
 SLICES, PARTS, STEPS = 16, 64, 8
 #: Sketched count from which a shingle's list is salted, into groups of about half as many.
 HOT = 20_000
-#: Sets that a task remembers.
-SEEN = 100_000
+#: Sets that a task remembers, and the most rows of two numbers that are broadcast (other tables are shuffled).
+SEEN, SMALL = 100_000, 1 << 20
 #: A document's size and the position in its prefix, in one long with its centrality and the salt's bits.
 FIELD = 26
 LARGEST = (1 << FIELD) - 1
@@ -154,7 +155,30 @@ def _digests(n: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return high, low
 
 
-PROFILE = "doc_id bigint, n_shingles bigint, high bigint, low bigint, tokens binary, salts binary, centrality int"
+def _signature(shingles: np.ndarray) -> bytes:
+    """A bitmap of 4 to 8 bits for each shingle: a bit for the hash of each, so that halves may be laid over each other."""
+    bits = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+    flags = np.zeros(bits, dtype=bool)
+    flags[(mix(shingles ^ np.uint64(0x5BD1E995)) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def _may_link(n: int, m: int, left: bytes, right: bytes) -> bool:
+    """False if the bitmaps of two sets show that they lack too much of each other."""
+    x, y = np.frombuffer(left, dtype=np.uint8), np.frombuffer(right, dtype=np.uint8)
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, width), axis=0) for z in (x, y))
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return most >= least_overlap(n, m)
+
+
+def _sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        keep = [_may_link(*row) for row in zip(batch["n"].tolist(), batch["m"].tolist(), batch["left"], batch["right"], strict=True)]
+        yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
+
+
+PROFILE = "doc_id bigint, n_shingles bigint, high bigint, low bigint, tokens binary, salts binary, signature binary, centrality int"
 
 
 def profiles(spark: SparkSession, docs: DataFrame, order: Order) -> DataFrame:
@@ -181,19 +205,16 @@ def profiles(spark: SparkSession, docs: DataFrame, order: Order) -> DataFrame:
                     central[full] = np.add.reduceat(frequency.astype(np.int64), starts[full]) // n[full] // 4
                 if len(seen) > SEEN:
                     seen.clear()
-                prefixes: list[bytes | None] = []
-                salts: list[bytes | None] = []
+                made: list[tuple[bytes | None, ...]] = []  # tokens, salts and signature of each row
                 for doc, size, start, key in zip(own.to_pylist(), n.tolist(), starts.tolist(), zip(high.tolist(), low.tolist(), strict=True), strict=True):
                     if not size or doc is None or key in seen:
-                        prefixes.append(None)
-                        salts.append(None)
+                        made.append((None, None, None))
                     else:
                         seen.add(key)
                         prefix = np.sort(tokens[start : start + size])[: prefix_length(size)]
-                        prefixes.append(prefix.tobytes())
-                        salts.append(order.salts(prefix).astype(np.uint8).tobytes())
-                columns = [own, pa.array(n), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(prefixes, pa.binary()), pa.array(salts, pa.binary()), pa.array(central)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "high", "low", "tokens", "salts", "centrality"])
+                        made.append((prefix.tobytes(), order.salts(prefix).astype(np.uint8).tobytes(), _signature(shingles[start : start + size])))
+                columns = [own, pa.array(n), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), *(pa.array(c, pa.binary()) for c in zip(*made, strict=True)), pa.array(central)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "high", "low", "tokens", "salts", "signature", "centrality"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(profile, PROFILE)
 
@@ -283,10 +304,18 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 @dataclasses.dataclass(frozen=True)
 class Texts:
-    """docs (doc_id, text) and, of rows that share a doc_id with other sets, doc_id and key, distinct; None if there are none."""
+    """docs (doc_id, text) and, of rows that share a doc_id with other sets, doc_id and key, distinct; None if there are none.
+
+    unique: no doc_id comes twice.  signatures: (doc_id, n, signature) by key.
+    """
 
     docs: DataFrame
     shared: DataFrame | None
+    unique: bool
+    signatures: DataFrame
+
+    def once(self, rows: DataFrame) -> DataFrame:
+        return rows if self.unique else rows.dropDuplicates(["doc_id"])
 
     def sets(self, keys: DataFrame) -> DataFrame:
         """(doc_id, shingles): the sorted set of each row whose key is in keys (doc_id, distinct), as raw 64-bit values."""
@@ -304,7 +333,7 @@ class Texts:
         docs = self.docs.select(F.col("doc_id").cast("bigint"), "text")
         schema = "doc_id bigint, high bigint, low bigint, shingles binary"
         if self.shared is None:
-            return _only(docs, keys).mapInArrow(of, schema).select("doc_id", "shingles").dropDuplicates(["doc_id"])
+            return self.once(_only(docs, keys).mapInArrow(of, schema).select("doc_id", "shingles"))
         named = keys.withColumnRenamed("doc_id", "key").join(self.shared.select("key", F.col("doc_id").alias("of")), "key", "left")
         wanted = named.select(F.coalesce("of", "key").alias("doc_id"), F.col("of").isNotNull().alias("is_shared")).distinct()
         found = _only(docs, wanted.select("doc_id")).mapInArrow(of, schema).join(wanted, "doc_id")
@@ -409,23 +438,32 @@ def _products(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) ->
 
 def _verified(texts: Texts, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) that are links."""
+    ids = scratch.write(pairs.selectExpr("explode(array(a, b)) as doc_id").distinct(), f"{name}-all-ids")
+    known = scratch.write(texts.once(_only(texts.signatures, ids)), f"{name}-signatures")
+    left, right = known.selectExpr("doc_id as a", "n", "signature as left"), known.selectExpr("doc_id as b", "n as m", "signature as right")
+    pairs = scratch.write(pairs.join(left, "a").join(right, "b").mapInPandas(_sift, "a bigint, b bigint"), f"{name}-sifted")
     ids = scratch.write(pairs.selectExpr("explode(array(a, b)) as doc_id").distinct(), f"{name}-ids")
     sets = scratch.write(texts.sets(ids), f"{name}-sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
     with BatchRows(scratch.spark, 128):
         links = scratch.write(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInPandas(_verify, "a bigint, b bigint"), f"{name}-links")
-    scratch.drop(f"{name}-sets", f"{name}-ids")
+    scratch.drop(*(f"{name}-{x}" for x in ("sets", "ids", "all-ids", "signatures", "sifted")))
     return links
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
 def join(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot: int = HOT, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs (doc_id, text)."""
     profile = scratch.write(profiles(spark, docs, frequency_order(docs, hot)), "profiles")
     sizes = scratch.write(profile.select("doc_id", "high", "low", "n_shingles"), "sizes")
-    shared = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("high", "low")).alias("a"), F.max(F.struct("high", "low")).alias("b")).where("a <> b").select("doc_id")
-    shared = scratch.write(sizes.join(shared, "doc_id", "left_semi").selectExpr("doc_id", f"{_OWN_KEY} as key").distinct(), "shared")
+    again = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("high", "low")).alias("a"), F.max(F.struct("high", "low")).alias("b")).where("rows > 1")
+    again = scratch.write(again.selectExpr("doc_id", "a <> b as differ"), "again")
+    shared = scratch.write(sizes.join(again.where("differ"), "doc_id", "left_semi").selectExpr("doc_id", f"{_OWN_KEY} as key").distinct(), "shared")
     several = not shared.isEmpty()
-    texts = Texts(docs, shared if several else None)
 
     def keyed(rows: DataFrame) -> DataFrame:
         """Rows with their key as doc_id."""
@@ -434,6 +472,9 @@ def join(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot: int = HOT,
         found = rows.join(shared.select("doc_id").distinct().withColumn("is_shared", F.lit(True)), "doc_id", "left")
         return found.withColumn("doc_id", F.when(F.col("is_shared"), F.expr(_OWN_KEY)).otherwise(F.col("doc_id"))).select(*rows.columns)
 
+    signatures = keyed(profile.where("tokens is not null")).selectExpr("doc_id", "n_shingles as n", "signature")
+    texts = Texts(docs, shared if several else None, again.isEmpty(), signatures)
+
     digest = keyed(sizes.where("n_shingles > 0 and doc_id is not null"))
     first = digest.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("v"))
     copies = digest.join(first, ["high", "low", "n_shingles"]).select(F.col("doc_id").alias("u"), "v")
@@ -443,7 +484,6 @@ def join(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot: int = HOT,
     lists = _with_heads(entries.selectExpr("key", "doc_id", *_FIELDS), "key").where("members > 1 or salt > 0")
     lists = lists.withColumn("token", F.when(F.col("salt") > 0, _unsalted("key", "doc_id", "salt")).otherwise(F.col("key")))
     lists = scratch.write(lists.select("token", "doc_id", "central", "n", "pos", "salt", "head"), "lists")
-    scratch.drop("profiles")
     # Heads of the groups of a salted list meet by its token.
     heads = lists.where("salt > 0 and doc_id = head.doc").select("token", "doc_id", "central", "n", "pos", "salt")
     pairs = scratch.write(_star(lists).unionByName(_star(_with_heads(heads, "token"))).distinct(), "pairs")
@@ -453,7 +493,7 @@ def join(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot: int = HOT,
         edges = edges.unionByName(shared.select(F.col("key").alias("u"), F.col("doc_id").alias("v")))
     stars = scratch.write(components(edges, scratch, "stars"), "components")
 
-    owned = lists.select("token", "doc_id", "central", "n", "pos", "salt", F.col("head.doc").alias("head")).join(stars, F.col("doc_id") == F.col("node"), "left")
+    owned = lists.select("token", "doc_id", "central", "n", "pos", "salt", F.col("head.doc").alias("head")).join(_small(stars), F.col("doc_id") == F.col("node"), "left")
     owned = scratch.write(owned.select("token", "doc_id", "central", "n", "pos", "salt", "head", F.coalesce("component", "doc_id").alias("component")), "owned")
     scratch.drop("lists")
     # A list that isn't salted has about hot members at most.
@@ -463,8 +503,9 @@ def join(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot: int = HOT,
         found = scratch.write(gathered.where("low <> high").select("token", "head", "members").mapInPandas(_list_pairs(few), "a bigint, b bigint, token bigint"), "found")
     unmet = scratch.write(found.where("a is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "unmet")
     more = _verified(texts, unmet, scratch, "more")
-    crowded = found.where("token is not null").select("token").unionByName(owned.where("salt > 0").select("token")).distinct()
-    last = _across(texts, owned.join(crowded, "token", "left_semi"), scratch, block)
+    scratch.drop("profiles")
+    crowded = scratch.write(found.where("token is not null").select("token").unionByName(owned.where("salt > 0").select("token")).distinct(), "crowded-tokens")
+    last = _across(texts, owned.join(_small(crowded), "token", "left_semi"), scratch, block)
     joined = stars.selectExpr("node as u", "component as v").unionByName(more.unionByName(last).select(F.col("a").alias("u"), F.col("b").alias("v")))
     ends = components(joined, scratch, "ends")
     scratch.drop("owned", "found", "pairs", "unmet")
