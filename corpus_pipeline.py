@@ -39,17 +39,18 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest doc_id, of each group of near duplicates."""
+    gone, rows, place, again = (fresh(docs, name) for name in ("gone", "rows", "place", "again"))
     groups = ngram_join.join(spark, docs.select("doc_id", "text"), Scratch(spark, "groups"))
-    gone = Scratch(spark, "gone").write(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "ids")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, docs["doc_id"].cast("bigint") == F.col("gone"), "left_anti")
+    lost = Scratch(spark, "gone").write(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "ids")
+    kept = docs.join(lost, docs["doc_id"].cast("bigint") == F.col(gone), "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias(rows)).where(F.col(rows) > 1).select("doc_id")
     if repeated.isEmpty():
         return kept
     # Rows that share a doc_id: the one with the smallest content stays.
-    place, again = fresh(docs, "place"), fresh(docs, "again")
-    ranked = kept.join(repeated.withColumn(again, F.lit(True)), "doc_id", "left").select(*docs.columns, again)
-    few = ranked.where(f"{again}").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias(place)).select("doc_id", f"{place}.*")
-    return ranked.where(f"{again} is null").select(*docs.columns).unionByName(few.select(*docs.columns))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = kept.join(repeated.withColumn(again, F.lit(True)), "doc_id", "left").select(*names, again)
+    few = marked.where(F.col(again)).groupBy("doc_id").agg(F.min(F.struct(*[n for n, c in zip(names, docs.columns, strict=True) if c != "doc_id"])).alias(place)).select("doc_id", f"{place}.*")
+    return marked.where(F.col(again).isNull()).select(*names).unionByName(few.select(*names))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("pieces", token_ids),
 ]
-#: Language, quality and piece ids are not SQL; tests/llm compares run() with a brute-force version.
+#: Language, quality and piece ids are not SQL; tests/llm/test_pipeline.py follows run() stage by stage in plain Python.
 ORACLE_SQL = None
 
 

@@ -20,11 +20,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD, Scratch
+from sparkloom.llm.common import WORD, Scratch, fresh
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
@@ -33,9 +33,14 @@ SEED = 17
 _NEAR = 1e-9
 
 
+def words(text: str) -> Column:
+    """The number of words of a whole text; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size): size is the number of words of the whole text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    return docs.select("doc_id", "source", words("text").alias("size"))
 
 
 def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
@@ -128,8 +133,21 @@ def copies(spark: SparkSession, sized: DataFrame, scratch: Scratch, weights: Seq
 
 
 def mix(spark: SparkSession, docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; repeated doc_ids share the most copies of any of them."""
-    taken = copies(spark, sizes(docs), scratch, **options).groupBy("doc_id").agg(F.max("copies").alias("n"))
-    taken = scratch.write(taken.where("n > 0"), "taken")
-    joined = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("t.n")))).select("d.*")
+    """The rows of docs, each as often as the mix takes it; all columns stay.
+
+    Rows that share a doc_id are told apart by source and size; those that share these too take the copies of their
+    group in the order of their texts' hashes.
+    """
+    sized = sizes(docs)
+    taken = scratch.write(copies(spark, sized, scratch, **options).where("copies > 0").select("doc_id", "source", "size", "copies"), "taken")
+    keys, kept = ["doc_id"], docs
+    if not sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+        size, place = fresh(docs, "size"), fresh(docs, "place")
+        own = W.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))
+        kept = docs.withColumn(size, words("text")).withColumn(place, F.row_number().over(own))
+        taken = taken.withColumn("place", F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies"))))
+        taken = taken.withColumnsRenamed({"size": size, "place": place})
+        keys = ["doc_id", "source", size, place]
+    same = [F.col(f"d.`{k}`").eqNullSafe(F.col(f"t.`{k}`")) for k in keys]
+    again = F.explode(F.sequence(F.lit(1), F.col("t.copies"))).alias(fresh(docs, "copy"))
+    return kept.alias("d").join(taken.alias("t"), same).select(*[F.col(f"d.`{c}`") for c in docs.columns], again).select(*[F.col(f"`{c}`") for c in docs.columns])
