@@ -72,7 +72,8 @@ def excluded(path: Column, patterns: list[str]) -> Column:
 
 
 def saturating_add(a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_add(a, b), F.lit(2**63 - 1))
+    """The sum of two longs, held at the largest or smallest one; null if either is null."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.try_add(a, b), F.when(a > 0, F.lit(2**63 - 1)).otherwise(F.lit(-(2**63)))))
 
 
 def similarity(a: Column, b: Column) -> Column:

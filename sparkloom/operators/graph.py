@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 def _cut(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again: lineage ends there, and no executor alone holds it."""
     spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.gettempdir()
     path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -124,14 +127,27 @@ def resolve_cascade(refs: DataFrame, symbols: DataFrame, imports: DataFrame) ->
 
     refs: (ref_id, path, module, name); symbols: (symbol_id, path, module, name); imports: (src, tgt).  The first stage that
     is not empty counts; one target is resolved, more are ambiguous, none is unresolved.
+
+    Symbols are counted by each stage's key first, so a reference meets one row a stage, however many share its name.
     """
-    s = symbols.select("symbol_id", F.col("path").alias("s_path"), F.col("module").alias("s_module"), "name")
-    met = refs.join(s, "name").join(imports.select(F.col("src").alias("path"), F.col("tgt").alias("s_path"), F.lit(True).alias("imported")).distinct(), ["path", "s_path"], "left")
-    stage = F.when(F.col("path") == F.col("s_path"), 1).when(F.col("module") == F.col("s_module"), 2).when(F.col("imported"), 3).otherwise(4)
-    first = met.withColumn("stage", stage).groupBy("ref_id", "stage").agg(F.count(F.lit(1)).alias("n_targets"), F.min("symbol_id").alias("target"))
-    best = first.groupBy("ref_id").agg(F.min_by(F.struct("stage", "n_targets", "target"), "stage").alias("b")).select("ref_id", "b.*")
-    state = F.when(F.col("n_targets") == 1, "resolved").when(F.col("n_targets") > 1, "ambiguous").otherwise("unresolved")
-    return refs.select("ref_id").join(best, "ref_id", "left").select("ref_id", "stage", F.coalesce("n_targets", F.lit(0)).alias("n_targets"), F.when(F.col("n_targets") == 1, F.col("target")).alias("target"), state.alias("resolution"))
+    found = [F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("first")]
+    seen = imports.select("src", F.col("tgt").alias("path")).distinct().join(symbols.select("symbol_id", "path", "name"), "path")
+    stages = [
+        (["name", "path"], symbols),
+        (["name", "module"], symbols),
+        (["name", "path"], seen.select("symbol_id", "name", F.col("src").alias("path"))),
+        (["name"], symbols),
+    ]
+    met, hits = refs.select("ref_id", "path", "module", "name"), []
+    for k, (keys, own) in enumerate(stages, 1):
+        hit = F.struct(F.lit(k).alias("stage"), F.col("n"), F.col("first"))
+        counted = own.groupBy(*keys).agg(*found).select(*keys, hit.alias(f"hit{k}"))
+        met = met.join(counted, keys, "left")
+        hits.append(F.col(f"hit{k}"))
+    best = met.select("ref_id", F.coalesce(*hits).alias("b")).groupBy("ref_id").agg(F.min("b").alias("b"))
+    n = F.coalesce(F.col("b.n"), F.lit(0))
+    state = F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unresolved")
+    return best.select("ref_id", F.col("b.stage").alias("stage"), n.alias("n_targets"), F.when(n == 1, F.col("b.first")).alias("target"), state.alias("resolution"))
 
 
 #: Positions to a bucket of innermost().

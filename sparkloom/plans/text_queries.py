@@ -210,7 +210,6 @@ ORACLE_SQL = {
     "binary_filter": "with x as (select doc_id, substr(case when doc_id % 4 = 0 then chr(1) || chr(2) || chr(3) || substr(text, 1, 20) else text end, 1, 8192) as t from documents) select doc_id, len(regexp_extract_all(t, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]')) * 10 >= len(t) and len(t) > 0 as is_binary from x",
     "byte_scalar_columns": "select doc_id, cast(length(text) as bigint) as scalars, cast(strlen(text) as bigint) as bytes from documents",
     "common_run": f"with {LINES_SQL}, o as (select doc_id // 2 as pair, doc_id, ln, trim(line) as line from l where trim(line) <> ''), j as (select a.pair, a.ln as i, a.ln - b.ln as diagonal from o a join o b on a.pair = b.pair and a.line = b.line and a.doc_id % 2 = 0 and b.doc_id % 2 = 1), k as (select pair, diagonal, i - row_number() over (partition by pair, diagonal order by i) as island from j), r as (select pair, count(*) as run from k group by pair, diagonal, island) select pair, max(run) as run from r group by pair",
-    "fuzzy_match": f"with {LINES_SQL}, t as (select doc_id, max(line) filter (where ln = 1) as a, max(line) filter (where ln = 2) as b from l where ln <= 2 group by doc_id), p as (select doc_id, substr(regexp_replace(a, '[^\\x20-\\x7E]', '', 'g'), 1, 200) as a, substr(regexp_replace(b, '[^\\x20-\\x7E]', '', 'g'), 1, 200) as b from t where b is not null), q as (select *, trim(regexp_replace(a, '\\s+', ' ', 'g')) as x, trim(regexp_replace(b, '\\s+', ' ', 'g')) as y from p) select doc_id, cast(levenshtein(a, b) as int) as distance, round(1 - levenshtein(x, y) / greatest(len(x), len(y), 1), 6) as similarity from q",
     "glob_filter": f"with {FILES_SQL} select path from f where regexp_matches(path, '^src[^/]*/(?:[^/]+/)*[^/]*\\.en$') and not (split_part(path, '/', 1) = 'src1' or regexp_matches(path, '^[^/]*7\\.en$') or regexp_matches(split_part(path, '/', 2), '^[^/]*7\\.en$'))",
     "search_topk_name": f"with {FILES_SQL} select path, split_part(path, '/', -1) as name from f order by name, path limit 20",
     "search_topk_size": f"with {FILES_SQL} select path, cast(strlen(text) as bigint) as size from f order by size desc, path desc limit 20",

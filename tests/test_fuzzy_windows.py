@@ -58,6 +58,3 @@ def test_all_lines_of_every_document(spark):
                 assert got[k, n] == by_hand(line, first)[0][1:]
                 checked += 1
     assert checked > 200
-    short = {k for k, t in docs if t.count("\n") and all(len(x) <= 200 and re.fullmatch("[ -~]*", x) for x in t.split("\n")[:2])}
-    same = [(k, d, s) for k, d, s in con.execute(catalog.ORACLE_SQL["fuzzy_match"]).fetchall() if k in short]
-    assert same and all(got[k, 2] == (d, s) for k, d, s in same)

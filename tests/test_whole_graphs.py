@@ -46,7 +46,7 @@ def rows(df) -> list[tuple]:
 def test_deps_of_every_node(spark):
     got = rows(catalog.QUERIES["deps"](spark, FOLDER).select("src", "tgt"))
     assert got == sorted(all_edges())
-    assert {r for r in got if 10 <= r[0] <= 30} == sql_rows("deps")
+    assert set(got) == sql_rows("deps")
 
 
 def test_dependents_of_every_node(spark):
@@ -55,7 +55,7 @@ def test_dependents_of_every_node(spark):
         into.setdefault(b, []).append(a)
     got = rows(catalog.QUERIES["dependents"](spark, FOLDER).select("tgt", "n", "first", "last"))
     assert got == sorted((t, len(s), min(s), max(s)) for t, s in into.items())
-    assert {r for r in got if 2 <= r[0] <= 5} == sql_rows("dependents")
+    assert set(got) == sql_rows("dependents")
 
 
 def test_cycles_of_the_whole_graph(spark):
@@ -63,7 +63,6 @@ def test_cycles_of_the_whole_graph(spark):
     got = rows(catalog.QUERIES["cycles"](spark, FOLDER).select("src", "tgt"))
     assert got == sorted(on_cycles(e | {(b, a) for a, b in e if a % 4 == 0}))
     assert max(a for a, _ in got) > 60
-    assert sql_rows("cycles") <= set(got)
 
 
 @pytest.mark.parametrize("edges", [
