@@ -7,13 +7,18 @@
 3. Every row is indexed in its most probable partition; partitions are stored as packed blocks of bounded size, so
    a partition that holds a third of all rows is many blocks.
 4. A query visits its several most probable partitions; how much probability they must cover is calibrated on the
-   sample for TARGET recall.  Blocks and query blocks meet by partition, each keeps a query's k best by the exact
-   cosine in double precision, and the best of all are ranked.
+   sample for TARGET recall.  Every block of a visited partition meets every block of its queries; pairs of blocks
+   are dealt by both numbers, so a hot partition is many tasks.  Each pair keeps a query's k best by the exact cosine
+   in double precision, and the best of all are ranked.
+
+Partitions hold about ROOT times the root of the number of rows, so queries are routed on small tables too.
 
 Nulls and edge cases: rows whose id is null and vectors that are null, empty, zero, or hold null or non-finite
-components take no part; neither do vectors whose length is not the commonest one.  A query is no candidate for
-itself (rows with the query's own id are left out); a candidate id comes once, with its best score.  Fewer candidates than k are all returned: a query visits more
-partitions until these hold k others.  Equal scores go to the smaller id; an empty table gives no rows.
+components take no part.  Vectors are compared with those of their own length; the index is fitted on the commonest
+length, and the vectors of each other length are one partition, which is searched whole.  A query is no candidate for
+itself (rows with the query's own id are left out); a candidate id comes once, with its best score.  Fewer candidates
+than k are all returned: a query visits more partitions until these hold k others.  Equal scores go to the smaller
+id; an empty table gives no rows.  target=1 visits every partition, which is an exact search.
 """
 
 from __future__ import annotations
@@ -33,8 +38,9 @@ from sparkloom.llm.vectors import BatchRows, as_doubles, matrix, unit, unpack, u
 #: The bound of the sample that the index is fitted on.
 SAMPLE = 8192
 NEIGHBOURS, TARGET, SEED = 10, 0.97, 29
-#: Rows of a partition wanted, the most partitions, and rows and queries of a packed block.
-PARTITION_ROWS, MOST_PARTITIONS, BLOCK, QUERY_BLOCK = 2048, 256, 2048, 512
+#: Rows wanted in a partition in roots of all rows, the most partitions that the sample supports, rows and queries of
+#: a packed block, and how many query blocks meet a block in one group.
+ROOT, MOST_PARTITIONS, BLOCK, QUERY_BLOCK, TOGETHER = 4, 256, 2048, 512, 16
 _TIE = 1e-12
 
 
@@ -136,13 +142,13 @@ class Router:
         order = np.argsort(-p, axis=1, kind="stable")
         covered = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
         rows = np.cumsum(self.sizes[order], axis=1)
-        count = 1 + np.maximum((covered < self.mass).sum(axis=1), (rows < least).sum(axis=1))
+        count = np.minimum(p.shape[1], 1 + np.maximum((covered < self.mass).sum(axis=1), (rows < least).sum(axis=1)))
         return [o[:c].tolist() for o, c in zip(order, count, strict=True)]
 
 
 def fit_router(x: np.ndarray, rows: int, target: float = TARGET) -> Router:
     """x: the sample's unit vectors; rows: how many rows will be indexed."""
-    levels = int(np.clip(np.log2(max(1, rows / PARTITION_ROWS)).round(), 0, np.log2(MOST_PARTITIONS)))
+    levels = int(np.clip(np.log2(max(1, rows**0.5 / ROOT)).round(), 0, np.log2(MOST_PARTITIONS)))
     levels = min(levels, int(np.log2(max(1, len(x) // (4 * NEIGHBOURS)))))
     if levels == 0:
         return Router(x.shape[1], np.zeros((x.shape[1] + 1, 1)), 1.0)
@@ -157,8 +163,8 @@ def fit_router(x: np.ndarray, rows: int, target: float = TARGET) -> Router:
     before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1)
     rank = np.argsort(order, axis=1, kind="stable")
     needed = np.take_along_axis(before, np.take_along_axis(rank, where[near[fold][:, :5]], axis=1), axis=1)
-    mass = float(np.quantile(needed, target)) + 1e-9
-    return Router(x.shape[1], fit_classifier(x, wanted), min(1.0, mass))
+    mass = float(np.quantile(needed, target)) + 1e-9 if target < 1 else 2.0
+    return Router(x.shape[1], fit_classifier(x, wanted), mass)
 
 
 def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
@@ -176,58 +182,81 @@ def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: i
     yield pd.DataFrame({"query_id": q_ids[i[keep]], "vec_id": ids[j[keep]], "score": exact[keep]})
 
 
+def _dealt(rows: DataFrame, parts: int, others: int, most: int) -> tuple[np.ndarray, Column]:
+    """Rows of each of the router's partitions, and over how many blocks of most rows those of column part are dealt.
+
+    One row for each partition comes to the driver, MOST_PARTITIONS at most; others counts the rows of other lengths.
+    """
+    counted = rows.where("part >= 0").groupBy("part").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    sizes = np.zeros(parts, dtype=np.int64)
+    sizes[counted["part"]] = counted["n"]
+    blocks = F.element_at(F.array(*[F.lit(int(-(-s // most)) or 1) for s in sizes]), F.greatest(F.col("part"), F.lit(0)) + 1)
+    return sizes, F.when(F.col("part") < 0, F.lit(-(-others // most) or 1)).otherwise(blocks).cast("bigint")
+
+
 def search(spark: SparkSession, rows: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, id_column: str = "vec_id", embedding: str = "embedding", target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of rows that is_query selects."""
     usable_rows = rows.where(F.col(id_column).isNotNull()).where(usable(embedding))
     vectors = usable_rows.select(F.col(id_column).cast("bigint").alias("vec_id"), as_doubles(embedding).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    lengths = vectors.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    if lengths is None:
+    lengths = vectors.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    common = lengths.agg(F.max_by("dim", F.struct("n", -F.col("dim"))).alias("dim"), F.max("n").alias("n"), F.sum("n").alias("rows")).first()
+    if common["dim"] is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dim, n = lengths["dim"], lengths["n"]
-    vectors = vectors.where(F.size("vec") == dim)
+    dim, n = common["dim"], common["n"]
     mixed = F.xxhash64("vec_id", F.lit(SEED))
     bound = -(2**63) + int(2**64 * min(1.0, 2 * SAMPLE / n)) - 1
-    sample = vectors.where(mixed <= F.lit(bound)).orderBy(mixed, "vec").limit(SAMPLE).select("vec").toPandas()
+    sample = vectors.where(F.size("vec") == dim).where(mixed <= F.lit(bound)).orderBy(mixed, "vec").limit(SAMPLE).select("vec").toPandas()
     router = fit_router(unit(matrix(sample["vec"], dim)), n, target)
     shared = spark.sparkContext.broadcast(router)
 
     @F.pandas_udf("int")
     def partition(vecs: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.partition(unit(matrix(vecs, dim))).astype(np.int32))
+        width = vecs.map(len).to_numpy(dtype=np.int32)
+        own, out = width == dim, -width
+        if own.any():
+            out[own] = shared.value.partition(unit(matrix(vecs[own], dim)))
+        return pd.Series(out)
 
     placed = scratch.write(vectors.withColumn("part", partition("vec")), "placed")
-    counted = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).toPandas()  # one row for each partition, MOST_PARTITIONS at most
-    sizes = np.zeros(router.weights.shape[1], dtype=np.int64)
-    sizes[counted["part"]] = counted["n"]
+    sizes, blocks_of = _dealt(placed, router.weights.shape[1], common["rows"] - n, BLOCK)
     final = spark.sparkContext.broadcast(dataclasses.replace(router, sizes=sizes))
-    blocks_of = F.element_at(F.array(*[F.lit(int(-(-s // BLOCK)) or 1) for s in sizes]), F.col("part") + 1)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[~pd.DataFrame({"id": pdf["vec_id"], "x": [np.asarray(v).tobytes() for v in pdf["vec"]]}).duplicated()]
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "x": [unit(matrix(pdf["vec"], dim)).tobytes()]})
+        width = len(pdf["vec"].iloc[0])
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "block": [pdf["block"].iloc[0]], "width": [width], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "x": [unit(matrix(pdf["vec"], width)).tobytes()]})
 
-    schema = "part int, ids binary, x binary"
-    salted = placed.select("part", "vec_id", "vec", F.pmod(F.xxhash64("vec_id", "vec"), blocks_of).alias("salt"))
-    blocks = scratch.write(salted.groupBy("part", "salt").applyInPandas(pack, schema), "blocks")
+    schema = "part int, block bigint, width int, ids binary, x binary"
+    cut = placed.select("part", "vec_id", "vec", F.pmod(F.xxhash64("vec_id", "vec"), blocks_of).alias("block"))
+    blocks = scratch.write(cut.groupBy("part", "block").applyInPandas(pack, schema), "blocks")
 
     @F.pandas_udf("array<int>")
     def visits(vecs: pd.Series) -> pd.Series:
-        return pd.Series(final.value.visits(unit(matrix(vecs, dim)), k + 1))
-
-    queries = placed.where("is_query").select("vec_id", "vec", F.explode(visits("vec")).alias("part"))
-    per_part = queries.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("salts"))
-    queries = queries.join(per_part, "part").select("part", "vec_id", "vec", F.pmod(F.xxhash64("vec_id"), "salts").alias("salt"))
-    asked = scratch.write(queries.groupBy("part", "salt").applyInPandas(pack, schema), "asked")
+        width = vecs.map(len).to_numpy(dtype=np.int32)
+        own, out = width == dim, pd.Series([[-w] for w in width.tolist()], dtype=object)
+        if own.any():
+            out[own] = pd.Series(final.value.visits(unit(matrix(vecs[own], dim)), k + 1), index=out.index[own], dtype=object)
+        return out
+
+    routed = scratch.write(placed.where("is_query").select("vec_id", "vec", visits("vec").alias("parts")), "routed").select("vec_id", "vec", F.explode("parts").alias("part"))
+    others = routed.where("part < 0").count()
+    _, query_blocks_of = _dealt(routed, router.weights.shape[1], others, QUERY_BLOCK)
+    cut = routed.select("part", "vec_id", "vec", F.pmod(F.xxhash64("vec_id"), query_blocks_of).alias("block"))
+    asked = scratch.write(cut.groupBy("part", "block").applyInPandas(pack, schema), "asked")
 
     def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                yield from _best(unpack(row.q, dim), np.frombuffer(row.q_ids, dtype=np.int64), unpack(row.x, dim), np.frombuffer(row.ids, dtype=np.int64), k)
+                yield from _best(unpack(row.q, row.width), np.frombuffer(row.q_ids, dtype=np.int64), unpack(row.x, row.width), np.frombuffer(row.ids, dtype=np.int64), k)
 
-    pairs = asked.select("part", F.col("ids").alias("q_ids"), F.col("x").alias("q")).join(blocks, "part").select("q_ids", "q", "ids", "x")
+    # A block is copied once for each group of TOGETHER query blocks of its partition, a query block once for each block.
+    groups = F.ceil(query_blocks_of / F.lit(TOGETHER))
+    left = asked.select("part", F.floor(F.col("block") / F.lit(TOGETHER)).alias("group"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks_of - 1)).alias("block"), F.col("ids").alias("q_ids"), F.col("x").alias("q"))
+    right = blocks.select("part", F.explode(F.sequence(F.lit(0).cast("bigint"), groups - 1)).alias("group"), "block", "width", "ids", "x")
+    pairs = left.join(right.hint("shuffle_merge"), ["part", "group", "block"]).select("width", "q_ids", "q", "ids", "x")
     with BatchRows(spark, 8):
         found = scratch.write(pairs.mapInPandas(rerank, "query_id bigint, vec_id bigint, score double"), "found")
-    scratch.drop("blocks", "asked", "placed")
+    scratch.drop("blocks", "asked", "routed", "placed")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
