@@ -2,7 +2,7 @@
 
 Training is one pass that counts, in numpy inside each task, how often each language uses each hash bucket;
 Spark sums the counts by (language, bucket).  The log-probability matrix (buckets x languages) has a bounded
-size whatever the corpus, so it is broadcast; scoring multiplies each text's sparse bucket counts with it.
+size whatever the corpus, so it is broadcast; scoring multiplies the sparse bucket counts of many texts with it.
 
 Nulls and edge cases: a null text, or one without a letter, gets `und` with score 0; so does every text if no
 labelled row exists.  Rows with a null label teach nothing.  Texts of any length are read whole, in pieces
@@ -13,7 +13,7 @@ smaller language name.
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -66,6 +66,17 @@ def gram_buckets(text: str, bits: int) -> Iterator[np.ndarray]:
         carry = symbols[-(max(ORDERS) - 1) :]
 
 
+#: Bucket counts that are scored together.
+SCORED = 1 << 17
+
+
+def sparse_counts(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text in order, and how often each occurs; both empty for a text without letters."""
+    counts = _bucket_counts(text, bits) if text else None
+    used = np.zeros(0, dtype=np.int64) if counts is None else np.flatnonzero(counts)
+    return used, np.zeros(0) if counts is None else counts[used].astype(np.float64)
+
+
 def _bucket_counts(text: str, bits: int) -> np.ndarray | None:
     counts = None
     for buckets in gram_buckets(text, bits):
@@ -81,14 +92,35 @@ class LanguageModel:
     log_prior: np.ndarray
     log_probability: np.ndarray  # buckets x languages
 
-    def score(self, text: str | None) -> tuple[str, float]:
-        counts = _bucket_counts(text, self.bits) if text and self.languages else None
-        if counts is None:
-            return UNDETERMINED, 0.0
-        used = np.flatnonzero(counts)
-        joint = self.log_prior + counts[used].astype(np.float64) @ self.log_probability[used]
-        best = int(np.argmax(joint))
-        return self.languages[best], float(1.0 / np.exp(joint - joint[best]).sum())
+    def score(self, texts: Iterable[str | None]) -> pd.DataFrame:
+        """lang_pred and score of each text: sparse rows of counts times the matrix, SCORED counts at a time."""
+        names, scores = [], []
+        rows: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal rows, held
+            known = np.flatnonzero([len(used) > 0 for used, _ in rows]) if self.languages else np.zeros(0, dtype=np.int64)
+            best, chance = np.full(len(rows), -1), np.zeros(len(rows))
+            if len(known):
+                sizes = np.array([len(rows[i][0]) for i in known])
+                used, counts = (np.concatenate([rows[i][k] for i in known]) for k in (0, 1))
+                terms = self.log_probability[used]
+                terms *= counts[:, None]
+                joint = self.log_prior + np.add.reduceat(terms, np.cumsum(sizes) - sizes, axis=0)
+                best[known] = joint.argmax(axis=1)
+                chance[known] = 1.0 / np.exp(joint - joint.max(axis=1, keepdims=True)).sum(axis=1)
+            names.extend(self.languages[b] if b >= 0 else UNDETERMINED for b in best)
+            scores.extend(chance.tolist())
+            rows, held = [], 0
+
+        for text in texts:
+            rows.append(sparse_counts(text, self.bits))
+            held += len(rows[-1][0])
+            if held >= SCORED or len(rows) >= SCORED:
+                flush()
+        flush()
+        return pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=np.float64)})
 
 
 def train(rows: DataFrame, text: str = "text", label: str = "lang", rows_per_language: int = TRAIN_ROWS, smoothing: float = 0.5) -> LanguageModel:
@@ -136,6 +168,6 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, text: s
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for texts in batches:
-            yield pd.DataFrame([own.score(t) for t in texts], columns=["lang_pred", "score"])
+            yield own.score(texts)
 
     return docs.withColumn(into, predict(F.col(text)))
