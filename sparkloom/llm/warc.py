@@ -10,8 +10,8 @@ back.  Rows are handled one by one, so memory follows the longest page, not the
 
 Nulls and edge cases: null html is an empty payload, whose text is empty; a null url gives records without a
 target URI; repeated rows give equal records.  Records of other types have no derivatives.  Line breaks in
-header values become spaces.  Comments, scripts and styles that never close reach to the end of the page; a
-`<` that begins no tag is text.
+header values become spaces.  Comments, scripts and styles that never close reach to the end of the page, and no
+title, language or link within them counts; a `<` that begins no tag is text.
 """
 
 from __future__ import annotations
@@ -59,15 +59,27 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(name.encode('utf-8', 'surrogatepass')).digest()[:16], version=5)}>"
 
 
-def plain_text(page: str) -> str:
-    """The visible text of a whole page: a line for each block element, entities decoded, blanks collapsed."""
-    shown = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub("", page)))
+def uncover(page: str) -> tuple[str, str | None]:
+    """The page without its hidden parts, and its title: the first one that no other hidden part contains."""
+    titles = []
+
+    def hide(part: re.Match) -> str:
+        if not titles and (part[1] or "").lower() == "title":
+            titles.append(_BLANK.sub(" ", html.unescape(_TITLE.match(part[0])[1]).replace("\n", " ")).strip())
+        return ""
+
+    return _HIDDEN.sub(hide, page), titles[0] if titles else None
+
+
+def plain_text(seen: str) -> str:
+    """The text of a whole uncovered page: a line for each block element, entities decoded, blanks collapsed."""
+    shown = _TAG.sub("", _BREAK.sub("\n", seen))
     return _EMPTY_LINES.sub("\n", _BLANK.sub(" ", html.unescape(shown))).strip()
 
 
-def links(page: str, base: str | None) -> list[str]:
-    """Targets of the page's links, resolved against its address, in order, each once."""
-    out = dict.fromkeys(html.unescape(a or b or c).strip() for a, b, c in _LINK.findall(_HIDDEN.sub("", page)))
+def links(seen: str, base: str | None) -> list[str]:
+    """Targets of an uncovered page's links, resolved against its address, in order, each once."""
+    out = dict.fromkeys(html.unescape(a or b or c).strip() for a, b, c in _LINK.findall(seen))
     found = []
     for target in out:
         try:
@@ -132,12 +144,13 @@ def derivatives(row: tuple) -> list[tuple]:
         page = body.decode("utf-8", "replace")
     source = dict(headers or [])
     metadata, conversion = record_id("metadata", own), record_id("conversion", own)
-    text = plain_text(page).encode("utf-8", "surrogatepass")
-    title, language = _TITLE.search(page), _LANGUAGE.search(page)
-    described = [("title", _BLANK.sub(" ", html.unescape(title[1]).replace("\n", " ")).strip()) if title else None, ("language", language[1]) if language else None]
+    seen, title = uncover(page)
+    text = plain_text(seen).encode("utf-8", "surrogatepass")
+    language = _LANGUAGE.search(seen)
+    described = [("title", title) if title is not None else None, ("language", language[1]) if language else None]
     described += [(f"http-{name.lower()}", value) for name, value in fields]
     described += [("text-length", str(len(text))), ("text-digest", digest(text))]
-    described += [("outlink", link) for link in links(page, target)]
+    described += [("outlink", link) for link in links(seen, target)]
     lines = [f"{name}: {re.sub(r'[\r\n]+', ' ', value)}" for name, value in filter(None, described)]
     about = "\r\n".join([*lines, ""]).encode("utf-8", "surrogatepass")
     kept = [(f"WARC-Source-{name[5:]}", value) for name, value in source.items() if name in ("WARC-Block-Digest", "WARC-Payload-Digest")]
