@@ -6,6 +6,8 @@ the others.  A prefix scan over the blocks' few numbers (ids, separators, place
 block how many documents began before it and how far back the open one reaches; the lengths found in the blocks
 are corrected by that.
 
+The lengths of a block leave it in rows of at most RUN.
+
 Nulls and edge cases: null and empty texts are documents of the end id alone.  An empty file has no documents.
 Ids after a file's last separator are an open document (closed = false).  The strings of special tokens within
 a text are ordinary text, so only document ends carry the end id.
@@ -25,8 +27,13 @@ from pyspark.sql import functions as F
 from sparkloom.llm import byte_tokens, files
 from sparkloom.llm.common import Scratch
 
-#: Bytes of a block, and of one read within it.
-BLOCK, READ = 32 << 20, 4 << 20
+#: Bytes of a block, and of one read within it; lengths in one row.
+BLOCK, READ, RUN = 32 << 20, 4 << 20, 1 << 16
+
+
+def id_type(tokenizer_file: str) -> str:
+    """The width of ids in the flat files that write_flat() makes with this tokenizer."""
+    return byte_tokens.encoder(tokenizer_file, special_as_text=True).dtype.str
 
 
 def write_flat(docs: DataFrame, folder: str, tokenizer_file: str, end: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,10 +73,13 @@ def _scan(end: int, dtype: np.dtype, block: int):
                 # The first length still lacks what earlier blocks hold of its document.
                 lengths = np.diff(places, prepend=-1).astype(np.int64)
                 last = int(places[-1]) if len(places) else None
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path]), pa.array([offset]), pa.array([seen]), pa.array([len(places)]), pa.array([last], pa.int64()), pa.array([lengths.tolist()], pa.list_(pa.int64()))],
-                    ["path", "offset", "ids", "separators", "last", "lengths"],
-                )
+                for at in range(0, max(1, len(lengths)), RUN):
+                    own = lengths[at : at + RUN]
+                    run = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path]), pa.array([offset]), pa.array([seen]), pa.array([len(places)]), pa.array([last], pa.int64()), pa.array([at]), run],
+                        ["path", "offset", "ids", "separators", "last", "at", "lengths"],
+                    )
 
     return scan
 
@@ -82,15 +92,15 @@ def count(spark: SparkSession, folder: str, scratch: Scratch, end: int, dtype: s
     cut = found.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(block).cast("bigint"))).alias("offset"))
     cut = scratch.write(cut, f"{name}-blocks")
     scanned = cut.repartition(max(1, cut.count()), "path", "offset").mapInArrow(
-        _scan(end, kind, block), "path string, offset bigint, ids bigint, separators bigint, last bigint, lengths array<bigint>"
+        _scan(end, kind, block), "path string, offset bigint, ids bigint, separators bigint, last bigint, at bigint, lengths array<bigint>"
     )
     scanned = scratch.write(scanned, name)
     before = W.partitionBy("path").orderBy("offset").rowsBetween(W.unboundedPreceding, -1)
-    sums = scanned.select("path", "offset", "ids", "separators", "last").withColumns({"first": F.coalesce(F.sum("ids").over(before), F.lit(0)), "docs_before": F.coalesce(F.sum("separators").over(before), F.lit(0))})
+    sums = scanned.where("at = 0").select("path", "offset", "ids", "separators", "last").withColumns({"first": F.coalesce(F.sum("ids").over(before), F.lit(0)), "docs_before": F.coalesce(F.sum("separators").over(before), F.lit(0))})
     carried = sums.withColumn("opened", F.coalesce(F.max(F.col("first") + F.col("last")).over(before) + 1, F.lit(0)))
     carried = carried.withColumns({"carry": F.col("first") - F.col("opened"), "is_last": F.lead("offset").over(W.partitionBy("path").orderBy("offset")).isNull()})
-    joined = carried.join(scanned.select("path", "offset", "lengths"), ["path", "offset"])
-    each = joined.select("path", "opened", "carry", "docs_before", F.posexplode("lengths").alias("k", "length"))
+    joined = carried.join(scanned.select("path", "offset", "at", "lengths"), ["path", "offset"])
+    each = joined.select("path", "opened", "carry", "docs_before", "at", F.posexplode("lengths").alias("k", "length")).withColumn("k", F.col("at") + F.col("k"))
     each = each.withColumn("n_tokens", F.col("length") + F.when(F.col("k") == 0, F.col("carry")).otherwise(0)).select("path", (F.col("docs_before") + F.col("k")).alias("ordinal"), "n_tokens", F.lit(True).alias("closed"))
     end_of_file = carried.where("is_last").select("path", (F.col("docs_before") + F.col("separators")).alias("ordinal"), (F.col("first") + F.col("ids") - F.coalesce(F.col("first") + F.col("last") + 1, F.col("opened"))).alias("n_tokens"), F.lit(False).alias("closed"))
     return each.unionByName(end_of_file.where("n_tokens > 0"))
