@@ -13,13 +13,17 @@ def writing(uri: str):
     """A stream for the file at uri.
 
     It is written under another name and moved when complete, so a lost task leaves no half file under the
-    real name, and a task that runs again replaces it with the same bytes.
+    real name, and a task that runs again replaces it with the same bytes.  A task that fails deletes its draft.
     """
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
     draft = f"{path}.{uuid.uuid4().hex}.draft"
-    with system.open_output_stream(draft) as stream:
-        yield stream
+    try:
+        with system.open_output_stream(draft) as stream:
+            yield stream
+    except BaseException:
+        system.delete_file(draft)
+        raise
     system.move(draft, path)
 
 

@@ -14,6 +14,7 @@ that share a doc_id are ordered by the hash of their ids.  An empty table gives
 
 from __future__ import annotations
 
+import contextlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -186,7 +187,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_file: str
         return pd.Series(out)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, streams = Coder(lengths.value), None
+        coder, opened, stream = Coder(lengths.value), contextlib.ExitStack(), None
         rows: list[tuple[int | None, int, bool]] = []
         parts: list[np.ndarray] = []
         room, file, totals = BLOCK, None, []
@@ -194,38 +195,35 @@ def write(spark: SparkSession, docs: DataFrame, folder: str, tokenizer_file: str
         def flush() -> None:
             nonlocal rows, parts, room
             if rows:
-                streams[1].write(_block(coder, rows, np.concatenate(parts)))
+                stream.write(_block(coder, rows, np.concatenate(parts)))
             rows, parts, room = [], [], BLOCK
 
         def close() -> None:
-            nonlocal streams
-            if streams is not None:
-                flush()
-                streams[0].__exit__(None, None, None)
-                streams = None
-
-        for batch in batches:
-            for number, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if number != file:
-                    close()
-                    file = number
-                    path = f"{folder}/{file:06d}.huff"
-                    opened = files.writing(path)
-                    streams = (opened, opened.__enter__())
-                    streams[1].write(MAGIC + struct.pack("<II", coder.top, len(coder.lengths)) + coder.lengths.tobytes())
-                    totals.append([file, path, 0, 0])
-                ids, at = np.frombuffer(raw, dtype=dtype), 0
-                totals[-1][2] += 1
-                totals[-1][3] += len(ids)
-                while at < len(ids):
-                    part = ids[at : at + room]
-                    at += len(part)
-                    rows.append((doc, len(part), at == len(ids)))
-                    parts.append(part)
-                    room -= len(part)
-                    if not room:
-                        flush()
-        close()
+            flush()
+            opened.close()
+
+        with opened:  # a failure leaves through files.writing(), which drops the file begun
+            for batch in batches:
+                for number, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    if number != file:
+                        close()
+                        file = number
+                        path = f"{folder}/{file:06d}.huff"
+                        stream = opened.enter_context(files.writing(path))
+                        stream.write(MAGIC + struct.pack("<II", coder.top, len(coder.lengths)) + coder.lengths.tobytes())
+                        totals.append([file, path, 0, 0])
+                    ids, at = np.frombuffer(raw, dtype=dtype), 0
+                    totals[-1][2] += 1
+                    totals[-1][3] += len(ids)
+                    while at < len(ids):
+                        part = ids[at : at + room]
+                        at += len(part)
+                        rows.append((doc, len(part), at == len(ids)))
+                        parts.append(part)
+                        room -= len(part)
+                        if not room:
+                            flush()
+            close()
         if totals:
             kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*totals, strict=True), kinds, strict=True)], ["file", "path", "n_docs", "n_tokens"])
