@@ -19,11 +19,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
 
-    Only where that setting is absent (a local session, as in the tests) a temporary folder is made and
-    remembered in the session.
+    Only where that setting is absent and the session is a local one, as in the tests, a temporary folder is made
+    and remembered in the session; on a cluster its absence is an error, as a driver's own folder is not shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -68,6 +70,11 @@ def crc_fold(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(folds)
 
 
+def held_out(column: str, folds: int, fold: int) -> Column:
+    """True for ids of that fold.  A null id is of no fold: it is not held out, and nothing is learned from it."""
+    return F.coalesce(crc_fold(column, folds) == fold, F.lit(False)).alias("held_out")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, compared as Spark compares names."""
     taken = {c.lower() for c in df.columns}

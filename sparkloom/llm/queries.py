@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import ann, embed_dedup, huffman, lang_id, mixing, ngram_join, pieces, quality, token_counts, warc
-from sparkloom.llm.common import Scratch, crc_fold, read
+from sparkloom.llm.common import Scratch, crc_fold, held_out, read
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -44,10 +44,11 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document without a doc_id is scored, and has held_out false."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     measured, model = quality.measure_and_fit(spark, docs, read(spark, sf_dir, "labels"), Scratch(spark, "op6"), crc_fold("doc_id", 5) != 0)
     scored = quality.score(spark, measured, model)
-    return scored.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id", 5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op7")
     folder = scratch.path("flat")
     placed = scratch.write(token_counts.write_flat(read(spark, sf_dir, "documents"), folder, BYTE_BPE, END_OF_FLAT), "placed")
-    counted = token_counts.count(spark, folder, scratch, END_OF_FLAT).where("closed").withColumn("file", F.element_at(F.split("path", "/"), -1))
+    counted = token_counts.count(spark, folder, scratch, END_OF_FLAT, token_counts.id_type(BYTE_BPE)).where("closed").withColumn("file", F.element_at(F.split("path", "/"), -1))
     return placed.join(counted, ["file", "ordinal"], "left").select("doc_id", "n_tokens")
 
 
@@ -75,10 +76,11 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document without a doc_id is predicted, and has held_out false."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = lang_id.train(docs.where(crc_fold("doc_id", 4) != 2))
     found = lang_id.identify(spark, docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "language.lang_pred", "language.score")
+    return found.select("doc_id", held_out("doc_id", 4, 2), "language.lang_pred", "language.score")
 
 
 QUERIES = {

@@ -1,5 +1,6 @@
 """Each training-data operator against a brute-force version, on small tables with nulls, empty texts, ties and repeats."""
 
+import dataclasses
 import hashlib
 import itertools
 import zlib
@@ -8,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, byte_tokens, embed_dedup, huffman, lang_id, mixing, ngram_join, pieces, quality, queries, token_counts, warc
-from sparkloom.llm.common import Scratch
+from sparkloom.llm import ann, byte_tokens, embed_dedup, files, huffman, lang_id, mixing, ngram_join, pieces, quality, queries, token_counts, warc
+from sparkloom.llm.common import Scratch, held_out
 from sparkloom.llm.shingles import shingle_set
 
 ODD = [None, "", " ", "\n\n", "one", "two words here", "the cat sat on the mat. And then\nit ran, <|endoftext|> away!", "  double  spaces \t tab", "été où ça ¿qué? 你好 🌍 ǅ", "x" * 3000, "it's d'ou, x.\nIt's"]
@@ -35,7 +36,7 @@ def test_ann_recall_and_edges(spark):
     x = rng.standard_normal((400, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [0.0] * 8), (502, [float("nan")] * 8), (503, [None] * 8), (None, x[0].tolist()), (504, [1.0, 2.0]), (505, x[50].tolist())]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    got = ann.search(spark, table, F.col("vec_id") % 50 == 0, Scratch(spark, "t")).toPandas()
+    got = ann.search(spark, table, F.col("vec_id") % 50 == 0, Scratch(spark, "t"), target=1).toPandas()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     for q in range(0, 400, 50):
         s = u @ u[q]
@@ -47,6 +48,66 @@ def test_ann_recall_and_edges(spark):
     assert ann.search(spark, table.limit(0), F.col("vec_id") % 50 == 0, Scratch(spark, "t")).count() == 0
 
 
+def ann_recall(spark, rows, k=5, every=50, **options):
+    """rows: (vec_id, vector). Recall against brute force among vectors of the query's own length."""
+    got = ann.search(spark, spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % every == 0, Scratch(spark, "t"), k, **options)
+    assert dict(got.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"}
+    found = {q: own.sort_values("rank") for q, own in got.toPandas().groupby("query_id")}
+    by_length, hits, wanted = {}, 0, 0
+    for i, v in rows:
+        by_length.setdefault(len(v), []).append((i, v))
+    for own in by_length.values():
+        ids, x = np.array([i for i, _ in own]), np.array([v for _, v in own])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for q in np.flatnonzero(ids % every == 0):
+            scores = np.where(ids == ids[q], -np.inf, x @ x[q])
+            best = min(k, int((ids != ids[q]).sum()))
+            if not best:
+                assert ids[q] not in found
+                continue
+            hit = found[ids[q]]
+            place = np.searchsorted(ids, hit["vec_id"]) if (np.diff(ids) > 0).all() else np.array([np.flatnonzero(ids == i)[0] for i in hit["vec_id"]])
+            assert np.allclose(hit["score"], scores[place]) and hit["rank"].tolist() == list(range(1, best + 1)) and (np.diff(hit["score"]) <= 0).all()
+            hits += int((hit["score"] >= np.sort(scores)[-best] - 1e-12).sum())
+            wanted += best
+    return hits / wanted
+
+
+def clustered(n, dim, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n // 60, dim))
+    return centres[rng.integers(0, len(centres), n)] + 0.4 * rng.standard_normal((n, dim))
+
+
+@pytest.mark.parametrize("kind", ["clustered", "isotropic"])
+def test_ann_routing_recall(spark, kind):
+    """Many partitions: recall holds, and clustered queries visit few of the rows."""
+    n, dim = 20000, 32
+    x = clustered(n, dim, 3) if kind == "clustered" else np.random.default_rng(4).standard_normal((n, dim))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    router = ann.fit_router(u[:: n // 5000], n)
+    assert router.weights.shape[1] >= 16
+    part = router.partition(u)
+    sized = dataclasses.replace(router, sizes=np.bincount(part, minlength=router.weights.shape[1]))
+    share = np.mean([sized.sizes[v].sum() / n for v in sized.visits(u[::50], 6)])
+    assert share < (0.35 if kind == "clustered" else 1)
+    assert ann_recall(spark, [(i, v.tolist()) for i, v in enumerate(x)]) >= 0.9
+
+
+def test_ann_small_tables_lengths_and_hot_partitions(spark, monkeypatch):
+    """Routing on a small table; vectors of three lengths; a third of all rows alike; blocks and groups of a few rows."""
+    for name, value in (("BLOCK", 64), ("QUERY_BLOCK", 4), ("TOGETHER", 2)):
+        monkeypatch.setattr(ann, name, value)
+    x = clustered(1500, 16, 5)
+    x[500:1000] = x[500] + 1e-3 * np.random.default_rng(6).standard_normal((500, 16))
+    assert ann.fit_router(x / np.linalg.norm(x, axis=1, keepdims=True), len(x)).weights.shape[1] > 1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(2000 + i, v.tolist()) for i, v in enumerate(clustered(180, 5, 7))] + [(3000, [1.0, 2.0, 3.0]), (3001, [3.0, 2.0, 1.0]), (3050, [1.0])]
+    assert ann_recall(spark, rows, every=10) >= 0.9
+    assert ann_recall(spark, rows, every=10, target=1) == 1
+    assert ann_recall(spark, rows[:4], every=2) == 1 and ann_recall(spark, rows[-3:], every=50) == 1
+
+
 def test_balanced_partitions_are_balanced():
     x = np.random.default_rng(3).standard_normal((512, 6))
     part = ann.balanced_partitions(x, ann.neighbour_graph(x, 5), 3)
@@ -240,7 +301,40 @@ def test_language(spark):
     odd = spark.createDataFrame([("the end of the road",), ("la fin des routes et une",), (None,), ("123 !!",), ("",)], "text string")
     got = [r["language"]["lang_pred"] for r in lang_id.identify(spark, odd, model).collect()]
     assert got == ["en", "fr", "und", "und", "und"]
-    assert lang_id.train(spark.createDataFrame([], "text string, lang string")).score("abc") == ("und", 0.0)
+    assert lang_id.train(spark.createDataFrame([], "text string, lang string")).score(["abc", None]).values.tolist() == [["und", 0.0]] * 2
+    assert model.score([]).shape == (0, 2)
+    # Naive Bayes with the same buckets, spelled out.
+    counts = {k: np.zeros(1 << model.bits) for k in ("en", "fr")}
+    for text, k in rows:
+        for buckets in lang_id.gram_buckets(text, model.bits):
+            np.add.at(counts[k], buckets, 1)
+    texts = [None, *ODD[1:], *(t for t, _ in rows), "the end", "la fin"] * 3
+    for text, name, score in zip(texts, *model.score(texts).T.values.tolist(), strict=True):
+        found = list(lang_id.gram_buckets(text or "", model.bits))
+        joint = [sum(np.log((counts[k][b] + 0.5) / (counts[k].sum() + 0.5 * len(counts[k]))) for part in found for b in part) for k in counts]
+        assert (name, score) == ("und", 0.0) if not found else name == list(counts)[int(np.argmax(joint))] and abs(score - 1 / np.exp(np.array(joint) - max(joint)).sum()) < 1e-6
+
+
+def test_language_held_out(spark):
+    folder = "/root/testdata/sf0.01"
+    got = queries.op10_language_id(spark, folder)
+    assert dict(got.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"}
+    held = got.join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
+    assert len(held) > 100 and (held["lang_pred"] == held["lang"]).mean() > 0.97 and held["score"].between(0, 1).all()
+
+
+def test_a_null_id_is_not_held_out(spark):
+    ids = spark.createDataFrame([(None,), (1,), (2,), (3,)], "doc_id bigint")
+    got = {r["doc_id"]: r["held_out"] for r in ids.select("doc_id", held_out("doc_id", 4, 2)).collect()}
+    assert got == {None: False} | {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in (1, 2, 3)}
+
+
+def test_failed_files_leave_no_draft(tmp_path):
+    with pytest.raises(KeyError), files.writing(f"file://{tmp_path}/a/b"):
+        raise KeyError
+    with files.writing(f"file://{tmp_path}/a/c") as out:
+        out.write(b"x")
+    assert [p.name for p in (tmp_path / "a").iterdir()] == ["c"]
 
 
 def test_quality(spark, docs):
@@ -266,6 +360,11 @@ def test_warc(spark):
     assert text["refers_to"] == source["record_id"] and text["headers"]["WARC-Source-Payload-Digest"] == source["headers"]["WARC-Payload-Digest"] == warc.digest(page.encode())
     about = bytes(next(r for r in got if r["key"] == 1 and r["warc_type"] == "metadata")["block"]).decode()
     assert "title: A & B\r\n" in about and "outlink: http://h/y?a=1&b=2\r\n" in about and "language: fr\r\n" in about
+    covered = '<!-- <title>old</title><html lang="zz"> --><html lang="de"><script>"<title>no</title><a href=/n>"</script><title> New <!-- not a comment -->\n&lt;x </title><title>2</title><a href="/m">t</a>'
+    shown, title = warc.uncover(covered)
+    assert title == "New <!-- not a comment --> <x" and warc.plain_text(shown) == "t" and warc.links(shown, "http://h/") == ["http://h/m"]
+    row = (9, "response", "<urn:9>", None, "http://h/", warc.DATE, "", [], b"HTTP/1.1 200 OK\r\n\r\n" + covered.encode())
+    assert b"language: de\r\n" in warc.derivatives(row)[0][-1] and b"zz" not in warc.derivatives(row)[0][-1]
     folder = Scratch(spark, "t").path("warc")
     assert warc.write_files(made, folder).agg(F.sum("records")).first()[0] == 8
     again = warc.read_files(spark, folder).collect()
