@@ -30,20 +30,32 @@ def byte_column(line: Column, pattern: str) -> Column:
     return (F.octet_length(F.substring(line, F.lit(1), F.regexp_instr(line, F.lit(pattern)) - 1)) + 1).cast("int")
 
 
-def grep(lines: DataFrame, patterns: Sequence[str], key: str = "path", before: int = 0, after: int = 0, case_sensitive: bool = True, matches_only: bool = False) -> DataFrame:
-    """(key, ln, col, text, before, after): the matching lines; contexts of near matches overlap, as they do not merge."""
+def grep(texts: DataFrame, patterns: Sequence[str], key: str = "path", before: int = 0, after: int = 0, case_sensitive: bool = True, matches_only: bool = False) -> DataFrame:
+    """(key, ln, col, text, before, after): the matching lines; contexts of near matches overlap, as they do not merge.
+
+    texts: (key, own), from framed() or cr_framed().  Each text is searched in its place; only hits leave it.
+    """
     pattern = any_of(patterns, case_sensitive)
-    own = W.partitionBy(key).orderBy("ln")
-    around = lambda lo, hi: F.collect_list("line").over(own.rowsBetween(lo, hi))
+    own = F.col("own")
+    around = lambda lo, hi: F.slice(own, lo, hi - lo + 1)
+    numbered = F.filter(F.transform(own, lambda line, i: F.struct((i + 1).alias("ln"), line.alias("line"))), lambda r: r["line"].rlike(pattern))
     empty = F.array().cast("array<string>")
-    context = lines.withColumns({"before": around(-before, -1) if before else empty, "after": around(1, after) if after else empty}) if before or after else lines.withColumns({"before": empty, "after": empty})
+
+    def with_context(r: Column) -> Column:
+        ahead = around(F.greatest(r["ln"] - before, F.lit(1)), r["ln"] - 1) if before else empty
+        behind = around(r["ln"] + 1, r["ln"] + after) if after else empty
+        return F.struct(r["ln"].alias("ln"), r["line"].alias("line"), ahead.alias("before"), behind.alias("after"))
+
+    hits = texts.select(key, F.inline(F.transform(numbered, with_context)))
     shown = F.regexp_extract("line", pattern, 0) if matches_only else F.col("line")
-    return context.where(F.col("line").rlike(pattern)).select(key, "ln", byte_column(F.col("line"), pattern).alias("col"), shown.alias("text"), "before", "after")
+    return hits.select(key, "ln", byte_column(F.col("line"), pattern).alias("col"), shown.alias("text"), "before", "after")
 
 
-def count_matches(lines: DataFrame, patterns: Sequence[str], key: str = "path") -> DataFrame:
-    """(key, n): matching lines, not occurrences; files without one are absent."""
-    return lines.where(F.col("line").rlike(any_of(patterns))).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+def count_matches(texts: DataFrame, patterns: Sequence[str], key: str = "path") -> DataFrame:
+    """(key, n): matching lines of each text (key, own), not occurrences; texts without one are absent."""
+    pattern = any_of(patterns)
+    n = F.size(F.filter("own", lambda line: line.rlike(pattern))).cast("bigint")
+    return texts.select(key, F.explode(F.filter(F.array(n), lambda k: k > 0)).alias("n"))
 
 
 def page(rows: DataFrame, order: Sequence[Column | str], offset: int, limit: int) -> DataFrame:
@@ -55,11 +67,10 @@ def after_key(rows: DataFrame, keys: Sequence[str], anchor: Sequence[object], li
     return rows.where(F.struct(*keys) > F.struct(*[F.lit(a).cast(rows.schema[k].dataType).alias(k) for k, a in zip(keys, anchor, strict=True)])).orderBy(*keys).limit(limit)
 
 
-def read_range(lines: DataFrame, key: str, first: int, count: int) -> DataFrame:
-    """(key, body, total_lines): some lines of each file joined again; the total is that of the whole file."""
-    inside = F.col("ln").between(first, first + count - 1)
-    rows = F.array_sort(F.collect_list(F.when(inside, F.struct("ln", "line"))))
-    return lines.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("body"), F.count(F.lit(1)).alias("total_lines"))
+def read_range(texts: DataFrame, key: str, first: int, count: int) -> DataFrame:
+    """(key, body, total_lines): some lines of each text (key, own) joined again; the total is that of the whole text."""
+    own = texts.where("own is not null")
+    return own.select(key, F.array_join(F.slice("own", first, count), "\n").alias("body"), F.size("own").cast("bigint").alias("total_lines"))
 
 
 def likely_binary(text: Column) -> Column:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as fx
 from sparkloom.operators import search
-from sparkloom.sources.corpus import cr_lines, files, lines, table
+from sparkloom.sources.corpus import cr_framed, files, framed, lines, table
 
 #: Lines of every document, framed as in lines(); and files with their paths.
 LINES_SQL = "l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ln from documents)"
@@ -28,37 +27,40 @@ def _mixed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grep_content(spark: SparkSession, d: str) -> DataFrame:
-    found = search.grep(lines(_docs(spark, d), "doc_id"), ["the", "der"], key="doc_id", before=1, after=1)
+    found = search.grep(framed(_docs(spark, d), "doc_id"), ["the", "der"], key="doc_id", before=1, after=1)
     return found.select("doc_id", "ln", "col", "text", F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after"))
 
 
 def grep_count(spark: SparkSession, d: str) -> DataFrame:
-    return search.count_matches(lines(_docs(spark, d), "doc_id"), ["and", r"\bque\b"], "doc_id")
+    return search.count_matches(framed(_docs(spark, d), "doc_id"), ["and", r"\bque\b"], "doc_id")
 
 
 def grep_files(spark: SparkSession, d: str) -> DataFrame:
-    return search.count_matches(lines(files(spark, d), "path"), [r"\d{3}"]).select("path")
+    return search.count_matches(framed(files(spark, d), "path"), [r"\d{3}"]).select("path")
 
 
 def grep_matches_only(spark: SparkSession, d: str) -> DataFrame:
-    return search.grep(lines(_docs(spark, d), "doc_id"), [r"[a-z]+ing\b"], key="doc_id", case_sensitive=False, matches_only=True).select("doc_id", "ln", "col", "text")
+    return search.grep(framed(_docs(spark, d), "doc_id"), [r"[a-z]+ing\b"], key="doc_id", case_sensitive=False, matches_only=True).select("doc_id", "ln", "col", "text")
 
 
 def grep_page(spark: SparkSession, d: str) -> DataFrame:
-    found = search.grep(lines(_docs(spark, d), "doc_id"), ["de"], key="doc_id").select("doc_id", "ln", "col", "text")
+    found = search.grep(framed(_docs(spark, d), "doc_id"), ["de"], key="doc_id").select("doc_id", "ln", "col", "text")
     return search.page(found, ["doc_id", "ln"], 10, 25)
 
 
 def grep_cr(spark: SparkSession, d: str) -> DataFrame:
-    return search.count_matches(cr_lines(_mixed(spark, d), "doc_id"), ["^[A-Z]"], "doc_id")
+    return search.count_matches(cr_framed(_mixed(spark, d), "doc_id"), ["^[A-Z]"], "doc_id")
 
 
 def line_index(spark: SparkSession, d: str) -> DataFrame:
-    return lines(_docs(spark, d), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max(F.octet_length("line")).cast("bigint").alias("longest"), F.sum(F.octet_length("line").cast("bigint")).alias("bytes"))
+    sizes = F.transform("own", F.octet_length)
+    each = framed(_docs(spark, d), "doc_id").where("own is not null").select("doc_id", sizes.alias("sizes"))
+    total = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return each.select("doc_id", F.size("sizes").cast("bigint").alias("n_lines"), F.array_max("sizes").cast("bigint").alias("longest"), total.alias("bytes"))
 
 
 def read_range(spark: SparkSession, d: str) -> DataFrame:
-    return search.read_range(lines(_docs(spark, d), "doc_id"), "doc_id", 2, 3)
+    return search.read_range(framed(_docs(spark, d), "doc_id"), "doc_id", 2, 3)
 
 
 def line_ending_style(spark: SparkSession, d: str) -> DataFrame:
@@ -68,11 +70,12 @@ def line_ending_style(spark: SparkSession, d: str) -> DataFrame:
 
 def minority_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of files with both endings that end in the rarer way; equal counts make the line feed the rarer one."""
-    cut = _mixed(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"), F.size(F.split("text", "\n")).alias("n")).where("at + 1 < n")
-    own = W.partitionBy("doc_id")
-    kinds = cut.select("doc_id", (F.col("at") + 1).alias("ln"), F.col("raw").endswith("\r").alias("crlf")).withColumns({"n_crlf": F.count_if("crlf").over(own), "n_all": F.count(F.lit(1)).over(own)})
-    rare_crlf = F.col("n_crlf") < F.col("n_all") - F.col("n_crlf")
-    return kinds.where((F.col("n_crlf") > 0) & (F.col("n_crlf") < F.col("n_all")) & (F.col("crlf") == rare_crlf)).select("doc_id", "ln")
+    cut = F.split("text", "\n")
+    ends = _mixed(spark, d).where("text is not null").select("doc_id", F.transform(F.slice(cut, 1, F.size(cut) - 1), lambda raw, i: F.struct((i + 1).alias("ln"), raw.endswith("\r").alias("crlf"))).alias("ends"))
+    counted = ends.select("doc_id", "ends", F.size("ends").alias("n"), F.size(F.filter("ends", lambda e: e["crlf"])).alias("n_crlf"))
+    rare_crlf = F.col("n_crlf") < F.col("n") - F.col("n_crlf")
+    both = counted.where((F.col("n_crlf") > 0) & (F.col("n_crlf") < F.col("n")))
+    return both.select("doc_id", F.inline(F.filter("ends", lambda e: e["crlf"] == rare_crlf))).select("doc_id", "ln")
 
 
 def convert_eol(spark: SparkSession, d: str) -> DataFrame:
@@ -135,11 +138,12 @@ def list_directory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree_listing(spark: SparkSession, d: str) -> DataFrame:
-    """Preorder: each folder, then its files, indented by depth."""
+    """Each folder, then its files, indented by depth; sorting by place gives the preorder, as a folder is a prefix of what it holds."""
     own = files(spark, d).select("path", F.split("path", "/").alias("parts"))
     folders = own.select(F.col("parts")[0].alias("path")).distinct().select("path", F.array("path").alias("parts"))
     every = folders.unionByName(own)
-    return every.select("path", (F.size("parts") - 1).alias("depth"), F.concat(F.repeat(F.lit("  "), F.size("parts") - 1), F.element_at("parts", -1)).alias("entry"))
+    indented = F.concat(F.repeat(F.lit("  "), F.size("parts") - 1), F.element_at("parts", -1))
+    return every.select("path", (F.size("parts") - 1).alias("depth"), indented.alias("entry"), F.array_join("parts", "\x01").alias("place"))
 
 
 def ignore_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -215,7 +219,7 @@ ORACLE_SQL = {
     "search_topk_size": f"with {FILES_SQL} select path, cast(strlen(text) as bigint) as size from f order by size desc, path desc limit 20",
     "keyset_page": "select o_orderpriority, o_orderkey from orders where (o_orderpriority, o_orderkey) > ('2-HIGH', 500) order by 1, 2 limit 50",
     "list_directory": f"with {FILES_SQL} select split_part(path, '/', 1) as folder, count(*) as n_files, cast(sum(strlen(text)) as bigint) as bytes from f group by 1",
-    "tree_listing": f"with {FILES_SQL} select path, cast(1 as int) as depth, '  ' || split_part(path, '/', -1) as entry from f union all select distinct split_part(path, '/', 1), cast(0 as int), split_part(path, '/', 1) from f",
+    "tree_listing": f"with {FILES_SQL} select path, cast(1 as int) as depth, '  ' || split_part(path, '/', -1) as entry, replace(path, '/', chr(1)) as place from f union all select distinct split_part(path, '/', 1), cast(0 as int), split_part(path, '/', 1), split_part(path, '/', 1) from f",
     "ignore_rules": f"with {FILES_SQL} select path, case when starts_with(path, 'src0/') then true when regexp_matches(path, '^(?:[^/]+/)*1[^/]*\\.de$') then false when split_part(path, '/', 1) = 'src2' then true when regexp_matches(path, '\\.de$') then true else false end as ignored from f",
     "fingerprint_docs": f"with {FILES_SQL}, e as (select split_part(path, '/', 1) as folder, path, sha256(text) as digest from f) select folder, sha256(string_agg(path || '=' || digest, chr(10) order by path)) as fingerprint from e group by folder",
     "dedup_first": f"with {LINES_SQL} select doc_id, split_part(line, ' ', 1) as word, cast(min(ln) as int) as ln from l group by 1, 2",
