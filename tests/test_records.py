@@ -117,3 +117,13 @@ def test_positions_and_lacking_characters(spark):
     assert found == [(1, 2, 1, 2, "é", "U+00E9"), (1, 2, 2, 1, "😀", "U+1F600")]
     assert edits.unrepresentable(many, "ascii", "id").where("id = 2 and total = 100").count() == 64
     assert [r["char"] for r in edits.unrepresentable(many, "iso-8859-1", "id").collect()] == ["😀"]
+
+
+def test_markdown_edges(spark):
+    from sparkloom.operators import markdown
+
+    texts = spark.createDataFrame([("a", "# A\r\n#no\n####### no\n   ## B #\n~~~\n# in\n"), ("b", ""), ("c", None), ("d", "#\n# \n# A\n# A"), ("e", "[x](a#a) [y](#z) [z](mailto:q)\n```\n[in](none)\n```\n[n](none)")], "path string, text string")
+    got = [tuple(r) for r in markdown.sections(texts).orderBy("path", "ln").collect()]
+    assert got == [("a", 1, 7, 1, "A", None, "a"), ("a", 4, 7, 2, "B", 1, "b"), ("d", 1, 1, 1, "", None, ""), ("d", 2, 2, 1, "", None, "-1"), ("d", 3, 3, 1, "A", None, "a"), ("d", 4, 4, 1, "A", None, "a-1")]
+    assert sorted(tuple(r) for r in markdown.links(texts).collect()) == [("e", 1, "a", "a"), ("e", 1, "e", "z"), ("e", 5, "none", "")]
+    assert {(r["path"], r["kind"], r["detail"]) for r in markdown.diagnostics(texts, ["b"]).collect()} == {("e", "missing_document", "none"), ("e", "missing_fragment", "e#z"), ("c", "orphan", ""), ("d", "orphan", ""), ("e", "orphan", "")}
