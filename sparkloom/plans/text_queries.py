@@ -53,10 +53,9 @@ def grep_cr(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_index(spark: SparkSession, d: str) -> DataFrame:
-    sizes = F.transform("own", F.octet_length)
-    each = framed(_docs(spark, d), "doc_id").where("own is not null").select("doc_id", sizes.alias("sizes"))
-    total = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, b: a + b)
-    return each.select("doc_id", F.size("sizes").cast("bigint").alias("n_lines"), F.array_max("sizes").cast("bigint").alias("longest"), total.alias("bytes"))
+    each = framed(_docs(spark, d), "doc_id").where("own is not null")
+    longest = F.array_max(F.transform("own", F.octet_length))
+    return each.select("doc_id", F.size("own").cast("bigint").alias("n_lines"), longest.cast("bigint").alias("longest"), F.octet_length(F.array_join("own", "")).cast("bigint").alias("bytes"))
 
 
 def read_range(spark: SparkSession, d: str) -> DataFrame:

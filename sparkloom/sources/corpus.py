@@ -30,7 +30,8 @@ def cr_lines(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
 
 def framed(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """(keys, own): the lines of lines() as an array, for work that stays within a text."""
-    return texts.select(*keys, F.split(F.regexp_replace(text, r"\r(\n|\z)", "$1"), "\n").alias("own"))
+    stripped = F.when(F.contains(F.col(text), F.lit("\r")), F.regexp_replace(text, r"\r(\n|\z)", "$1")).otherwise(F.col(text))
+    return texts.select(*keys, F.split(stripped, "\n").alias("own"))
 
 
 def cr_framed(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
