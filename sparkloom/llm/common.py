@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: A word, as every contract of these operators defines it.
 WORD = r"[^\x20\x09-\x0D]+"
+WHITE = r"[\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, embed_dedup, huffman, lang_id, mixing, ngram_join, pieces, quality, token_counts, warc
+from sparkloom.llm import ann, embed_dedup, exact_dedup, hard_negatives, huffman, lang_id, mixing, ngram_join, oracle, pieces, quality, spelling, token_counts, warc
 from sparkloom.llm.common import Scratch, crc_fold, held_out, read
 
 #: The folder of the public tokenizers' files.
@@ -83,6 +83,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2), "language.lang_pred", "language.score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark, read(spark, sf_dir, "embeddings"), F.col("vec_id") % EVERY == 0, Scratch(spark, "op11"), label=label)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(spark, read(spark, sf_dir, "documents"), Scratch(spark, "op12"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spark, read(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_ngram_join": op2_ngram_join,
@@ -94,6 +107,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_pieces": op9_pieces,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_spelling": op13_spelling,
 }
-#: None of the queries above can be expressed in DuckDB's SQL within reason; tests/llm holds brute-force versions.
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries can't be expressed in DuckDB's SQL within reason; tests/llm holds brute-force versions.
+ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": oracle.HARD_NEGATIVES, "op12_exact_dedup": oracle.EXACT_DEDUP, "op13_spelling": oracle.SPELLING}
