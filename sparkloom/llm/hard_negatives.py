@@ -3,7 +3,7 @@
 1. Components become integers floor(SCALE * x); a score is an integer inner product.  Each vector gets one more component,
    sqrt(M - |x|^2) with M the largest |x|^2, and an anchor a zero, so that d^2 = |q|^2 + M - 2 score: a larger inner product is a
    smaller Euclidean distance.
-2. PIVOTS rows of a bounded sample, each far from those before, are the pivots.  Every row stores its distances to all of them,
+2. Some rows of a bounded sample (FEWEST to MOST, by the root of all rows), each far from those before, are the pivots.  Every row stores its distances to all of them,
    lies in the cell of its nearest pivot, and is packed into blocks by cell and by hash of its label.  A directory (cells x
    LABELS rows) keeps the range of each pivot distance in a cell.
 3. By the triangle inequality |d(q,p) - d(x,p)| <= d(q,x) <= d(q,p) + d(x,p): stored distances bracket a score from both sides,
@@ -38,8 +38,9 @@ from sparkloom.llm.vectors import BatchRows, matrix, unpack
 SCALE, POSITIVES, NEGATIVES = 256.0, 5, 3
 #: A negative's score lies between these percentages of the positive's.
 FROM, TO = 50, 95
-#: The bound of the sample from which pivots are taken, the pivots, and the hashes of labels.
-SAMPLE, PIVOTS, LABELS, SEED = 4096, 16, 16, 11
+#: The bound of the sample from which pivots are taken, rows for a pivot in roots of all rows, fewest and most pivots, and the
+#: hashes of labels.
+SAMPLE, ROOT, FEWEST, MOST, LABELS, SEED = 4096, 16, 4, 64, 8, 11
 #: Rows and anchors of a packed block, and how many anchor blocks meet a block in one group.
 BLOCK, ANCHORS, TOGETHER = 2048, 256, 16
 _SLACK = 1e-9
@@ -85,7 +86,7 @@ class Pivots:
         return np.sqrt(np.maximum(0.0, d2))
 
 
-def choose_pivots(x: np.ndarray, most: float, count: int = PIVOTS) -> Pivots:
+def choose_pivots(x: np.ndarray, most: float, count: int) -> Pivots:
     """Rows of x that are far from each other, the first being that farthest from the mean."""
     x = Pivots(np.zeros((0, x.shape[1] + 1)), most).augmented(x)
     far, chosen = norms(x - x.mean(axis=0)), []
@@ -202,7 +203,7 @@ class Index:
         sample = rows.where(F.col("dim") == common["dim"]).where(mixed <= F.lit(bound)).orderBy(mixed, "vec").limit(SAMPLE).select("vec").toPandas()
         # Squares that overflow leave no brackets: then all rows are one cell.
         sound = np.isfinite(most) and len(sample) > 0
-        pivots = choose_pivots(matrix(sample["vec"], dim), most) if sound else Pivots(np.zeros((0, dim + 1)), 0.0)
+        pivots = choose_pivots(matrix(sample["vec"], dim), most, int(np.clip(round(common["n"] ** 0.5 / ROOT), FEWEST, MOST))) if sound else Pivots(np.zeros((0, dim + 1)), 0.0)
         count = len(pivots.points)
         shared = spark.sparkContext.broadcast(pivots)
 
