@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import shared_folder
+from sparkloom.streaming.retention import run_to_end
+
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 days") -> DataFrame:
     """(start, event_type, n, total): works on streams and on tables alike."""
@@ -16,19 +16,15 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 da
 
 
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The same through Structured Streaming: file source, available now, complete output to the shared folder."""
+    """The same through Structured Streaming: file source, available now.
+
+    Each batch gives the windows that it changed; the last batch that has a window counts.  State older than the watermark is
+    dropped, and output goes to the shared folder.
+    """
     source = spark.read.parquet(f"{d}/events.parquet")
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-    folder, out = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}", []
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet*").option("maxFilesPerTrigger", 4).parquet(d)
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
-        out.append(f"{folder}/batch-{number}")
-
-    query = windowed_counts(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
-    query.awaitTermination()
-    return spark.read.parquet(out[-1])
+    rows = run_to_end(windowed_counts(stream), shared_folder(spark, "stream"), "update")
+    return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
 
 
 QUERIES = {"stream_counts": stream_counts}
