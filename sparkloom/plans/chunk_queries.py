@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import chunks as ch
 from sparkloom.operators import detect as dt
+from sparkloom.operators import regions
 from sparkloom.plans.text_queries import MIXED_SQL, _mixed
 from sparkloom.sources.corpus import table
 
@@ -39,8 +40,33 @@ def detect_chunks(spark: SparkSession, d: str) -> DataFrame:
     return written.select("doc_id", "written").join(dt.detect(ch.cut_text(written, "doc_id", CHUNK), "doc_id"), "doc_id")
 
 
-QUERIES = {q.__name__: q for q in (chunked_endings, chunked_utf8, detect_chunks)}
+def page_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Pages from end to end, as markup, comments, scripts and styles."""
+    return regions.segments(table(spark, d, "pages"), "page_id", "html")
+
+
+def page_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """Elements and embedded regions of pages, with the element around each."""
+    return regions.scopes(table(spark, d, "pages"), "page_id", "html")
+
+
+#: As page_segments' rules, for DuckDB.
+_REGIONS = r"(?is)<!--.*?(?:-->|\z)|<script\b[^<>]*>.*?(?:</script\s*>|\z)|<style\b[^<>]*>.*?(?:</style\s*>|\z)"
+
+QUERIES = {q.__name__: q for q in (chunked_endings, chunked_utf8, detect_chunks, page_segments, page_scopes)}
 ORACLE_SQL = {
     "chunked_endings": f"with {MIXED_SQL} select doc_id, length(text) - length(replace(text, chr(10), '')) - (length(text) - length(replace(text, chr(13) || chr(10), ''))) // 2 as lf, (length(text) - length(replace(text, chr(13) || chr(10), ''))) // 2 as crlf, md5(replace(text, chr(13) || chr(10), chr(10))) as digest from m",
+    "page_segments": f"""
+with p as (select page_id, regexp_extract_all(html, '{_REGIONS}') as found, string_split_regex(html, '{_REGIONS}') as gaps from pages),
+e as (select page_id, unnest(generate_series(1, len(gaps))) as i, gaps, found from p),
+k as (select page_id, i, strlen(gaps[i]) as gap, coalesce(strlen(found[i]), 0) as size, found[i] as token from e),
+o as (select *, sum(gap + size) over (partition by page_id order by i) as fin from k),
+s as (
+  select page_id, fin - size - gap as start, fin - size as stop, 'host' as kind, true as closed from o
+  union all
+  select page_id, fin - size, fin, case when starts_with(token, '<!--') then 'comment' when lower(token) like '<script%' then 'script' else 'style' end,
+    case when starts_with(token, '<!--') then ends_with(token, '-->') and strlen(token) > 6 else regexp_matches(lower(token), '</(script|style)\\s*>$') end
+  from o where token is not null)
+select page_id, start::int as start, stop::int as "end", kind, closed from s where start < stop""",
     "chunked_utf8": f"select doc_id, doc_id % 4 <> 0 as valid, case when doc_id % 4 = 0 then strlen(text) // {CHUNK} end as bad_no from documents",
 }
