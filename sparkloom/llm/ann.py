@@ -16,8 +16,9 @@ Partitions hold about ROOT times the root of the number of rows, so queries are
 Nulls and edge cases: rows whose id is null and vectors that are null, empty, zero, or hold null or non-finite
 components take no part.  Vectors are compared with those of their own length; the index is fitted on the commonest
 length, and the vectors of each other length are one partition, which is searched whole.  A query is no candidate for
-itself (rows with the query's own id are left out); a candidate id comes once, with its best score.  Fewer candidates
-than k are all returned: a query visits more partitions until these hold k others.  Equal scores go to the smaller
+itself (rows with the query's own id are left out); a candidate id comes once, with its best score, however many rows repeat it.
+Query rows that share an id are one query: a candidate's best score with any of them counts.  Fewer candidates than k are
+all returned: a query that finds fewer than k ids visits all partitions.  Equal scores go to the smaller
 id; an empty table gives no rows.  target=1 visits every partition, which is an exact search.
 """
 
@@ -168,17 +169,25 @@ def fit_router(x: np.ndarray, rows: int, target: float = TARGET) -> Router:
 
 
 def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """Each query's k best of a block, by exact score, ties to the smaller id."""
+    """Each query's k best ids of a block, each with its best row, by exact score, ties to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    x, ids = x[order], ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     scores = q @ x.T
     scores[q_ids[:, None] == ids[None, :]] = -np.inf
-    m = min(k, len(x))
-    least = np.partition(scores, len(x) - m, axis=1)[:, len(x) - m]
+    by_id = scores if len(first) == len(ids) else np.maximum.reduceat(scores, first, axis=1)
+    m = min(k, len(first))
+    least = np.partition(by_id, len(first) - m, axis=1)[:, len(first) - m]
     i, j = np.nonzero((scores >= least[:, None] - _TIE) & (scores > -np.inf))
     exact = np.concatenate([np.zeros(0)] + [(q[i[s : s + 65536]] * x[j[s : s + 65536]]).sum(axis=1) for s in range(0, len(i), 65536)])
-    order = np.lexsort((ids[j], -exact, i))
-    i, j, exact = i[order], j[order], exact[order]
-    place = np.arange(len(i)) - np.searchsorted(i, i)
-    keep = place < k
+    for keys in ((-exact, ids[j], i), None):
+        order = np.lexsort(keys if keys else (ids[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        if keys:
+            # The best row of each id.
+            one = np.append(True, (i[1:] != i[:-1]) | (ids[j][1:] != ids[j][:-1]))[: len(i)]
+            i, j, exact = i[one], j[one], exact[one]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
     yield pd.DataFrame({"query_id": q_ids[i[keep]], "vec_id": ids[j[keep]], "score": exact[keep]})
 
 
@@ -238,25 +247,36 @@ def search(spark: SparkSession, rows: DataFrame, is_query: Column, scratch: Scra
             out[own] = pd.Series(final.value.visits(unit(matrix(vecs[own], dim)), k + 1), index=out.index[own], dtype=object)
         return out
 
-    routed = scratch.write(placed.where("is_query").select("vec_id", "vec", visits("vec").alias("parts")), "routed").select("vec_id", "vec", F.explode("parts").alias("part"))
-    others = routed.where("part < 0").count()
-    _, query_blocks_of = _dealt(routed, router.weights.shape[1], others, QUERY_BLOCK)
-    cut = routed.select("part", "vec_id", "vec", F.pmod(F.xxhash64("vec_id"), query_blocks_of).alias("block"))
-    asked = scratch.write(cut.groupBy("part", "block").applyInPandas(pack, schema), "asked")
-
     def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 yield from _best(unpack(row.q, row.width), np.frombuffer(row.q_ids, dtype=np.int64), unpack(row.x, row.width), np.frombuffer(row.ids, dtype=np.int64), k)
 
-    # A block is copied once for each group of TOGETHER query blocks of its partition, a query block once for each block.
-    groups = F.ceil(query_blocks_of / F.lit(TOGETHER))
-    left = asked.select("part", F.floor(F.col("block") / F.lit(TOGETHER)).alias("group"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks_of - 1)).alias("block"), F.col("ids").alias("q_ids"), F.col("x").alias("q"))
-    right = blocks.select("part", F.explode(F.sequence(F.lit(0).cast("bigint"), groups - 1)).alias("group"), "block", "width", "ids", "x")
-    pairs = left.join(right.hint("shuffle_merge"), ["part", "group", "block"]).select("width", "q_ids", "q", "ids", "x")
-    with BatchRows(spark, 8):
-        found = scratch.write(pairs.mapInPandas(rerank, "query_id bigint, vec_id bigint, score double"), "found")
-    scratch.drop("blocks", "asked", "routed", "placed")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def ask(queries: DataFrame, name: str) -> DataFrame:
+        """queries (vec_id, vec, parts): (query_id, vec_id, score), the k best ids of each block of the parts."""
+        routed = scratch.write(queries, f"routed-{name}").select("vec_id", "vec", F.explode("parts").alias("part"))
+        others = routed.where("part < 0").count()
+        _, query_blocks_of = _dealt(routed, router.weights.shape[1], others, QUERY_BLOCK)
+        cut = routed.select("part", "vec_id", "vec", F.pmod(F.xxhash64("vec_id"), query_blocks_of).alias("block"))
+        asked = scratch.write(cut.groupBy("part", "block").applyInPandas(pack, schema), f"asked-{name}")
+        # A block is copied once for each group of TOGETHER query blocks of its partition, a query block once for each block.
+        groups = F.ceil(query_blocks_of / F.lit(TOGETHER))
+        left = asked.select("part", F.floor(F.col("block") / F.lit(TOGETHER)).alias("group"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks_of - 1)).alias("block"), F.col("ids").alias("q_ids"), F.col("x").alias("q"))
+        right = blocks.select("part", F.explode(F.sequence(F.lit(0).cast("bigint"), groups - 1)).alias("group"), "block", "width", "ids", "x")
+        pairs = left.join(right.hint("shuffle_merge"), ["part", "group", "block"]).select("width", "q_ids", "q", "ids", "x")
+        with BatchRows(spark, 8):
+            found = scratch.write(pairs.mapInPandas(rerank, "query_id bigint, vec_id bigint, score double"), f"found-{name}")
+        scratch.drop(f"asked-{name}", f"routed-{name}")
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    queries = placed.where("is_query").select("vec_id", "vec", visits("vec").alias("parts"))
+    found = ask(queries, "near")
+    # Rows that repeat ids can leave a query short of k ids: it visits all partitions then.
+    full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    short = scratch.write(queries.where(F.size("vec") == dim).select("vec_id", "vec").join(full, "vec_id", "left_anti"), "short")
+    if router.weights.shape[1] > 1 and not short.isEmpty():
+        every = F.array(*map(F.lit, range(router.weights.shape[1])))
+        found = found.unionByName(ask(short.withColumn("parts", every), "all")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    scratch.drop("blocks", "placed")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -40,8 +40,9 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= SMALL else rows
 
 
-_FIRST = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
-_SIZE = F.count(F.lit(1)).alias("group_size")
+def _groups(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, first, group_size): rows without an id come last."""
+    return rows.groupBy(*by).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
 
 
 def _verdicts(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
@@ -57,7 +58,7 @@ def dedup(spark: SparkSession, docs: DataFrame, scratch: Scratch, hashed=content
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of docs (doc_id, text); hashed gives the content hash."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised("text").alias("text")).withColumn("hash", hashed(F.col("text")))
     rows = scratch.write(texts.select("hash", "doc_id", F.sha2("text", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "rows")
-    repeated = scratch.write(rows.groupBy("hash").agg(_FIRST, _SIZE).where("group_size > 1"), "repeated")
+    repeated = scratch.write(_groups(rows, ["hash"]).where("group_size > 1"), "repeated")
 
     hashes = _few(repeated.select("hash"))
     variants = texts.join(hashes, "hash", "left_semi").groupBy("hash", "text").count().groupBy("hash").agg(F.count(F.lit(1)).alias("texts"))
@@ -68,4 +69,4 @@ def dedup(spark: SparkSession, docs: DataFrame, scratch: Scratch, hashed=content
     alone = _verdicts(rows.join(several, "hash", "left_anti"), _few(repeated.join(several, "hash", "left_anti")), ["hash"])
     apart = texts.join(several, "hash", "left_semi").select("hash", "text", "doc_id", F.sha2("text", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
     apart = scratch.write(apart, "apart")
-    return alone.unionByName(_verdicts(apart, apart.groupBy("hash", "text").agg(_FIRST, _SIZE), ["hash", "text"]))
+    return alone.unionByName(_verdicts(apart, _groups(apart, ["hash", "text"]), ["hash", "text"]))

@@ -102,9 +102,10 @@ def choose_pivots(x: np.ndarray, most: float, count: int) -> Pivots:
 
 @dataclasses.dataclass(frozen=True)
 class Table:
-    """The pivots and the directory: of each part (cell * LABELS + hash of the label) the ranges of distances and labels."""
+    """The pivots and the directory: of each part (cell * hashes + hash of the label) the ranges of distances and labels."""
 
     dim: int
+    hashes: int
     pivots: Pivots
     parts: np.ndarray
     near: np.ndarray  # parts x pivots: smallest distance
@@ -122,7 +123,7 @@ class Table:
         inner, outer = self.radii(q2, low, high)
         gap = np.maximum(0, np.maximum(self.near[None] - dist[:, None], dist[:, None] - self.far[None])).max(axis=2, initial=0.0)
         reach = (dist[:, None] + self.far[None]).min(axis=2, initial=np.inf)
-        may = (gap <= outer[:, None]) & (reach >= inner[:, None]) & (self.parts[None] // LABELS != own[:, None])
+        may = (gap <= outer[:, None]) & (reach >= inner[:, None]) & (self.parts[None] // self.hashes != own[:, None])
         if same:
             may &= (self.labels[None, :, 0] <= label[:, None]) & (label[:, None] <= self.labels[None, :, 1])
         else:
@@ -207,23 +208,30 @@ class Index:
         count = len(pivots.points)
         shared = spark.sparkContext.broadcast(pivots)
 
-        @F.pandas_udf("array<double>")
-        def distances(vecs: pd.Series) -> pd.Series:
-            own, out = (vecs.map(len) == dim).to_numpy() & (count > 0), pd.Series([[] for _ in vecs], dtype=object)
-            if own.any():
-                found = shared.value.distances(shared.value.augmented(matrix(vecs[own], dim)))
-                out[own] = pd.Series(found.tolist(), index=out.index[own], dtype=object)
-            return out
+        def distances_of(lifted):
+            @F.pandas_udf("array<double>")
+            def distances(vecs: pd.Series) -> pd.Series:
+                own, out = (vecs.map(len) == dim).to_numpy() & (count > 0), pd.Series([[] for _ in vecs], dtype=object)
+                if own.any():
+                    found = shared.value.distances(lifted(shared.value, matrix(vecs[own], dim)))
+                    out[own] = pd.Series(found.tolist(), index=out.index[own], dtype=object)
+                return out
+
+            return distances
 
+        distances = distances_of(lambda p, x: p.augmented(x))
+        asked = distances_of(lambda p, x: np.hstack([x, np.zeros((len(x), 1))]))
         placed = rows.select("vec_id", "label", "vec", F.size("vec").alias("width"), "is_anchor", distances("vec").alias("dist"), F.monotonically_increasing_id().alias("row"))
         cell = F.when(F.size("dist") > 0, F.array_position("dist", F.array_min("dist")).cast("int") - 1).otherwise(F.lit(count))
         placed = placed.withColumn("part", (cell * LABELS + F.pmod(F.xxhash64("label", F.lit(SEED)), F.lit(LABELS))).cast("int"))
         self.rows = scratch.write(placed, "placed")
+        #: Anchors have a zero as their last component.
+        self.anchors = self.rows.where("is_anchor").withColumn("dist", asked("vec"))
         self.sizes = scratch.write(self.rows.groupBy("width", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "sizes")
         ranges = [f(F.col("dist")[k]).alias(f"{name}{k}") for k in range(count) for name, f in (("near", F.min), ("far", F.max))]
         parts = self.rows.where(F.size("dist") > 0).groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high"), *ranges).orderBy("part").toPandas()
         column = lambda name: parts[[f"{name}{k}" for k in range(count)]].to_numpy(np.float64)
-        self.table = Table(dim if count else -1, pivots, parts["part"].to_numpy(np.int64), column("near"), column("far"), parts[["low", "high"]].to_numpy(np.int64))
+        self.table = Table(dim if count else -1, LABELS, pivots, parts["part"].to_numpy(np.int64), column("near"), column("far"), parts[["low", "high"]].to_numpy(np.int64))
         self.shared = spark.sparkContext.broadcast(self.table)
         dealt = self.rows.join(F.broadcast(self.sizes), ["width", "part"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
         self.blocks = scratch.write(dealt.groupBy("width", "part", "block").applyInPandas(_pack_rows, _BLOCK), "blocks")
@@ -246,7 +254,7 @@ class Index:
             if own.any():
                 x, d = matrix(vec[own], table.dim), matrix(dist[own], len(table.pivots.points))
                 number = lambda s: s[own].to_numpy(np.float64)
-                found = table.visits(d, norms(x), label[own].to_numpy(np.int64), part[own].to_numpy(np.int64) // LABELS, number(low), number(high), same)
+                found = table.visits(d, norms(x), label[own].to_numpy(np.int64), part[own].to_numpy(np.int64) // table.hashes, number(low), number(high), same)
                 out[own] = pd.Series(found, index=out.index[own], dtype=object)
             return out
 
@@ -299,7 +307,7 @@ def mine(spark: SparkSession, rows: DataFrame, is_anchor: Column, scratch: Scrat
     index = Index(spark, known, scratch)
     if index.empty:
         return spark.createDataFrame([], "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
-    anchors = index.rows.where("is_anchor").withColumns({"no": F.lit(0).cast("bigint"), "low": F.lit(_LONG.min), "high": F.lit(_LONG.max)})
+    anchors = scratch.write(index.anchors, "anchors").withColumns({"no": F.lit(0).cast("bigint"), "low": F.lit(_LONG.min), "high": F.lit(_LONG.max)})
     positives = scratch.write(index.best(anchors, True, POSITIVES, "positives"), "positives")
     share = lambda f, percent: f(F.col("score").cast("decimal(38,0)") * percent / 100).cast("bigint")
     windows = positives.select("row", F.col("rank").cast("bigint").alias("no"), share(F.ceil, FROM).alias("low"), share(F.floor, TO).alias("high")).where("low <= high")

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import ann, embed_dedup, exact_dedup, hard_negatives, huffman, lang_id, mixing, ngram_join, oracle, pieces, quality, spelling, token_counts, warc
 from sparkloom.llm.common import Scratch, crc_fold, held_out, read
 
-#: The folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-BYTE_BPE, PIECE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
+def vocabulary(name: str) -> str:
+    """A file of the public tokenizers, in $TOKENIZERS_DIR if that is set."""
+    folder = os.environ.get("TOKENIZERS_DIR")
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)
+
+
+BYTE_BPE, PIECE_BPE = str(vocabulary("byte_bpe_50k.json")), str(vocabulary("piece_bpe_32k.model"))
 
 #: The ids that close a document in op4's and op7's files.
 END_OF_CODED, END_OF_FLAT = 2, 50256
@@ -61,8 +68,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rows for each page: its metadata and its conversion record."""
-    made = warc.derive(warc.responses(read(spark, sf_dir, "pages")))
+    """Two rows for each page, its metadata and its conversion record, as the written WARC files hold them."""
+    scratch = Scratch(spark, "op8")
+    folder = scratch.path("files")
+    written = scratch.write(warc.write_files(warc.responses(read(spark, sf_dir, "pages")), folder, warc.derivatives, 1), "written")
+    made = warc.read_files(spark, folder).drop("key").join(written.select("key", "record_id"), "record_id")
     header = lambda name: F.element_at("headers", name)
     return made.select(
         F.col("key").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", header("WARC-Concurrent-To").alias("concurrent_to"), header("WARC-Source-Payload-Digest").alias("source_digest"),

@@ -3,13 +3,16 @@
 A response's HTML gives the plain text (a conversion record) and a few fields with its links (a metadata record).
 Both refer to the response by WARC-Refers-To, keep its target URI, date and payload digest, carry the names of
 its HTTP headers on, and name each other by WARC-Concurrent-To; their own ids are functions of the response's id,
-so a task that runs again makes the same records.
+so a task that runs again makes the same records.  Bodies are taken as they were meant: chunked transfer and gzip or deflate
+codings are undone, the character set is that of the header, else of a byte order mark or a meta element, else UTF-8, and a
+base element counts for links.  A coding that is unknown, damaged or inflates beyond INFLATED bytes leaves the body as it is.
 
 Records are rows; write_files() and read_files() turn them into gzip WARC files (a member for each record) and
 back.  Rows are handled one by one, so memory follows the longest page, not the size of a partition.
 
 Nulls and edge cases: null html is an empty payload, whose text is empty; a null url gives records without a
-target URI; repeated rows give equal records.  Records of other types have no derivatives.  Line breaks in
+target URI; repeated rows are records of their own, with ids of their own.  An empty table gives no records.  Records of other
+types have no derivatives.  Line breaks in
 header values become spaces.  Comments, scripts and styles that never close reach to the end of the page, and no
 title, language or link within them counts; a `<` that begins no tag is text.
 """
@@ -17,12 +20,14 @@ title, language or link within them counts; a `<` that begins no tag is text.
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
 import hashlib
 import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -32,14 +37,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import files
+from sparkloom.llm.common import fresh
 
 DATE = "2024-01-01T00:00:00Z"
+#: The most bytes that a coded body may grow to, and the most repeated pages that are broadcast.
+INFLATED, SMALL = 1 << 28, 1 << 20
 CRLF = b"\r\n"
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TITLE = re.compile(r"<title\b[^<>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 _LANGUAGE = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
 _LINK = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s<>\"']+))", re.I)
+_BASE = re.compile(r"<base\b[^<>]*?\bhref\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s<>\"']+))", re.I)
+_META = re.compile(rb"<meta\b[^<>]*?\bcharset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<[A-Za-z/!?][^<>]*>")
 _BLANK = re.compile(r"[^\S\n]+")
@@ -81,6 +91,9 @@ def links(seen: str, base: str | None) -> list[str]:
     """Targets of an uncovered page's links, resolved against its address, in order, each once."""
     out = dict.fromkeys(html.unescape(a or b or c).strip() for a, b, c in _LINK.findall(seen))
     found = []
+    if declared := _BASE.search(seen):
+        with contextlib.suppress(ValueError):
+            base = urljoin(base or "", html.unescape(declared[1] or declared[2] or declared[3] or "").strip())
     for target in out:
         try:
             found.append(urljoin(base or "", target))
@@ -108,18 +121,31 @@ def _batches(rows: Iterator[tuple], most: int = 8 << 20) -> Iterator[pa.RecordBa
 def responses(pages: DataFrame, date: str = DATE, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """Response records of crawled pages: an HTTP message each, with block and payload digests."""
 
+    copy = fresh(pages, "copy")
+    rows = pages.select(F.col(key).cast("bigint").alias("key"), F.col(url).alias("url"), F.col(page).alias("page"))
+    own = ["key", "url", F.xxhash64("page").alias("hash")]
+    repeated = rows.select(*own).groupBy("key", "url", "hash").count().where("count > 1").select(F.coalesce("key", F.lit(0)).alias("k"), "hash").distinct()
+    if repeated.isEmpty():
+        numbered = rows.withColumn(copy, F.lit(1))
+    else:
+        few = F.broadcast(repeated) if repeated.count() <= SMALL else repeated
+        met = (F.coalesce(rows["key"], F.lit(0)) == few["k"]) & (F.xxhash64(rows["page"]) == few["hash"])
+        again = rows.join(few, met, "left_semi").groupBy("key", "url", "page").count()
+        numbered = rows.join(few, met, "left_anti").withColumn(copy, F.lit(1)).unionByName(again.select("key", "url", "page", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias(copy)))
+
     def build(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for k, address, text in rows:
+        for k, address, text, number in rows:
             payload = (text or "").encode("utf-8", "surrogatepass")
             block = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}".encode(), b"", payload])
             paid = digest(payload)
             headers = {"WARC-Block-Digest": digest(block), "WARC-Payload-Digest": paid}
-            yield k, "response", record_id(k, address, paid), None, address, date, "application/http; msgtype=response", list(headers.items()), block
+            named = record_id(k, address, paid) if number == 1 else record_id(k, address, paid, number)
+            yield k, "response", named, None, address, date, "application/http; msgtype=response", list(headers.items()), block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(build(row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)))
+        yield from _batches(build(row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)))
 
-    return pages.select(F.col(key).cast("bigint"), url, page).mapInArrow(run, RECORD)
+    return numbered.mapInArrow(run, RECORD)
 
 
 def split_http(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
@@ -131,17 +157,61 @@ def split_http(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return [(name.strip(), value.strip()) for name, colon, value in fields if colon], body
 
 
+def dechunked(body: bytes) -> bytes:
+    """The payload of a chunked transfer; an unfinished one gives what there is, no chunked one itself."""
+    out, at = [], 0
+    while (line := body.find(CRLF, at)) >= 0:
+        size = re.fullmatch(rb"([0-9A-Fa-f]{1,15})[ \t]*(?:;.*)?", body[at:line], re.S)
+        if size is None:
+            return b"".join(out) if out else body
+        n = int(size[1], 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[line + 2 : line + 2 + n])
+        at = line + 2 + n + 2
+    return b"".join(out) if out else body
+
+
+def inflated(body: bytes, coding: str) -> bytes:
+    """The body without a gzip or deflate coding; itself if it is none or damaged from the start."""
+    for wbits in {"gzip": [31], "x-gzip": [31], "deflate": [15, -15]}.get(coding, []):
+        unpack = zlib.decompressobj(wbits)
+        with contextlib.suppress(zlib.error):
+            made = unpack.decompress(body, INFLATED)
+            if made and not unpack.unconsumed_tail:
+                return made
+    return body
+
+
+def page_of(fields: list[tuple[str, str]], body: bytes) -> str:
+    """The text of an HTTP body under its header fields."""
+    named = {}
+    for name, value in fields:
+        named[name.lower()] = f"{named[name.lower()]}, {value}" if name.lower() in named else value
+    if "chunked" in named.get("transfer-encoding", "").lower():
+        body = dechunked(body)
+    for coding in reversed(named.get("content-encoding", "").lower().split(",")):
+        body = inflated(body, coding.strip())
+    declared = re.search(r"charset\s*=\s*[\"']?\s*([\w.:-]+)", named.get("content-type", ""), re.I)
+    marks = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+    mark = next((m for m in marks if body.startswith(m[0])), None)
+    meta = _META.search(body, 0, 4096)
+    charset = declared[1] if declared else mark[1] if mark else meta[1].decode("ascii") if meta else "utf-8"
+    if mark and mark[1].startswith(charset.lower().replace("_", "-")):
+        body, charset = body[len(mark[0]) :], mark[1]
+    try:
+        return body.decode(charset, "replace")
+    except (LookupError, ValueError):  # not a character set
+        return body.decode("utf-8", "replace")
+
+
 def derivatives(row: tuple) -> list[tuple]:
     """The metadata and the conversion record of one record; none unless it is a response."""
     key, kind, own, _, target, date, _, headers, block = row
     if kind != "response":
         return []
     fields, body = split_http(block or b"")
-    charset = next((m[1] for name, value in fields if name.lower() == "content-type" and (m := re.search(r"charset=[\"']?([\w-]+)", value))), "utf-8")
-    try:
-        page = body.decode(charset, "replace")
-    except LookupError:
-        page = body.decode("utf-8", "replace")
+    page = page_of(fields, body)
     source = dict(headers or [])
     metadata, conversion = record_id("metadata", own), record_id("conversion", own)
     seen, title = uncover(page)
@@ -153,10 +223,11 @@ def derivatives(row: tuple) -> list[tuple]:
     described += [("outlink", link) for link in links(seen, target)]
     lines = [f"{name}: {re.sub(r'[\r\n]+', ' ', value)}" for name, value in filter(None, described)]
     about = "\r\n".join([*lines, ""]).encode("utf-8", "surrogatepass")
+    refers = [(name, value) for name, value in (("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date)) if value is not None]
     kept = [(f"WARC-Source-{name[5:]}", value) for name, value in source.items() if name in ("WARC-Block-Digest", "WARC-Payload-Digest")]
 
     def made(kind: str, own_id: str, other: str, content: str, data: bytes) -> tuple:
-        return key, kind, own_id, own, target, date, content, [("WARC-Block-Digest", digest(data)), *kept, ("WARC-Concurrent-To", other)], data
+        return key, kind, own_id, own, target, date, content, [("WARC-Block-Digest", digest(data)), *kept, *refers, ("WARC-Concurrent-To", other)], data
 
     return [made("metadata", metadata, conversion, "application/warc-fields", about), made("conversion", conversion, metadata, "text/plain; charset=utf-8", text)]
 
@@ -181,20 +252,21 @@ def to_bytes(row: tuple) -> bytes:
     return b"WARC/1.1\r\n" + head.encode("utf-8", "surrogatepass") + CRLF + block + CRLF * 2
 
 
-def write_files(records: DataFrame, folder: str) -> DataFrame:
-    """Writes one gzip WARC file for each task: (path, records, bytes)."""
+def write_files(records: DataFrame, folder: str, made_of=lambda row: [row], level: int = 6) -> DataFrame:
+    """Writes the records that made_of gives for each record, a gzip WARC file for each task: (path, key, record_id) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, n, size = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz", 0, 0
+        path = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz"
         with files.writing(path) as out:
             for batch in batches:
+                own = []
                 for row in _rows(batch):
-                    member = gzip.compress(to_bytes(row), 6, mtime=0)
-                    out.write(member)
-                    n, size = n + 1, size + len(member)
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n]), pa.array([size])], ["path", "records", "bytes"])
+                    for record in made_of(row):
+                        out.write(gzip.compress(to_bytes(record), level, mtime=0))
+                        own.append((record[0], record[2]))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(own), pa.string()), pa.array([k for k, _ in own], pa.int64()), pa.array([i for _, i in own], pa.string())], ["path", "key", "record_id"])
 
-    return records.select(*_NAMES).mapInArrow(run, "path string, records bigint, bytes bigint")
+    return records.select(*_NAMES).mapInArrow(run, "path string, key bigint, record_id string")
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple]:

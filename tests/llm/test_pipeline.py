@@ -125,3 +125,12 @@ def test_run(spark):
     for r in rows:
         assert r["ids"] == library.encode(texts[r["doc_id"]]) and r["n_tokens"] == len(r["ids"])
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(r["ids"]).encode()).hexdigest()
+
+
+def test_near_duplicates_with_columns_without_an_order(spark):
+    """Rows that share a doc_id, and columns of any type: one row of each id stays, with all its columns."""
+    rows = [(1, "one two three four five six"), (1, "other words stand here in this row"), (2, "a b c d e f g"), (2, "a b c d e f g"), (None, "x"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1), "Rows": F.create_map(F.lit("a"), F.lit(1)), "place": F.parse_json(F.lit("[1]"))})
+    got = p.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 0, 1, 2]
