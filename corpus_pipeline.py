@@ -46,11 +46,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias(rows)).where(F.col(rows) > 1).select("doc_id")
     if repeated.isEmpty():
         return kept
-    # Rows that share a doc_id: the one with the smallest content stays.
+    # Rows that share a doc_id: one stays, that with the smallest hash of its text.  Rows of equal text are told apart by a
+    # number that is written down, so a task that runs again picks the same one; other columns may be of any type.
     names = [F.col(f"`{c}`") for c in docs.columns]
-    marked = kept.join(repeated.withColumn(again, F.lit(True)), "doc_id", "left").select(*names, again)
-    few = marked.where(F.col(again)).groupBy("doc_id").agg(F.min(F.struct(*[n for n, c in zip(names, docs.columns, strict=True) if c != "doc_id"])).alias(place)).select("doc_id", f"{place}.*")
-    return marked.where(F.col(again).isNull()).select(*names).unionByName(few.select(*names))
+    marked = Scratch(spark, "marked").write(kept.join(repeated.withColumn(again, F.lit(True)), "doc_id", "left").select(*names, again, F.monotonically_increasing_id().alias(place)), "rows")
+    first = marked.where(F.col(again)).groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), F.col(place))).alias(rows)).select(F.col(f"{rows}.{place}").alias(place), F.lit(True).alias(rows))
+    return marked.join(first, place, "left").where(F.col(again).isNull() | F.col(rows)).select(*names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
