@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_HEADER = re.compile(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
+from sparkloom.functions import text as fx
+
+_HEADER = r"^@@ -(\d{1,9})(?:,(\d{1,9}))? \+(\d{1,9})(?:,(\d{1,9}))? @@"
+#: More hunks than this are refused.  Fixed value.
+MOST_HUNKS = 1000
 #: Characters outside a charset, by its name.  Fixed values.
 LACKS = {"ascii": r"[^\x00-\x7F]", "iso-8859-1": r"[^\x00-\xFF]"}
 
@@ -30,53 +33,74 @@ def unified_diff(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Ite
         yield pd.Series(out, dtype=object)
 
 
-def _apply(text: str, patch: str) -> str:
-    """One file's patch, each line of it checked; raises ValueError with the reason."""
-    rows = patch.split("\n")
-    if rows and rows[-1] == "":
-        rows.pop()
-    if len(rows) < 3 or not rows[0].startswith("--- ") or not rows[1].startswith("+++ "):
-        raise ValueError("no file header")
-    source, out, at, i = text.split("\n"), [], 0, 2
-    while i < len(rows):
-        head = _HEADER.match(rows[i])
-        if head is None:
-            raise ValueError(f"line {i + 1}: not a hunk header")
-        old_start, old_n, new_start, new_n = (1 if g is None else int(g) for g in head.groups())
-        begin = old_start - 1 if old_n else old_start
-        if begin < at or begin > len(source) or old_start == 0 and old_n:
-            raise ValueError(f"line {i + 1}: hunks overlap or lie outside")
-        out += source[at:begin]
-        if new_start != len(out) + (1 if new_n else 0):
-            raise ValueError(f"line {i + 1}: new start is not {len(out) + 1}")
-        at, i = begin, i + 1
-        while old_n or new_n:
-            mark, body = (rows[i][:1], rows[i][1:]) if i < len(rows) else ("", "")
-            if mark not in (" ", "-", "+"):
-                raise ValueError(f"line {i + 1}: hunk ends early")
-            if mark != "+":
-                if at >= len(source) or source[at] != body:
-                    raise ValueError(f"source line {at + 1}: differs")
-                at, old_n = at + 1, old_n - 1
-            if mark != "-":
-                out.append(body)
-                new_n -= 1
-            if old_n < 0 or new_n < 0:
-                raise ValueError(f"line {i + 1}: more lines than the header says")
-            i += 1
-    return "\n".join(out + source[at:])
-
-
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
-def apply_patch(texts: pd.Series, patches: pd.Series) -> pd.DataFrame:
-    """The patched text or the reason against it; nothing is applied in part.  Null if the text or the patch is null."""
-    out = []
-    for text, patch in zip(texts, patches, strict=True):
-        try:
-            out.append((None, None) if text is None or patch is None else (_apply(text, patch), None))
-        except ValueError as e:
-            out.append((None, str(e)))
-    return pd.DataFrame(out, columns=["text", "error"], dtype=object)
+def _header_error(path: Column) -> Column:
+    """What is wrong with the lines (patch) before the first hunk, and with the patch as a whole; null if nothing is."""
+    lines, first = F.col("patch"), F.col("heads")[0]["at"]
+    name = lambda k: F.substring_index(F.regexp_extract(F.element_at(lines, k), r"^(?:---|\+\+\+)\s+(\S*)", 1), "/", -1)
+    other = lambda k: (F.regexp_extract(F.element_at(lines, k), r"^\S+\s+(\S*)", 1).isin("", "/dev/null")) | F.coalesce(name(k) != F.substring_index(path, "/", -1), F.lit(False))
+    return (
+        F.when((F.size(lines) < 3) | ~F.element_at(lines, 1).startswith("--- ") | ~F.element_at(lines, 2).startswith("+++ "), "no file header")
+        .when(other(1) | other(2), "another file")
+        .when(F.exists(F.slice(lines, 3, F.size(lines)), lambda x: x.startswith("--- ") | x.startswith("+++ ")), "several files")
+        .when(F.exists(lines, lambda x: x == "\\ No newline at end of file"), "no-newline mark")
+        .when(F.size("heads") == 0, "no hunk")
+        .when(F.size("heads") > MOST_HUNKS, f"more than {MOST_HUNKS} hunks")
+        .when(F.exists(F.slice(lines, F.lit(3), first - 2), lambda x: x != ""), "text before the first hunk")
+    )
+
+
+def _hunk(head: Column, k: Column) -> Column:
+    """A hunk as a row: what it takes out of the source, from where, and what it puts there."""
+    number = lambda g: F.regexp_extract(head["line"], _HEADER, g)
+    count = lambda g: F.when(number(g) == "", F.lit(1)).otherwise(F.try_to_number(F.lpad(number(g), 9, "0"), F.lit("999999999")).cast("int"))
+    start = lambda g: F.try_to_number(F.lpad(number(g), 9, "0"), F.lit("999999999")).cast("int")
+    stop = F.coalesce(F.try_element_at(F.col("heads"), k + 2)["at"], F.size("patch"))
+    body = F.slice(F.col("patch"), head["at"] + 2, stop - head["at"] - 1)
+    side = lambda without: F.transform(F.filter(body, lambda x: ~x.startswith(without)), lambda x: F.substring(x, 2, 1 << 30))
+    taken, put = side("+"), side("-")
+    at = F.when(count(2) == 0, start(1)).otherwise(start(1) - 1)
+    strange = F.exists(body, lambda x: ~F.substring(x, 1, 1).isin(" ", "-", "+"))
+    fits = (F.size(taken) == count(2)) & (F.size(put) == count(4))
+    return F.struct(at.alias("at"), taken.alias("taken"), put.alias("put"), start(3).alias("new_start"), strange.alias("strange"), fits.alias("fits"), (head["at"] + 1).alias("line"))
+
+
+def apply_patches(rows: DataFrame, text: str, patch: str, path: str | None = None, into: str = "got") -> DataFrame:
+    """rows with into: struct(text, error), the text with its unified patch, or the reason against it.
+
+    A patch is for one file (of the name of path, where that is given) and applies as it stands or not at all.  Its hunks become
+    rows: each is checked against the slice of the source that it names, then all slices and replacements are joined at once.
+    Texts whose endings are all CRLF keep them, mixed ones become LF; the patch's own endings don't count.  Null if either is null.
+    """
+    lf, crlf = fx.ending_counts(F.col(text))
+    lines = F.split(fx.to_lf(F.col(patch)), "\n")
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    heads = F.filter(F.transform("patch", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda r: (r["at"] > 1) & r["line"].rlike(_HEADER))
+    own = rows.select(F.struct(*rows.columns).alias("row"), F.split(fx.to_lf(F.col(text)), "\n").alias("source"), (fx.ending_style(lf, crlf) == "crlf").alias("crlf"), lines.alias("patch"))
+    own = own.withColumn("heads", heads).withColumn("wrong", _header_error(F.col(f"row.{path}") if path else F.lit(None)))
+    # What has no sound header has no hunks.
+    own = own.withColumn("hunks", F.when(F.col("wrong").isNull(), F.transform("heads", _hunk)))
+    grown = lambda k: F.aggregate(F.slice("hunks", F.lit(1), k), F.lit(0), lambda n, h: n + F.size(h["put"]) - F.size(h["taken"]))
+    end = lambda h: h["at"] + F.size(h["taken"])
+    before = lambda k: F.coalesce(F.try_element_at(F.col("hunks"), F.when(k > 0, k))["at"] + F.size(F.try_element_at(F.col("hunks"), F.when(k > 0, k))["taken"]), F.lit(0))
+
+    def wrong(h: Column, k: Column) -> Column:
+        outside = (h["at"] < before(k)) | (end(h) > F.size("source"))
+        return (
+            F.when(h["strange"], F.lit("a line without a mark"))
+            .when(~h["fits"], "not as many lines as announced")
+            .when(outside, "overlaps or lies outside")
+            .when(F.slice("source", h["at"] + 1, F.size(h["taken"])) != h["taken"], "the source differs")
+            .when(h["new_start"] != h["at"] + grown(k) + F.when(F.size(h["put"]) > 0, 1).otherwise(0), "another new start")
+        )
+
+    found = F.filter(F.transform("hunks", lambda h, k: F.concat(F.lit("hunk at line "), h["line"].cast("string"), F.lit(": "), wrong(h, k))), lambda e: e.isNotNull())
+    own = own.withColumn("error", F.coalesce("wrong", F.try_element_at(found, F.lit(1))))
+    pieces = F.flatten(F.transform("hunks", lambda h, k: F.concat(F.slice("source", before(k) + 1, F.greatest(h["at"] - before(k), F.lit(0))), h["put"])))
+    rest = F.slice("source", end(F.element_at("hunks", -1)) + 1, F.size("source"))
+    made = F.array_join(F.concat(pieces, rest), "\n")
+    done = F.when(F.col("error").isNull() & F.col("source").isNotNull() & F.col("patch").isNotNull(), F.when(F.col("crlf"), fx.to_crlf(made)).otherwise(made))
+    shown = F.when(F.col("source").isNotNull() & F.col("patch").isNotNull(), F.col("error"))
+    return own.select("row.*", F.struct(done.alias("text"), shown.alias("error")).alias(into))
 
 
 def unrepresentable(texts: DataFrame, charset: str, key: str, most: int = 64) -> DataFrame:

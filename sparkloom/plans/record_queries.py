@@ -114,7 +114,7 @@ def patch_round_trip(spark: SparkSession, d: str) -> DataFrame:
     new = F.array_join(F.flatten(F.transform(F.split("text", "\n"), lambda line: F.when(line.contains("e"), F.array(line, F.upper(line))).otherwise(F.array(line)))), "\n")
     both = table(spark, d, "documents").select("doc_id", "text", new.alias("new"))
     diffs = both.withColumn("diff", edits.unified_diff("text", "new", F.col("doc_id").cast("string"))).where("diff <> ''")
-    applied = diffs.withColumn("got", edits.apply_patch("text", "diff"))
+    applied = edits.apply_patches(diffs, "text", "diff")
     return applied.select("doc_id", F.regexp_count("diff", F.lit(r"(?m)^@@ ")).alias("n_hunks"), (F.col("got.text") == F.col("new")).alias("same"), F.col("got.error").alias("error"))
 
 
