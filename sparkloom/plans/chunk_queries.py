@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import chunks as ch
 from sparkloom.operators import detect as dt
-from sparkloom.operators import regions
+from sparkloom.operators import ignore, regions
 from sparkloom.plans.text_queries import MIXED_SQL, _mixed
-from sparkloom.sources.corpus import table
+from sparkloom.sources.corpus import files, table
 
 #: An odd size, so that chunks end within characters and line endings.
 CHUNK = 997
@@ -50,10 +50,19 @@ def page_scopes(spark: SparkSession, d: str) -> DataFrame:
     return regions.scopes(table(spark, d, "pages"), "page_id", "html")
 
 
+def nested_ignore(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus as a tree with an ignore file at its root and one in each source's folder, made of the ids that it holds."""
+    own = files(spark, d)
+    top = spark.range(1).select(F.lit("").alias("scope"), F.lit("# all sources\n*.fr\nsrc3/\n!**/1?.fr  \n").alias("text"))
+    folders = own.groupBy(F.split("path", "/")[0].alias("scope")).agg(F.min("doc_id").cast("string").alias("m"))
+    each = folders.select("scope", F.concat("m", F.lit("*.en\n!"), "m", F.lit("0*\r\n/*[13].de\n"), "m", F.lit(".*/\n")).alias("text"))
+    return ignore.ignored(own.select("path", F.lit(False).alias("is_dir")), top.union(each))
+
+
 #: As page_segments' rules, for DuckDB.
 _REGIONS = r"(?is)<!--.*?(?:-->|\z)|<script\b[^<>]*>.*?(?:</script\s*>|\z)|<style\b[^<>]*>.*?(?:</style\s*>|\z)"
 
-QUERIES = {q.__name__: q for q in (chunked_endings, chunked_utf8, detect_chunks, page_segments, page_scopes)}
+QUERIES = {q.__name__: q for q in (chunked_endings, chunked_utf8, detect_chunks, page_segments, page_scopes, nested_ignore)}
 ORACLE_SQL = {
     "chunked_endings": f"with {MIXED_SQL} select doc_id, length(text) - length(replace(text, chr(10), '')) - (length(text) - length(replace(text, chr(13) || chr(10), ''))) // 2 as lf, (length(text) - length(replace(text, chr(13) || chr(10), ''))) // 2 as crlf, md5(replace(text, chr(13) || chr(10), chr(10))) as digest from m",
     "page_segments": f"""
@@ -69,4 +78,9 @@ s as (
   from o where token is not null)
 select page_id, start::int as start, stop::int as "end", kind, closed from s where start < stop""",
     "chunked_utf8": f"select doc_id, doc_id % 4 <> 0 as valid, case when doc_id % 4 = 0 then strlen(text) // {CHUNK} end as bad_no from documents",
+    "nested_ignore": r"""
+with f as (select source || '/' || doc_id || '.' || lang as path, source, doc_id || '.' || lang as base, min(doc_id) over (partition by source)::varchar as m from documents)
+select path, source = 'src3' or case when regexp_matches(base, '^.*[13]\.de$') then true when starts_with(base, m || '0') then false
+  when starts_with(base, m) and ends_with(base, '.en') then true when regexp_matches(base, '^1.\.fr$') then false when ends_with(base, '.fr') then true else false end as ignored
+from f""",
 }
