@@ -19,14 +19,12 @@ title, language or link within them counts; a `<` that begins no tag is text.
 
 from __future__ import annotations
 
-import base64
 import contextlib
 import gzip
 import hashlib
 import html
 import io
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
@@ -50,23 +48,32 @@ _LANGUAGE = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I
 _LINK = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s<>\"']+))", re.I)
 _BASE = re.compile(r"<base\b[^<>]*?\bhref\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s<>\"']+))", re.I)
 _META = re.compile(rb"<meta\b[^<>]*?\bcharset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b[^<>]*>", re.I)
-_TAG = re.compile(r"<[A-Za-z/!?][^<>]*>")
+#: Elements that begin and end lines.  Fixed values.
+_BLOCKS = set("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th tr ul".split())
+_TAG = re.compile(r"<(?:/?([A-Za-z]\w*)|[A-Za-z/!?])[^<>]*>")
+#: Links whose resolution is plain: an absolute path without dots on a plain address.
+_ORIGIN, _PLAIN_PATH = re.compile(r"https?://[^/?#\s\\]+(?=[/?#]|\Z)"), re.compile(r"/(?!/)[\w~%,=+&/-]*")
 _BLANK = re.compile(r"[^\S\n]+")
-_EMPTY_LINES = re.compile(r" ?\n[ \n]*")
 
 RECORD = "key bigint, warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, headers map<string,string>, block binary"
 _NAMES = [c.split()[0] for c in RECORD.split(", ")]
 _TYPES = [pa.int64(), *[pa.string()] * 6, pa.map_(pa.string(), pa.string()), pa.binary()]
 
 
+_PAIRS = [a + b for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"]
+
+
 def digest(data: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    """SHA-1 in base 32, ten bits at a time."""
+    n = int.from_bytes(hashlib.sha1(data).digest(), "big")
+    return "sha1:" + "".join([_PAIRS[n >> k & 1023] for k in range(150, -1, -10)])
 
 
 def record_id(*parts: object) -> str:
     name = "\x1f".join("" if p is None else f"={p}" for p in parts)
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(name.encode('utf-8', 'surrogatepass')).digest()[:16], version=5)}>"
+    h = hashlib.sha256(name.encode("utf-8", "surrogatepass")).hexdigest()
+    # The bits of a name-based UUID.
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-{int(h[16], 16) & 3 | 8:x}{h[17:20]}-{h[20:32]}>"
 
 
 def uncover(page: str) -> tuple[str, str | None]:
@@ -83,8 +90,11 @@ def uncover(page: str) -> tuple[str, str | None]:
 
 def plain_text(seen: str) -> str:
     """The text of a whole uncovered page: a line for each block element, entities decoded, blanks collapsed."""
-    shown = _TAG.sub("", _BREAK.sub("\n", seen))
-    return _EMPTY_LINES.sub("\n", _BLANK.sub(" ", html.unescape(shown))).strip()
+    parts = _TAG.split(seen)
+    parts[1::2] = ["\n" if name and name.lower() in _BLOCKS else "" for name in parts[1::2]]
+    shown = "".join(parts)
+    lines = (" ".join(line.split()) for line in html.unescape(shown).split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 def links(seen: str, base: str | None) -> list[str]:
@@ -94,7 +104,11 @@ def links(seen: str, base: str | None) -> list[str]:
     if declared := _BASE.search(seen):
         with contextlib.suppress(ValueError):
             base = urljoin(base or "", html.unescape(declared[1] or declared[2] or declared[3] or "").strip())
+    origin = _ORIGIN.match(base or "")
     for target in out:
+        if origin and _PLAIN_PATH.fullmatch(target) and "//" not in target:
+            found.append(origin[0] + target)
+            continue
         try:
             found.append(urljoin(base or "", target))
         except ValueError:  # no valid address
@@ -219,17 +233,18 @@ def derivatives(row: tuple) -> list[tuple]:
     language = _LANGUAGE.search(seen)
     described = [("title", title) if title is not None else None, ("language", language[1]) if language else None]
     described += [(f"http-{name.lower()}", value) for name, value in fields]
-    described += [("text-length", str(len(text))), ("text-digest", digest(text))]
+    paid = digest(text)
+    described += [("text-length", str(len(text))), ("text-digest", paid)]
     described += [("outlink", link) for link in links(seen, target)]
     lines = [f"{name}: {re.sub(r'[\r\n]+', ' ', value)}" for name, value in filter(None, described)]
     about = "\r\n".join([*lines, ""]).encode("utf-8", "surrogatepass")
     refers = [(name, value) for name, value in (("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date)) if value is not None]
     kept = [(f"WARC-Source-{name[5:]}", value) for name, value in source.items() if name in ("WARC-Block-Digest", "WARC-Payload-Digest")]
 
-    def made(kind: str, own_id: str, other: str, content: str, data: bytes) -> tuple:
-        return key, kind, own_id, own, target, date, content, [("WARC-Block-Digest", digest(data)), *kept, *refers, ("WARC-Concurrent-To", other)], data
+    def made(kind: str, own_id: str, other: str, content: str, data: bytes, paid: str) -> tuple:
+        return key, kind, own_id, own, target, date, content, [("WARC-Block-Digest", paid), *kept, *refers, ("WARC-Concurrent-To", other)], data
 
-    return [made("metadata", metadata, conversion, "application/warc-fields", about), made("conversion", conversion, metadata, "text/plain; charset=utf-8", text)]
+    return [made("metadata", metadata, conversion, "application/warc-fields", about, digest(about)), made("conversion", conversion, metadata, "text/plain; charset=utf-8", text, paid)]
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
