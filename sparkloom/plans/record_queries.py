@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import edits, markdown, records, stores
+from sparkloom.operators import edits, markdown, records, replace, stores
 from sparkloom.sources.corpus import bounded_files as bounded
 from sparkloom.sources.corpus import files, table
 from sparkloom.sources.corpus import read_multiple as read_many
@@ -118,6 +118,16 @@ def patch_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return applied.select("doc_id", F.regexp_count("diff", F.lit(r"(?m)^@@ ")).alias("n_hunks"), (F.col("got.text") == F.col("new")).alias("same"), F.col("got.error").alias("error"))
 
 
+def edit_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """In each document, its second and third line as they are, indented, with other letters or absent, replaced: how and where."""
+    docs = table(spark, d, "documents")
+    pair = F.array_join(F.slice(F.split("text", "\n"), 2, 2), "\n")
+    changed = F.when(F.col("doc_id") % 4 == 0, pair).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("  "), pair, F.lit("\t"))).when(F.col("doc_id") % 4 == 2, F.regexp_replace(pair, "a", "o")).otherwise("nothing like\nit")
+    asked = docs.select("doc_id", "text", changed.alias("old"), F.lit("new line\n  and another").alias("new"))
+    made = replace.replace_text(asked, "text", "old", "new", 0.8)
+    return made.select("doc_id", "got.how", "got.ln", F.round("got.score", 9).alias("score"), "got.error", F.sha2("got.text", 256).alias("digest"))
+
+
 def backup_status(spark: SparkSession, d: str) -> DataFrame:
     return stores.status(*_backups(spark, d))
 
@@ -166,7 +176,7 @@ def markdown_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return markdown.diagnostics(_workspace(spark, d), ["p0.md"])
 
 
-QUERIES = {q.__name__: q for q in (symbol_find, structural_search, symbol_order, symbol_parents, reference_candidates, paired_definitions, merged_edges, relation_page, context_plan, bounded_files, read_multiple, unrepresentable, positions, patch_round_trip, backup_status, backup_history, backup_page, backup_audit, task_transitions, bounded_logs, markdown_sections, markdown_links, markdown_diagnostics)}
+QUERIES = {q.__name__: q for q in (symbol_find, structural_search, symbol_order, symbol_parents, reference_candidates, paired_definitions, merged_edges, relation_page, context_plan, bounded_files, read_multiple, unrepresentable, positions, patch_round_trip, edit_cascade, backup_status, backup_history, backup_page, backup_audit, task_transitions, bounded_logs, markdown_sections, markdown_links, markdown_diagnostics)}
 
 _SEARCH = 'path, start, "end", symbol_id, evidence, language, name, kind, qualified, fingerprint'
 _RELATION = "src_path, tgt_path, src_symbol, tgt_symbol, src_qualified, tgt_qualified, kind"
