@@ -284,20 +284,23 @@ def write_files(records: DataFrame, folder: str, made_of=lambda row: [row], leve
     return records.select(*_NAMES).mapInArrow(run, "path string, key bigint, record_id string")
 
 
+_OWN_FIELDS = {"warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type", "content-length"}
+
+
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple]:
     """Records of a WARC stream, in the form of rows; key is null."""
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
-        fields: list[tuple[str, str]] = []
+        head = []
         while (line := stream.readline()) not in (CRLF, b"\n", b""):
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            fields.append((name.strip(), value.strip()))
+            head.append(line)
+        fields = [(name.strip(), value.strip()) for name, _, value in (x.partition(":") for x in b"".join(head).decode("utf-8", "replace").split("\n") if x)]
         own = {name.lower(): value for name, value in fields}
         block = stream.read(int(own.get("content-length", 0)))
         named = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type")
-        rest = [(n, v) for n, v in fields if n.lower() not in (*named, "content-length")]
-        yield None, *(own.get(n) for n in named), list(dict(rest).items()), block
+        rest = {n: v for n, v in fields if n.lower() not in _OWN_FIELDS}
+        yield None, *(own.get(n) for n in named), list(rest.items()), block
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.warc.gz") -> DataFrame:
@@ -307,7 +310,7 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*.warc.gz") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with files.reading(path) as source, io.BufferedReader(gzip.GzipFile(fileobj=source)) as stream:
+                with files.reading(path) as source, io.BufferedReader(gzip.GzipFile(fileobj=source), 1 << 17) as stream:
                     yield from _batches(parse(stream))
 
     return found.mapInArrow(run, RECORD)
