@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,18 +16,19 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
     Reaching the bound with nodes still to visit is an error, never a shorter answer.
     """
-    frontier = starts.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(starts.schema["node"].dataType).alias("parent"))
-    seen = _cut(frontier)
-    frontier = seen
+    frontier = _cut(starts.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(starts.schema["node"].dataType).alias("parent")))
+    levels = [frontier]
     for level in range(1, depth + 2):
+        seen = reduce(DataFrame.unionByName, levels).select("node")
         step = edges.join(frontier.select(F.col("node").alias("src")), "src").groupBy(F.col("tgt").alias("node")).agg(F.min("src").alias("parent"))
+        # A level is written once and never again: what was seen is the levels so far.
         frontier = _cut(step.join(seen, "node", "left_anti").select("node", F.lit(level).alias("depth"), "parent"))
         if frontier.isEmpty():
-            return seen
+            return reduce(DataFrame.unionByName, levels)
         if level > depth:
             raise ValueError(f"the graph goes on beyond depth {depth}")
-        seen = _cut(seen.unionByName(frontier))
-    return seen
+        levels.append(frontier)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def impact(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -110,25 +113,32 @@ def resolve_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def resolve_cascade(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """(ref_id, stage, n_targets, target, resolution): same file, same module, imported file, whole project, in this order.
+    """(ref_id, stage, n_targets, target, resolution): same file, same module, explicit import, export of a file that is imported, whole project.
 
-    refs: (ref_id, path, module, name); symbols: (symbol_id, path, module, name); imports: (src, tgt).  The first stage that
-    is not empty counts; one target is resolved, more are ambiguous, none is unresolved.
+    refs: (ref_id, path, module, name); symbols: (symbol_id, path, module, name); imports: (src, tgt, bound, leaf), the name that
+    the file src gives to leaf of the file tgt, both null where it takes the whole file.  The first stage that is not empty counts;
+    one target is resolved, more are ambiguous, none is unresolved.
 
-    Symbols are counted by each stage's key first, so a reference meets one row a stage, however many share its name.
+    Symbols are counted by each stage's key first, so a reference meets one row a stage, however many share its name.  Imports
+    meet the names that their own file uses, and then those counts: neither an imported file's symbols nor its importers are spread.
     """
     found = [F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("first")]
-    seen = imports.select("src", F.col("tgt").alias("path")).distinct().join(symbols.select("symbol_id", "path", "name"), "path")
+    totals = [F.sum("n").alias("n"), F.min("first").alias("first")]
+    by_path = symbols.groupBy("name", "path").agg(*found)
+    held = by_path.select(F.col("path").alias("tgt"), F.col("name").alias("leaf"), "n", "first")
+    bound = imports.where("bound is not null").select(F.col("src").alias("path"), F.col("bound").alias("name"), "tgt", "leaf").distinct()
+    used = refs.select("path", "name").distinct().join(imports.select(F.col("src").alias("path"), "tgt").distinct(), "path").withColumn("leaf", F.col("name"))
     stages = [
-        (["name", "path"], symbols),
-        (["name", "module"], symbols),
-        (["name", "path"], seen.select("symbol_id", "name", F.col("src").alias("path"))),
-        (["name"], symbols),
+        (["name", "path"], by_path),
+        (["name", "module"], symbols.groupBy("name", "module").agg(*found)),
+        (["name", "path"], bound.join(held, ["tgt", "leaf"]).groupBy("name", "path").agg(*totals)),
+        (["name", "path"], used.join(held, ["tgt", "leaf"]).groupBy("name", "path").agg(*totals)),
+        (["name"], by_path.groupBy("name").agg(*totals)),
     ]
     met, hits = refs.select("ref_id", "path", "module", "name"), []
     for k, (keys, own) in enumerate(stages, 1):
         hit = F.struct(F.lit(k).alias("stage"), F.col("n"), F.col("first"))
-        counted = own.groupBy(*keys).agg(*found).select(*keys, hit.alias(f"hit{k}"))
+        counted = own.select(*keys, hit.alias(f"hit{k}"))
         met = met.join(counted, keys, "left")
         hits.append(F.col(f"hit{k}"))
     best = met.select("ref_id", F.coalesce(*hits).alias("b")).groupBy("ref_id").agg(F.min("b").alias("b"))

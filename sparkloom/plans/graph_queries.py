@@ -13,7 +13,7 @@ from sparkloom.sources.corpus import table
 EDGES_SQL = "e as (select distinct l_partkey as src, l_partkey // 3 + l_suppkey % 2 as tgt from lineitem where l_partkey > 1)"
 LINKS_SQL = "k as (select page_id, unnest(regexp_extract_all(html, '<a\\b[^<>]*?href=\"([^\"<>]*)\"', 1)) as href from pages)"
 MANIFESTS_SQL = "m as (select event_id as backup_id, user_id as target, ts as created_at, event_id % 6 = 0 as pinned, md5(cast(event_id % 1000 as varchar)) as digest from events)"
-SYMBOLS_SQL = "s as (select p_partkey as symbol_id, 'f' || p_partkey % 40 as path, 'm' || p_partkey % 8 as module, p_type as name from part), r as (select l_orderkey * 10 + l_linenumber as ref_id, 'f' || l_orderkey % 50000 as path, 'm' || l_orderkey % 10 as module, min(p_type) as name from lineitem join part on p_partkey = l_suppkey group by 1, 2, 3), i as (select distinct 'f' || l_orderkey % 50000 as src, 'f' || l_partkey % 40 as tgt from lineitem)"
+SYMBOLS_SQL = "s as (select p_partkey as symbol_id, 'f' || p_partkey % 40 as path, 'm' || p_partkey % 8 as module, p_type as name from part), r as (select l_orderkey * 10 + l_linenumber as ref_id, 'f' || l_orderkey % 50000 as path, 'm' || l_orderkey % 10 as module, min(p_type) as name from lineitem join part on p_partkey = l_suppkey group by 1, 2, 3), i as (select distinct 'f' || l_orderkey % 50000 as src, 'f' || l_partkey % 40 as tgt, case when l_linenumber = 1 then a.p_type end as bound, case when l_linenumber = 1 then b.p_type end as leaf from lineitem left join part a on a.p_partkey = l_suppkey left join part b on b.p_partkey = l_partkey)"
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,10 @@ def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
     name = lambda letter, key, n: F.concat(F.lit(letter), (F.col(key) % n).cast("string"))
     symbols = part.select(F.col("p_partkey").alias("symbol_id"), name("f", "p_partkey", 40).alias("path"), name("m", "p_partkey", 8).alias("module"), F.col("p_type").alias("name"))
     refs = item.join(part, F.col("p_partkey") == F.col("l_suppkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), name("f", "l_orderkey", 50_000).alias("path"), name("m", "l_orderkey", 10).alias("module"), F.col("p_type").alias("name"))
-    imports = item.select(name("f", "l_orderkey", 50_000).alias("src"), name("f", "l_partkey", 40).alias("tgt")).distinct()
+    kinds = lambda key, to: part.select(F.col("p_partkey").alias(key), F.col("p_type").alias(to))
+    first = lambda c: F.when(F.col("l_linenumber") == 1, F.col(c)).alias(c)
+    imports = item.join(kinds("l_suppkey", "bound"), "l_suppkey", "left").join(kinds("l_partkey", "leaf"), "l_partkey", "left")
+    imports = imports.select(name("f", "l_orderkey", 50_000).alias("src"), name("f", "l_partkey", 40).alias("tgt"), first("bound"), first("leaf")).distinct()
     return graph.resolve_cascade(refs.groupBy("ref_id", "path", "module").agg(F.min("name").alias("name")), symbols, imports)
 
 
@@ -163,7 +166,18 @@ ORACLE_SQL = {
     "reachable": f"with recursive {EDGES_SQL}, w(node, depth) as (select distinct src, 0 from e where src between 100 and 110 union select tgt, depth + 1 from w join e on src = node where depth < 17) select node, cast(min(depth) as int) as depth from w group by node",
     "impact": f"with recursive {EDGES_SQL}, w(node, depth) as (select cast(7 as bigint), 0 union select src, depth + 1 from w join e on tgt = node where depth < 17) select node, cast(min(depth) as int) as depth from w group by node having min(depth) > 0",
     "point_in_range": "with p as (select l_orderkey * 10 + l_linenumber as point_id, l_suppkey % 100 as path, l_partkey % 1000 as pos from lineitem), s as (select o_custkey % 100 as path, o_orderkey % 1000 as start, o_orderkey % 1000 + o_custkey % 50 + 1 as fin, min(o_orderkey) as symbol_id from orders group by all), q as (select distinct path, pos from p), b as (select q.path, q.pos, symbol_id from q join s on q.path = s.path and start <= pos and pos < fin qualify row_number() over (partition by q.path, q.pos order by start desc, fin, symbol_id) = 1) select point_id, symbol_id from p join b on p.path = b.path and p.pos = b.pos",
-    "resolve_cascade": f"with {SYMBOLS_SQL}, j as (select r.ref_id, case when r.path = s.path then 1 when r.module = s.module then 2 when i.src is not null then 3 else 4 end as stage, s.symbol_id from (select distinct * from r) r join s on r.name = s.name left join i on i.src = r.path and i.tgt = s.path), b as (select ref_id, stage, count(*) as n_targets, min(symbol_id) as target from j group by ref_id, stage), bb as (select *, row_number() over (partition by ref_id order by stage) as p from b) select x.ref_id, cast(b.stage as int) as stage, coalesce(n_targets, 0) as n_targets, case when n_targets = 1 then target end as target, case when n_targets = 1 then 'resolved' when n_targets > 1 then 'ambiguous' else 'unresolved' end as resolution from (select distinct ref_id from r) x left join (select * from bb where p = 1) b on x.ref_id = b.ref_id",
+    "resolve_cascade": f"""
+with {SYMBOLS_SQL}, q as (select distinct * from r),
+j as (
+  select ref_id, 1 as stage, symbol_id from q join s using (name, path)
+  union select ref_id, 2, symbol_id from q join s using (name, module)
+  union select ref_id, 3, symbol_id from q join i on i.src = q.path and i.bound = q.name join s on s.path = i.tgt and s.name = i.leaf
+  union select ref_id, 4, symbol_id from q join i on i.src = q.path join s on s.path = i.tgt and s.name = q.name
+  union select ref_id, 5, symbol_id from q join s using (name)),
+b as (select ref_id, stage, count(*) as n_targets, min(symbol_id) as target from j group by ref_id, stage qualify row_number() over (partition by ref_id order by stage) = 1)
+select x.ref_id, stage::int as stage, coalesce(n_targets, 0) as n_targets, case when n_targets = 1 then target end as target,
+  case when n_targets = 1 then 'resolved' when n_targets > 1 then 'ambiguous' else 'unresolved' end as resolution
+from (select distinct ref_id from r) x left join b using (ref_id)""",
     "resolve_dependencies": "with f as (select source || '/' || case when doc_id % 5 = 0 then doc_id || '/index.ts' else doc_id || '.' || lang end as path from documents), w as (select doc_id as ref_id, source || '/' || doc_id || case when doc_id % 3 = 0 then '.' || lang else '' end as value from documents), k as (select path, regexp_replace(path, '\\.[^./]*$', '') as stem from f), j as (select ref_id, path, 1 as rank from w join k on value = path union all select ref_id, path, 2 from w join k on value = stem union all select ref_id, path, 3 from w join k on stem = value || '/index'), b as (select * from j qualify rank = min(rank) over (partition by ref_id)) select w.ref_id, value, path, case rank when 1 then 'exact' when 2 then 'stem' when 3 then 'index' end as how from w left join b on w.ref_id = b.ref_id",
     "link_edges": f"with {LINKS_SQL} select page_id, href from k",
     "backlinks": f"with {LINKS_SQL} select href, count(*) as n_links, count(distinct page_id) as n_pages from k group by href",
