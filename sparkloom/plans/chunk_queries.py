@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import chunks as ch
 from sparkloom.operators import detect as dt
-from sparkloom.operators import ignore, regions
+from sparkloom.operators import admission, digests, ignore, regions
 from sparkloom.plans.text_queries import MIXED_SQL, _mixed
 from sparkloom.sources.corpus import files, table
 
@@ -59,10 +59,34 @@ def nested_ignore(spark: SparkSession, d: str) -> DataFrame:
     return ignore.ignored(own.select("path", F.lit(False).alias("is_dir")), top.union(each))
 
 
+def folder_digests(spark: SparkSession, d: str) -> DataFrame:
+    """A digest of each source's files: paths, sizes and contents in the order of paths."""
+    own = files(spark, d).where("text is not null")
+    record = digests.framed(F.col("path"), F.lit("file"), F.octet_length("text").cast("string"), F.unhex(F.sha2("text", 256)))
+    return digests.tree_digest(own.select(F.split("path", "/")[0].alias("folder"), "path", record.alias("record")), "folder", "path", "record")
+
+
+def task_admission(spark: SparkSession, d: str) -> DataFrame:
+    """Events as queued tasks that lock their user and one of some resources."""
+    events = table(spark, d, "events")
+    lock = lambda letter, of: F.concat(F.lit(letter), of.cast("string"))
+    tasks = events.select(F.col("event_id").alias("task_id"), F.col("ts").alias("created_at"), (F.col("event_id") % 10).alias("starts"), F.array(lock("u", F.col("user_id")), lock("r", F.col("event_id") % 61)).alias("locks"))
+    return admission.admit(tasks, events.where("user_id % 50 = 7").select(lock("u", F.col("user_id")).alias("lock")), 40)
+
+
+def read_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Line items that ask for documents: how many are missing by return flag, and details of the first ones in 2,000 bytes."""
+    asked = table(spark, d, "lineitem").select("l_returnflag", F.format_string("%012d/%d", "l_orderkey", "l_linenumber").alias("place"), F.col("l_partkey").alias("doc_id"))
+    lost = asked.join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_anti")
+    failed = lost.select("l_returnflag", "place", F.format_string("doc/%d", "doc_id").alias("path"), F.lit("NOT_FOUND").alias("code"))
+    found = digests.collect_errors(failed, "l_returnflag", "place", ["path", "code"], 2000)
+    return found.select("l_returnflag", "total", "omitted", F.array_join(F.transform("kept", lambda k: k["path"]), " ").alias("kept"))
+
+
 #: As page_segments' rules, for DuckDB.
 _REGIONS = r"(?is)<!--.*?(?:-->|\z)|<script\b[^<>]*>.*?(?:</script\s*>|\z)|<style\b[^<>]*>.*?(?:</style\s*>|\z)"
 
-QUERIES = {q.__name__: q for q in (chunked_endings, chunked_utf8, detect_chunks, page_segments, page_scopes, nested_ignore)}
+QUERIES = {q.__name__: q for q in (chunked_endings, chunked_utf8, detect_chunks, page_segments, page_scopes, nested_ignore, folder_digests, task_admission, read_failures)}
 ORACLE_SQL = {
     "chunked_endings": f"with {MIXED_SQL} select doc_id, length(text) - length(replace(text, chr(10), '')) - (length(text) - length(replace(text, chr(13) || chr(10), ''))) // 2 as lf, (length(text) - length(replace(text, chr(13) || chr(10), ''))) // 2 as crlf, md5(replace(text, chr(13) || chr(10), chr(10))) as digest from m",
     "page_segments": f"""
@@ -83,4 +107,12 @@ with f as (select source || '/' || doc_id || '.' || lang as path, source, doc_id
 select path, source = 'src3' or case when regexp_matches(base, '^.*[13]\.de$') then true when starts_with(base, m || '0') then false
   when starts_with(base, m) and ends_with(base, '.en') then true when regexp_matches(base, '^1.\.fr$') then false when ends_with(base, '.fr') then true else false end as ignored
 from f""",
+    # Two levels are enough for a million files a folder.
+    "folder_digests": """
+with f as (select source as folder, source || '/' || doc_id || '.' || lang as path, text from documents where text is not null),
+frame as (select *, row_number() over (partition by folder order by path) - 1 as k, count(*) over (partition by folder) as n,
+  unhex(lpad(printf('%X', strlen(path)), 16, '0')) || encode(path) || unhex('0000000000000004') || encode('file') || unhex(lpad(printf('%X', length(strlen(text)::varchar)), 16, '0')) || encode(strlen(text)::varchar) || unhex('0000000000000020') || unhex(sha256(text)) as record from f),
+one as (select folder, n, k // 1024 as k, sha256(unhex('000000000000000131' || string_agg(sha256(record), '' order by k))) as digest from frame group by all),
+two as (select folder, n, case when n <= 1024 then min(digest) else sha256(unhex('000000000000000132' || string_agg(digest, '' order by k))) end as digest from one group by folder, n)
+select folder, n, sha256(unhex('0000000000000004') || encode('root') || unhex(lpad(printf('%X', length(n::varchar)), 16, '0')) || encode(n::varchar) || unhex('0000000000000040') || encode(digest)) as digest from two""",
 }
