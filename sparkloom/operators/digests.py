@@ -54,11 +54,11 @@ def collect_errors(errors: DataFrame, group: str, order: str, texts: list[str],
     first ones are taken; the first `most` of each cost within the budget are all that one task looks at, however many there are.
     """
     cost = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(DETAIL_COST))
-    costed = errors.withColumn("cost", cost)
-    totals = costed.groupBy(group).agg(F.count(F.lit(1)).alias("total"))
-    place = F.row_number().over(W.partitionBy(group, "cost").orderBy(order))
+    costed = errors.select(F.col(group).alias("of"), F.col(order).alias("at"), cost.alias("cost"), F.struct(order, *texts).alias("detail"))
+    totals = costed.groupBy("of").agg(F.count(F.lit(1)).alias("total"))
+    place = F.row_number().over(W.partitionBy("of", "cost").orderBy("at"))
     few = costed.where(F.col("cost") <= budget).withColumn("place", place).where(F.col("place") <= most)
-    own = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "cost", F.struct(order, *texts).alias("detail"))))
+    own = F.array_sort(F.collect_list(F.struct("at", "cost", "detail")))
 
     kind = f"array<{errors.schema[order].dataType.simpleString()}>"
 
@@ -67,7 +67,7 @@ def collect_errors(errors: DataFrame, group: str, order: str, texts: list[str],
         return F.when(fits, F.struct((a["n"] + 1).alias("n"), (a["used"] + r["cost"]).alias("used"), F.concat(a["kept"], F.array(r["at"])).cast(kind).alias("kept"))).otherwise(a)
 
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.array().cast(kind).alias("kept"))
-    chosen = few.groupBy(group).agg(own.alias("own")).withColumn("taken", F.aggregate("own", start, take)["kept"])
-    kept = chosen.select(group, F.transform(F.filter("own", lambda r: F.array_contains("taken", r["at"])), lambda r: r["detail"]).alias("kept"))
+    chosen = few.groupBy("of").agg(own.alias("own")).withColumn("taken", F.aggregate("own", start, take)["kept"])
+    kept = chosen.select("of", F.transform(F.filter("own", lambda r: F.array_contains("taken", r["at"])), lambda r: r["detail"]).alias("kept"))
     none = F.array().cast(kept.schema["kept"].dataType)
-    return totals.join(kept, group, "left").select(group, "total", (F.col("total") - F.coalesce(F.size("kept"), F.lit(0))).alias("omitted"), F.coalesce("kept", none).alias("kept"))
+    return totals.join(kept, "of", "left").select(F.col("of").alias(group), "total", (F.col("total") - F.coalesce(F.size("kept"), F.lit(0))).alias("omitted"), F.coalesce("kept", none).alias("kept"))
