@@ -157,11 +157,17 @@ def bounded_logs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _workspace(spark: SparkSession, d: str) -> DataFrame:
-    """A Markdown file for each part: two equal titles, a fenced heading, links to the next files, some to none."""
-    k = F.col("p_partkey")
-    name = lambda i: F.concat(F.lit("p"), i.cast("string"), F.lit(".md"))
-    rows = [F.concat(F.lit("# "), "p_name"), F.concat(F.lit("See [next]("), name(k + 1 + k % 3), F.lit("#part-"), (k % 4).cast("string"), F.lit(") and [me](#part) or [web](http://x.org/#a).")), F.lit("## Part"), F.col("p_type"), F.lit("```"), F.lit("## Part"), F.lit("```"), F.lit("## Part ##"), F.lit("### Sub, part!"), F.lit("# End")]
-    return table(spark, d, "part").select(k.alias("part_id"), name(k).alias("path"), F.array_join(F.array(*rows), "\n").alias("text"))
+    """Documents as Markdown files in folders by id: every seventh line a heading, fences, links to other files in between."""
+    k = F.col("doc_id")
+
+    def marked(line: Column, i: Column) -> Column:
+        link = F.concat(line, F.lit(" `[no](x)` ![no](y.png) [n](../m"), ((k + i) % 7).cast("string"), F.lit("/"), (k + i).cast("string"), F.lit('.md#part "t") [m](#'), F.lit("part-"), (i % 3).cast("string"), F.lit(")"))
+        fence = F.when(i % 2 == 0, "```").otherwise("~~~~")
+        return F.when(i % 7 == 0, F.concat(F.repeat(F.lit("#"), i % 3 + 1), F.lit(" "), line)).when(i % 7 == 3, F.concat(F.lit("## Part "), F.repeat(F.lit("#"), i % 2))).when(i % 9 == 4, fence).when(i % 5 == 1, link).otherwise(line)
+
+    lines = F.transform(F.split("text", "\n"), marked)
+    path = F.concat(F.lit("m"), (k % 7).cast("string"), F.lit("/"), k.cast("string"), F.lit(".md"))
+    return table(spark, d, "documents").select(k.alias("doc_id"), path.alias("path"), F.array_join(lines, "\n").alias("text"))
 
 
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -173,19 +179,14 @@ def markdown_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def markdown_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    return markdown.diagnostics(_workspace(spark, d), ["p0.md"])
+    return markdown.diagnostics(_workspace(spark, d), ["m0/0.md"])
 
 
 QUERIES = {q.__name__: q for q in (symbol_find, structural_search, symbol_order, symbol_parents, reference_candidates, paired_definitions, merged_edges, relation_page, context_plan, bounded_files, read_multiple, unrepresentable, positions, patch_round_trip, edit_cascade, backup_status, backup_history, backup_page, backup_audit, task_transitions, bounded_logs, markdown_sections, markdown_links, markdown_diagnostics)}
 
 _SEARCH = 'path, start, "end", symbol_id, evidence, language, name, kind, qualified, fingerprint'
 _RELATION = "src_path, tgt_path, src_symbol, tgt_symbol, src_qualified, tgt_qualified, kind"
-#: Links of the Markdown files: each to a later one, and to itself.
-_MD = "d as (select p_partkey as k, p_name as name, 'p' || p_partkey || '.md' as path from part), k as (select path, 2 as ln, 'p' || (k + 1 + k % 3) || '.md' as target, 'part-' || k % 4 as fragment from d union all select path, 2, path, 'part' from d)"
 ORACLE_SQL = {
-    "markdown_sections": f"with {_MD}, h as (select path, unnest([1, 3, 8, 9, 10]) as ln, unnest([9, 7, 9, 9, 10]) as end_ln, unnest([1, 2, 2, 3, 1]) as level, unnest([name, 'Part', 'Part', 'Sub, part!', 'End']) as title, unnest([null, 1, 1, 8, null]) as parent_ln, unnest([replace(name, ' ', '-'), 'part', 'part-1', 'sub-part', 'end']) as fragment from d) select path, cast(ln as int) as ln, cast(end_ln as int) as end_ln, cast(level as int) as level, title, cast(parent_ln as int) as parent_ln, fragment from h",
-    "markdown_links": f"with {_MD} select path, cast(ln as int) as ln, target, fragment from k",
-    "markdown_diagnostics": f"with {_MD} select path, cast(ln as int) as ln, 'missing_document' as kind, target as detail from k where target not in (select path from d) union all select path, cast(ln as int), 'missing_fragment', target || '#' || fragment from k where target in (select path from d) and fragment not in ('part', 'part-1') union all select path, null, 'orphan', '' from d where path <> 'p0.md' and path not in (select target from k where path <> target)",
     "symbol_find": f"with {SYMBOLS_SQL} select symbol_id, path, name, qualified from s where (starts_with(name, 's') or starts_with(qualified, 's')) and lower(trim(kind)) in ('economy', 'promo')",
     "structural_search": f"with {SYMBOLS_SQL}, h as (select * from s where name <> '' and contains(name, 'widget') and evidence in ('structural', 'project-resolved')), r as (select *, row_number() over (order by {_SEARCH}) as place, count(*) over () > 100 as truncated, row_number() over (partition by {_SEARCH}) as occurrence from h) select cast(place as int) as place, path, symbol_id, evidence, name, cast(occurrence as int) as occurrence, truncated from r where place <= 100",
     "symbol_order": f'with {SYMBOLS_SQL}, r as (select *, row_number() over (order by path, start, "end", symbol_id) as place from s) select cast(place as int) as place, path, symbol_id from r where place <= 60',
