@@ -71,13 +71,21 @@ def with_parents(symbols: DataFrame) -> DataFrame:
 def candidates(refs: DataFrame, symbols: DataFrame, kinds: Sequence[str]) -> DataFrame:
     """(ref_id, n, first): distinct targets of the kinds asked for in other files than the reference's; too many of them are an error.
 
-    Symbols are counted by (name, path) before the join, so that namesakes of one file are met once.
+    A reference meets one row of its name (how many targets, the least one and the least in another file than that one's) and one
+    of its own file, which is taken off: however common a name is, it is never expanded.
     """
     targets = symbols.where(of_kinds(F.col("kind"), kinds)).groupBy("name", F.col("path").alias("tgt_path")).agg(F.count_distinct("symbol_id").alias("k"), F.min("symbol_id").alias("least"))
-    met = refs.select("ref_id", "name", F.col("path").alias("src_path")).join(targets, "name").where("src_path <> tgt_path")
-    n = F.sum("k")
-    checked = F.when(n > MOST_CANDIDATES, F.raise_error(F.concat(F.lit("too many candidates: "), F.col("ref_id").cast("string"))).cast("bigint")).otherwise(n)
-    return met.groupBy("ref_id").agg(checked.alias("n"), F.min("least").alias("first"))
+    totals = targets.groupBy("name").agg(F.sum("k").alias("total"))
+    placed = targets.withColumn("place", F.row_number().over(W.partitionBy("name").orderBy("least", "tgt_path"))).where(F.col("place") <= 2)
+    ends = placed.groupBy("name").agg(*[F.max(F.when(F.col("place") == i, F.struct("least", "tgt_path"))).alias(c) for i, c in ((1, "one"), (2, "two"))])
+    own = targets.select("name", F.col("tgt_path").alias("path"), F.col("k").alias("own"))
+    met = refs.select("ref_id", "name", "path").join(totals.join(ends, "name"), "name").join(own, ["name", "path"], "left")
+    n = F.col("total") - F.coalesce("own", F.lit(0))
+    first = F.when(F.col("one.tgt_path") != F.col("path"), F.col("one.least")).otherwise(F.col("two.least"))
+    # A reference that comes in several rows counts the targets of all.
+    found = met.select("ref_id", n.alias("n"), first.alias("first")).where("n > 0").groupBy("ref_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    checked = F.when(F.col("n") > MOST_CANDIDATES, F.raise_error(F.concat(F.lit("too many candidates: "), F.col("ref_id").cast("string"))).cast("bigint")).otherwise(F.col("n"))
+    return found.select("ref_id", checked.alias("n"), "first")
 
 
 def paired_definitions(headers: DataFrame, definitions: DataFrame, key: str) -> DataFrame:

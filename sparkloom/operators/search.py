@@ -74,7 +74,7 @@ def read_range(texts: DataFrame, key: str, first: int, count: int) -> DataFrame:
 
 
 def likely_binary(text: Column) -> Column:
-    """NUL, or a tenth and more control characters, in the first 8192 bytes."""
+    """NUL, or a tenth and more control characters, among the first 8192 characters."""
     head = F.substring(text, 1, 8192)
     return F.coalesce(head.contains("\0") | (F.regexp_count(head, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]")) * 10 >= F.length(head)) & (F.length(head) > 0), F.lit(False))
 

@@ -186,7 +186,30 @@ QUERIES = {q.__name__: q for q in (symbol_find, structural_search, symbol_order,
 
 _SEARCH = 'path, start, "end", symbol_id, evidence, language, name, kind, qualified, fingerprint'
 _RELATION = "src_path, tgt_path, src_symbol, tgt_symbol, src_qualified, tgt_qualified, kind"
+#: The workspace's texts, read line by line: fences one after the other, headings with their ends and names, links of lines.
+_MD = r"""
+t as (select 'm' || doc_id % 7 || '/' || doc_id || '.md' as path, list_transform(string_split(text, chr(10)), lambda line, j: case
+    when (j - 1) % 7 = 0 then repeat('#', ((j - 1) % 3 + 1)::int) || ' ' || line when (j - 1) % 7 = 3 then '## Part ' || repeat('#', ((j - 1) % 2)::int)
+    when (j - 1) % 9 = 4 then case when (j - 1) % 2 = 0 then '```' else '~~~~' end
+    when (j - 1) % 5 = 1 then line || ' `[no](x)` ![no](y.png) [n](../m' || (doc_id + j - 1) % 7 || '/' || (doc_id + j - 1) || '.md#part "t") [m](#part-' || (j - 1) % 3 || ')' else line end) as own from documents),
+l as (select path, len(own) as total, unnest(own) as line, generate_subscripts(own, 1)::int as ln from t),
+f as (select path, ln, regexp_extract(line, '^ {0,3}(`+|~+)', 1) as mark, row_number() over (partition by path order by ln) as n from l where regexp_matches(line, '^ {0,3}(?:`{3,}[^`]*|~{3,}.*)$')),
+s(path, n, ln, mark) as (
+  select path, n, ln, mark from f where n = 1 union all
+  select f.path, f.n, f.ln, case when s.mark = '' then f.mark when starts_with(f.mark, s.mark) then '' else s.mark end from s join f on f.path = s.path and f.n = s.n + 1),
+o as (select l.* from l asof left join s on l.path = s.path and l.ln >= s.ln where coalesce(s.mark, '') = '' and not regexp_matches(line, '^ {0,3}(?:`{3,}[^`]*|~{3,}.*)$')),
+h as (select path, total, ln, length(regexp_extract(line, '^ {0,3}(#+)', 1))::int as level, regexp_replace(regexp_extract(line, '^ {0,3}#+[ \t]*(.*)$', 1), '(?:^|[ \t]+)#*[ \t]*$', '') as title from o where regexp_matches(line, '^ {0,3}#{1,6}(?:[ \t]|$)')),
+g as (select *, replace(regexp_replace(lower(title), '[^\p{L}\p{N}_\- ]', '', 'g'), ' ', '-') as slug from h),
+x as (select *, row_number() over (partition by path, slug order by ln) - 1 as again from g),
+sections as (select path, ln, coalesce((select min(y.ln) - 1 from h y where y.path = x.path and y.ln > x.ln and y.level <= x.level), total)::int as end_ln, level, title,
+  (select max(y.ln) from h y where y.path = x.path and y.ln < x.ln and y.level < x.level) as parent_ln, slug || case when again > 0 then '-' || again else '' end as fragment from x),
+k as (select path, ln, unnest(regexp_extract_all(regexp_replace(regexp_replace(line, '`[^`]*`', '', 'g'), '!\[[^\]]*\]\([^()]*\)', '', 'g'), '\[[^\]]*\]\(([^) ]*)', 1)) as href from o where contains(line, '](')),
+links as (select path, ln, case when starts_with(href, '#') then path else regexp_replace(split_part(href, '#', 1), '^\.\./', '') end as target, split_part(href, '#', 2) as fragment from k)
+"""
 ORACLE_SQL = {
+    "markdown_sections": f"with recursive {_MD} select * from sections",
+    "markdown_links": f"with recursive {_MD} select * from links",
+    "markdown_diagnostics": f"with recursive {_MD} select path, ln, 'missing_document' as kind, target as detail from links where target not in (select path from t) union all select path, ln, 'missing_fragment', target || '#' || fragment from links where target in (select path from t) and (target, fragment) not in (select path, fragment from sections) union all select path, null, 'orphan', '' from t where path <> 'm0/0.md' and path not in (select target from links where path <> target)",
     "symbol_find": f"with {SYMBOLS_SQL} select symbol_id, path, name, qualified from s where (starts_with(name, 's') or starts_with(qualified, 's')) and lower(trim(kind)) in ('economy', 'promo')",
     "structural_search": f"with {SYMBOLS_SQL}, h as (select * from s where name <> '' and contains(name, 'widget') and evidence in ('structural', 'project-resolved')), r as (select *, row_number() over (order by {_SEARCH}) as place, count(*) over () > 100 as truncated, row_number() over (partition by {_SEARCH}) as occurrence from h) select cast(place as int) as place, path, symbol_id, evidence, name, cast(occurrence as int) as occurrence, truncated from r where place <= 100",
     "symbol_order": f'with {SYMBOLS_SQL}, r as (select *, row_number() over (order by path, start, "end", symbol_id) as place from s) select cast(place as int) as place, path, symbol_id from r where place <= 60',

@@ -92,7 +92,8 @@ def json_valid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def binary_filter(spark: SparkSession, d: str) -> DataFrame:
-    noisy = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("\x01\x02\x03"), F.substring("text", 1, 20))).otherwise(F.col("text"))
+    """Every fourth text with a control character for each vowel; every eighth only for each `z`."""
+    noisy = F.when(F.col("doc_id") % 8 == 4, F.regexp_replace("text", "[aeiou]", "\x01")).when(F.col("doc_id") % 8 == 0, F.regexp_replace("text", "z", "\x02")).otherwise(F.col("text"))
     return _docs(spark, d).select("doc_id", search.likely_binary(noisy).alias("is_binary"))
 
 
@@ -210,7 +211,7 @@ ORACLE_SQL = {
     "convert_eol": f"with {MIXED_SQL}, x as (select doc_id, replace(text, chr(13) || chr(10), chr(10)) as t from m) select doc_id, sha256(t) as lf_sha, sha256(replace(t, chr(10), chr(13) || chr(10))) as crlf_sha from x",
     "trailing_ws": f"with {MIXED_SQL}, l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ln from m) select doc_id, cast(ln as int) as ln from l where regexp_matches(regexp_replace(line, '\\r$', ''), '[ \\t]$')",
     "json_valid": "select event_id, json_valid(case when event_id % 4 = 0 then props || '}' else props end) as valid from events",
-    "binary_filter": "with x as (select doc_id, substr(case when doc_id % 4 = 0 then chr(1) || chr(2) || chr(3) || substr(text, 1, 20) else text end, 1, 8192) as t from documents) select doc_id, len(regexp_extract_all(t, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]')) * 10 >= len(t) and len(t) > 0 as is_binary from x",
+    "binary_filter": "with x as (select doc_id, substr(case when doc_id % 8 = 4 then regexp_replace(text, '[aeiou]', chr(1), 'g') when doc_id % 8 = 0 then regexp_replace(text, 'z', chr(2), 'g') else text end, 1, 8192) as t from documents) select doc_id, len(regexp_extract_all(t, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]')) * 10 >= len(t) and len(t) > 0 as is_binary from x",
     "byte_scalar_columns": "select doc_id, cast(length(text) as bigint) as scalars, cast(strlen(text) as bigint) as bytes from documents",
     "common_run": f"with {LINES_SQL}, o as (select doc_id // 2 as pair, doc_id, ln, trim(line) as line from l where trim(line) <> ''), j as (select a.pair, a.ln as i, a.ln - b.ln as diagonal from o a join o b on a.pair = b.pair and a.line = b.line and a.doc_id % 2 = 0 and b.doc_id % 2 = 1), k as (select pair, diagonal, i - row_number() over (partition by pair, diagonal order by i) as island from j), r as (select pair, count(*) as run from k group by pair, diagonal, island) select pair, max(run) as run from r group by pair",
     "glob_filter": f"with {FILES_SQL} select path from f where regexp_matches(path, '^src[^/]*/(?:[^/]+/)*[^/]*\\.en$') and not (split_part(path, '/', 1) = 'src1' or regexp_matches(path, '^[^/]*7\\.en$') or regexp_matches(split_part(path, '/', 2), '^[^/]*7\\.en$'))",
