@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import chunks as ch
 from sparkloom.operators import detect as dt
-from sparkloom.operators import admission, digests, ignore, regions
+from sparkloom.operators import admission, digests, generations, ignore, regions
 from sparkloom.plans.text_queries import MIXED_SQL, _mixed
 from sparkloom.sources.corpus import files, table
+from sparkloom.sources.shared import shared_folder
 
 #: An odd size, so that chunks end within characters and line endings.
 CHUNK = 997
@@ -83,10 +84,19 @@ def read_failures(spark: SparkSession, d: str) -> DataFrame:
     return found.select("l_returnflag", "total", "omitted", F.array_join(F.transform("kept", lambda k: k["path"]), " ").alias("kept"))
 
 
+def index_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """An index of most documents, every fourth with another text, refreshed to all as they are: how many references each file has to others."""
+    own = files(spark, d).select("path", "doc_id", "text")
+    index = generations.Index(spark, shared_folder(spark, "index"), generations.words_and_titles, "words 1")
+    index.refresh(own.where("doc_id % 10 <> 3").select("path", F.when(F.col("doc_id") % 4 == 0, F.upper("text")).otherwise(F.col("text")).alias("text")))
+    last = index.refresh(own.select("path", "text"))
+    return index.edges(last).groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"), F.max("tgt").alias("last"))
+
+
 #: As page_segments' rules, for DuckDB.
 _REGIONS = r"(?is)<!--.*?(?:-->|\z)|<script\b[^<>]*>.*?(?:</script\s*>|\z)|<style\b[^<>]*>.*?(?:</style\s*>|\z)"
 
-QUERIES = {q.__name__: q for q in (chunked_endings, chunked_utf8, detect_chunks, page_segments, page_scopes, nested_ignore, folder_digests, task_admission, read_failures)}
+QUERIES = {q.__name__: q for q in (chunked_endings, chunked_utf8, detect_chunks, page_segments, page_scopes, nested_ignore, folder_digests, task_admission, read_failures, index_refresh)}
 ORACLE_SQL = {
     "chunked_endings": f"with {MIXED_SQL} select doc_id, length(text) - length(replace(text, chr(10), '')) - (length(text) - length(replace(text, chr(13) || chr(10), ''))) // 2 as lf, (length(text) - length(replace(text, chr(13) || chr(10), ''))) // 2 as crlf, md5(replace(text, chr(13) || chr(10), chr(10))) as digest from m",
     "page_segments": f"""
@@ -115,4 +125,8 @@ frame as (select *, row_number() over (partition by folder order by path) - 1 as
 one as (select folder, n, k // 1024 as k, sha256(unhex('000000000000000131' || string_agg(sha256(record), '' order by k))) as digest from frame group by all),
 two as (select folder, n, case when n <= 1024 then min(digest) else sha256(unhex('000000000000000132' || string_agg(digest, '' order by k))) end as digest from one group by folder, n)
 select folder, n, sha256(unhex('0000000000000004') || encode('root') || unhex(lpad(printf('%X', length(n::varchar)), 16, '0')) || encode(n::varchar) || unhex('0000000000000040') || encode(digest)) as digest from two""",
+    "index_refresh": r"""
+with f as (select source || '/' || doc_id || '.' || lang as path, regexp_extract_all(coalesce(text, ''), '\p{L}+') as words from documents),
+d as (select path as tgt, words[1] as name from f where len(words) > 0), r as (select distinct path as src, unnest(words[2:]) as name from f)
+select src, count(*) as n, min(name) as first, max(tgt) as last from r join d using (name) where length(name) >= 7 and src <> tgt group by src""",
 }
