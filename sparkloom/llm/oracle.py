@@ -61,3 +61,25 @@ chain as (
 select word, n, n_near, form, form_n, coalesce(root, word) as root
 from formed left join (select word, arg_max(root, k) as root from chain group by word) using (word)
 """
+
+NGRAM_JOIN = r"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words),
+sized as materialized (select doc_id, len(s) as n, s from sets),
+flat as materialized (select doc_id, n, unnest(s) as x from sized),
+links as materialized (
+  select a.doc_id as a, b.doc_id as b from flat a join flat b on a.x = b.x and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reached(node, root) as (select distinct a, a from links union select l.b, r.root from reached r join links l on l.a = r.node)
+select s.doc_id, s.n as n_shingles, coalesce(r.root, s.doc_id) as component_id from sized s left join (select node, min(root) as root from reached group by node) r on r.node = s.doc_id
+"""
+
+EMBEDDING_DEDUP = """
+with recursive vectors as materialized (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as materialized (select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.93),
+reached(node, root) as (select distinct a, a from links union select l.b, r.root from reached r join links l on l.a = r.node),
+roots as (select node, min(root) as root from reached group by node), counts as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0) as n_links, coalesce(root, vec_id) as component_id, coalesce(root, vec_id) = vec_id as kept from embeddings left join roots on node = vec_id left join counts on a = vec_id
+"""

@@ -122,4 +122,4 @@ QUERIES = {
     "op13_spelling": op13_spelling,
 }
 #: The other queries can't be expressed in DuckDB's SQL within reason; tests/llm holds brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": oracle.HARD_NEGATIVES, "op12_exact_dedup": oracle.EXACT_DEDUP, "op13_spelling": oracle.SPELLING}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_join": oracle.NGRAM_JOIN, "op5_embedding_dedup": oracle.EMBEDDING_DEDUP, "op11_hard_negatives": oracle.HARD_NEGATIVES, "op12_exact_dedup": oracle.EXACT_DEDUP, "op13_spelling": oracle.SPELLING}
