@@ -112,18 +112,19 @@ def _state_in_files(spark: SparkSession):
 
 def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """What a stream gives until its sources end: each batch is written once under its number in the shared folder."""
-    spark = stream.sparkSession
+    spark, batches = stream.sparkSession, []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        batches.append(number)
 
     with _state_in_files(spark):
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
     remove(spark, f"{folder}/checkpoint")
-    if not query.recentProgress and query.lastProgress is None:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch bigint").parquet(f"{folder}/out")
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch bigint"
+    # A source without files has no batch.
+    return spark.read.schema(schema).parquet(f"{folder}/out") if batches else spark.createDataFrame([], schema)
 
 
 #: The registered query's store: small, so that every rule takes part.
@@ -133,7 +134,7 @@ ENTRIES, BYTES, DAYS, LATE_DAYS = 8, 75, 6, 1
 def retained_entries(spark: SparkSession, d: str) -> DataFrame:
     """Events as entries of their users: what a stream's store holds in the end."""
     source = table(spark, d, "events")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet*").option("maxFilesPerTrigger", 4).parquet(d)
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parquet*")  # a file or a folder
     entries = stream.select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.octet_length("props").alias("bytes")).withWatermark("ts", f"{LATE_DAYS} days")
     log = run_to_end(changes(entries, ENTRIES, BYTES, DAYS * 86400), shared_folder(spark, "retained"))
     left = log.groupBy("owner", "id").agg(F.max("bytes").alias("bytes"), F.count_if(F.col("change") == "retained").alias("in"), F.count_if(F.col("change").isin("evicted", "expired")).alias("out"))

@@ -22,7 +22,7 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     dropped, and output goes to the shared folder.
     """
     source = spark.read.parquet(f"{d}/events.parquet")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet*").option("maxFilesPerTrigger", 4).parquet(d)
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parquet*")  # a file or a folder
     rows = run_to_end(windowed_counts(stream), shared_folder(spark, "stream"), "update")
     return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
 
