@@ -26,9 +26,10 @@ _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStorePro
 
 
 class Keeper(StatefulProcessor):
-    """State of an owner: at most most_entries entries, and the newest entry that had to go.
+    """State of an owner, read and written as one value: at most most_entries entries, and the newest entry that had to go.
 
-    Rows out: each entry as it is retained, refused, evicted or expired.
+    Rows out: each entry as it is retained, refused, evicted or expired.  An owner has one timer, for its oldest entry: calls to
+    the store are a few for each owner in a batch, and none for each entry.
     """
 
     def __init__(self, most_entries: int, most_bytes: int, lifetime_s: int):
@@ -36,12 +37,27 @@ class Keeper(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entries = handle.getMapState("entries", "created bigint, id bigint", "bytes bigint")
-        self.gone = handle.getValueState("gone", "created bigint, id bigint")
+        self.store = handle.getValueState("store", "created array<bigint>, id array<bigint>, bytes array<bigint>, gone array<bigint>, timer bigint")
+
+    def _read(self) -> tuple[dict, tuple | None, int | None]:
+        """Sizes of the entries held by (created, id), the newest that had to go, and the timer in milliseconds."""
+        was = self.store.get()
+        if was is None:
+            return {}, None, None
+        created, ids, sizes, gone, timer = was
+        return dict(zip(zip(created, ids, strict=True), sizes, strict=True)), tuple(gone) or None, timer
+
+    def _write(self, held: dict, last: tuple | None, timer: int | None) -> None:
+        due = (min(held)[0] + self.lifetime) // 1000 + 1 if held else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.store.update(([e[0] for e in held], [e[1] for e in held], list(held.values()), list(last or ()), due))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {tuple(k): v[0] for k, v in self.entries.iterator()}
-        last = tuple(self.gone.get()) if self.gone.exists() else None
+        held, last, timer = self._read()
         now = timerValues.getCurrentWatermarkInMs() * 1000
         log: list[tuple] = []
         for pdf in rows:
@@ -52,8 +68,6 @@ class Keeper(StatefulProcessor):
                 elif entry not in held:
                     log.append((*key, id, size, "retained"))
                     held[entry] = size
-                    self.entries.updateValue(entry, (size,))
-                    self.handle.registerTimer((at + self.lifetime) // 1000 + 1)
             # The longest run of newest entries stays.
             count = total = 0
             for entry in sorted(held, reverse=True):
@@ -63,22 +77,19 @@ class Keeper(StatefulProcessor):
                     if not late:
                         last = entry
                     log.append((*key, entry[1], held.pop(entry), "evicted"))
-                    self.entries.removeKey(entry)
-        if last is not None:
-            self.gone.update(last)
         log += self._expired(key, held, now)
+        self._write(held, last, timer)
         yield pd.DataFrame(log, columns=["owner", "id", "bytes", "change"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = {tuple(k): v[0] for k, v in self.entries.iterator()}
-        log = self._expired(key, held, expiredTimerInfo.getExpiryTimeInMs() * 1000)
+        held, last, _ = self._read()
+        log = self._expired(key, held, max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000)
+        self._write(held, last, None)  # the timer is spent
         yield pd.DataFrame(log, columns=["owner", "id", "bytes", "change"])
 
     def _expired(self, key, held: dict, now: int) -> list[tuple]:
-        over = [e for e in held if e[0] + self.lifetime <= now]
-        for entry in over:
-            self.entries.removeKey(entry)
-        return [(*key, entry[1], held[entry], "expired") for entry in sorted(over)]
+        over = sorted(e for e in held if e[0] + self.lifetime <= now)
+        return [(*key, entry[1], held.pop(entry), "expired") for entry in over]
 
     def close(self) -> None:
         pass

@@ -65,3 +65,65 @@ def test_a_table_in_a_folder(spark, tmp_path):
     events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     for query in (task_events.stream_counts, retention.retained_entries):
         assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(map(tuple, query(spark, "/root/testdata/sf0.001").collect()))
+
+
+class _Counted:
+    """A store of one value and timers, which counts its calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def _call(self, *_):
+        self.calls += 1
+        return self
+
+    getValueState = getMapState = _call
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def iterator(self):
+        return iter(())
+
+    updateValue = removeKey = _call
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_calls_to_the_store_are_few_for_each_owner():
+    import pandas as pd
+
+    store, keeper = _Counted(), retention.Keeper(100, 10_000, 60)
+    keeper.init(store)
+    second = 1_000_000
+    rows = pd.DataFrame({"created": [k * second for k in range(500)], "id": range(500), "bytes": [1] * 500})
+    (log,) = keeper.handleInputRows((7,), iter([rows]), _Clock(0))
+    assert (log["change"] == "retained").sum() == 500 and (log["change"] == "evicted").sum() == 400
+    assert store.calls <= 6 and len(store.timers) == 1
+    # The timer of the oldest entry gives way to that of the next one that is left.
+    (at,) = store.timers
+    store.timers.clear()
+    (log,) = keeper.handleExpiredTimer((7,), _Clock(at), _Clock(at))
+    assert log["id"].tolist() == [400] and log["change"].tolist() == ["expired"] and store.timers == {at + 1000}
+    store.timers.clear()
+    (log,) = keeper.handleExpiredTimer((7,), _Clock(at + 10**6), _Clock(at + 1000))
+    assert log["id"].tolist() == list(range(401, 500)) and not store.timers
