@@ -90,7 +90,7 @@ def index_refresh(spark: SparkSession, d: str) -> DataFrame:
     index = generations.Index(spark, shared_folder(spark, "index"), generations.words_and_titles, "words 1")
     index.refresh(own.where("doc_id % 10 <> 3").select("path", F.when(F.col("doc_id") % 4 == 0, F.upper("text")).otherwise(F.col("text")).alias("text")))
     last = index.refresh(own.select("path", "text"))
-    return index.edges(last).groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"), F.max("tgt").alias("last"))
+    return index.summary(last)
 
 
 #: As page_segments' rules, for DuckDB.
