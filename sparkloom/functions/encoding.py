@@ -1,10 +1,12 @@
-"""Strict decoding and encoding of many charsets, and detection, as Arrow-batched functions that never fail on a row."""
+"""Strict decoding and encoding of many charsets, and detection, as functions that never fail on a row.
+
+They take a row at a time: Arrow would send 10,000 whole texts at once, and a task's memory would grow with their sizes.
+"""
 
 from __future__ import annotations
 
 import codecs
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,14 +16,14 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(*f) for f in fields])
 
 
-@F.pandas_udf(_struct(("text", T.StringType()), ("error", T.StringType())))
-def _decode(content: pd.Series, charset: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_try(lambda c, n: bytes(c).decode(n), c, n) for c, n in zip(content, charset, strict=True)], columns=["text", "error"])
+@F.udf(_struct(("text", T.StringType()), ("error", T.StringType())), useArrow=False)
+def _decode(content: bytes | None, charset: str | None) -> tuple:
+    return _try(lambda c, n: bytes(c).decode(n), content, charset)
 
 
-@F.pandas_udf(_struct(("content", T.BinaryType()), ("error", T.StringType())))
-def _encode(text: pd.Series, charset: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_try(lambda t, n: t.encode(n), t, n) for t, n in zip(text, charset, strict=True)], columns=["content", "error"])
+@F.udf(_struct(("content", T.BinaryType()), ("error", T.StringType())), useArrow=False)
+def _encode(text: str | None, charset: str | None) -> tuple:
+    return _try(lambda t, n: t.encode(n), text, charset)
 
 
 def _try(f, value, name):
@@ -77,9 +79,9 @@ def _guess(raw: bytes | None) -> tuple[str, int]:
         return "unknown", 0
 
 
-@F.pandas_udf(_struct(("found", T.StringType()), ("confidence", T.IntegerType())))
-def _detect(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_guess(None if c is None else bytes(c)) for c in content], columns=["found", "confidence"])
+@F.udf(_struct(("found", T.StringType()), ("confidence", T.IntegerType())), useArrow=False)
+def _detect(content: bytes | None) -> tuple:
+    return _guess(None if content is None else bytes(content))
 
 
 def detect(content: str | Column) -> Column:
