@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,18 +17,16 @@ MOST_HUNKS = 1000
 LACKS = {"ascii": r"[^\x00-\x7F]", "iso-8859-1": r"[^\x00-\xFF]"}
 
 
-@F.pandas_udf(T.StringType())
-def unified_diff(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """(old, new, path): with three lines of context; empty if the texts are equal, null if either is null.  Lines end at line feeds alone."""
-    for olds, news, paths in pairs:
-        out = []
-        for old, new, path in zip(olds, news, paths, strict=True):
-            if old is None or new is None:
-                out.append(None)
-                continue
-            rows = list(difflib.unified_diff(old.split("\n"), new.split("\n"), f"a/{path}", f"b/{path}", lineterm=""))
-            out.append("\n".join(rows) + "\n" if rows else "")
-        yield pd.Series(out, dtype=object)
+@F.udf(T.StringType(), useArrow=False)
+def unified_diff(old: str | None, new: str | None, path: str | None) -> str | None:
+    """(old, new, path): with three lines of context; empty if the texts are equal, null if either is null.  Lines end at line feeds alone.
+
+    A row at a time: Arrow would send 10,000 whole texts at once.
+    """
+    if old is None or new is None:
+        return None
+    rows = list(difflib.unified_diff(old.split("\n"), new.split("\n"), f"a/{path}", f"b/{path}", lineterm=""))
+    return "\n".join(rows) + "\n" if rows else ""
 
 
 def _header_error(path: Column) -> Column:
