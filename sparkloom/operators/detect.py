@@ -1,19 +1,18 @@
 """Detection of UTF-8, UTF-16 and UTF-32 over files in chunks: counters of aligned blocks, summed, then decided in whole numbers.
 
-Blocks are whatever the chunks were, so any cut gives the same counters.  Blocks are counted with numpy straight in the Arrow
-buffer of a batch, all rows at once; a surrogate pair over a block's end is seen in the bytes that it shows of the next.
+Blocks are whatever the chunks were, so any cut gives the same counters.  A block is counted with numpy by itself, so a task's
+memory is that of a few blocks; a surrogate pair over a block's end is seen in the bytes that it shows of the next.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions.text import bom_type
 from sparkloom.operators import chunks as ch
@@ -60,29 +59,20 @@ def _runes(units: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.where((high | low) & ~pair, 255, classes()[code]), pair, broken
 
 
-def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, bytes padded, body) to counters.  Every row is MARGIN bytes, the body filled up to a multiple of 8, MARGIN bytes."""
-    for batch in batches:
-        column = batch.column(1)
-        ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        raw = np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
-        ends, body = ends - ends[0], batch.column(2).to_numpy()
-        out = []
-        for width, kind in SPECS.values():
-            units = raw.view(kind).astype(np.uint32)
-            inside = np.zeros(len(units) + 1, dtype=np.int64)
-            begin = (ends[:-1] + ch.MARGIN) // width
-            np.add.at(inside, begin, 1)
-            np.add.at(inside, begin + body // width, -1)
-            inside = np.cumsum(inside)[:-1] > 0
-            rune, pair, broken = _runes(units, width)
-            top = 8 * (width - 1)
-            flags = {
-                "units": inside, "runes": rune != 255, "good": rune == _GOOD, "control": rune == _CONTROL, "nul": rune == _NUL, "wrong": (rune == _REPLACEMENT) | (rune == _NONCHARACTER),
-                "pairs": pair, "zeros": units >> top == 0, "second": units >> (top - 8) & 0xFF == 0, "opposite": units & 0xFF == 0, "broken": broken,
-            }
-            out += [pa.array(np.add.reduceat((flags[f] & inside).astype(np.int64), ends[:-1] // width)) for f in FIELDS]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["key", *_NAMES])
+@F.udf(T.ArrayType(T.LongType()), useArrow=False)
+def _evidence(raw: bytes, body: int) -> list[int]:
+    """Counters of a block: MARGIN bytes, the body filled up to a multiple of 8, MARGIN bytes."""
+    whole, out = np.frombuffer(raw, dtype=np.uint8), []
+    for width, kind in SPECS.values():
+        units = whole.view(kind).astype(np.uint32)
+        inside = slice(ch.MARGIN // width, ch.MARGIN // width + body // width)
+        rune, pair, broken = (x[inside] for x in _runes(units, width))
+        own, top = units[inside], 8 * (width - 1)
+        kinds = np.bincount(rune, minlength=256)
+        zeros, second, opposite = own >> top == 0, own >> (top - 8) & 0xFF == 0, own & 0xFF == 0
+        out += [len(own), len(own) - kinds[255], kinds[_GOOD], kinds[_CONTROL], kinds[_NUL], kinds[_REPLACEMENT] + kinds[_NONCHARACTER]]
+        out += [np.count_nonzero(x) for x in (pair, zeros, second, opposite, broken)]
+    return [int(n) for n in out]
 
 
 _NAMES = [f"{spec}_{f}" for spec in SPECS for f in FIELDS]
@@ -93,9 +83,8 @@ def evidence(blocks: DataFrame, key: str) -> DataFrame:
     filled = F.expr(f"(body + 7) div 8 * 8 + {ch.MARGIN}").cast("int")
     shown = F.substring("content", F.col("lead") + 1, filled)
     padded = F.concat(F.lpad(F.substring("content", F.lit(1), F.col("lead")), F.lit(ch.MARGIN), F.lit(b"\0")), F.rpad(shown, filled, F.lit(b"\0")))
-    kind = blocks.schema[key].dataType.simpleString()
-    counted = blocks.select(F.col(key).alias("key"), padded.alias("raw"), F.col("body").cast("bigint")).mapInArrow(_evidence, f"key {kind}, " + ", ".join(f"`{n}` bigint" for n in _NAMES))
-    return counted.groupBy(F.col("key").alias(key)).agg(*[F.sum(f"`{n}`").alias(n) for n in _NAMES])
+    counted = blocks.select(key, _evidence(padded, F.col("body").cast("bigint")).alias("counters"))
+    return counted.groupBy(key).agg(*[F.sum(F.col("counters")[i]).alias(n) for i, n in enumerate(_NAMES)])
 
 
 def _of(spec: str):
