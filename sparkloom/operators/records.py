@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.sources.shared import cut
+
 #: The order of search hits.  Fixed values.
 SEARCH_ORDER = ("path", "start", "end", "symbol_id", "evidence", "language", "name", "kind", "qualified", "fingerprint")
 #: The order of relations.  Fixed values.
@@ -20,6 +22,14 @@ SOURCE_ORDER = ("start", "end", "name_start", "name_end", "symbol_id")
 EVIDENCE = ("structural", "scope-resolved", "project-resolved")
 #: More candidates than this are an error, not a shorter list.  Fixed value.
 MOST_CANDIDATES = 64
+#: Rows that a task sorts or groups at once; more rows make more tasks.  Fixed value.
+TASK_ROWS = 1 << 20
+
+
+def spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """About n rows dealt by keys over as many tasks as hold TASK_ROWS each; few rows are left to Spark."""
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(-(-n // TASK_ROWS), *keys) if n > most * TASK_ROWS else rows
 
 
 def symbol_matches(name: Column, qualified: Column, query: str, mode: str = "exact") -> Column:
@@ -106,12 +116,13 @@ def merge_parallel(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "tgt").agg(F.min_by("evidence", rank).alias("evidence"), F.when(same, F.min("resolution")).otherwise("ambiguous").alias("resolution"))
 
 
-def fit_budget(items: DataFrame, key: str, order: Sequence[str], budget: int, most: int) -> DataFrame:
+def fit_budget(items: DataFrame, key: str, order: Sequence[str], budget: int, most: int, rows: int = 0) -> DataFrame:
     """items (body, signature: costs or null) with part: body, signature or null (left out), and used: the budget spent so far.
 
     In order within a key: the body if it fits into what remains, else the signature, else the item is left out and spends
     nothing, so a later smaller one may fit; after `most` items all are left out.  That is sequential by definition: rows
-    stream through one task a key with three numbers of state, so a hot key costs time, not memory.
+    stream through one task a key with three numbers of state, so a hot key costs time, not memory.  rows: about how many items
+    there are, for the number of tasks; 0 leaves it to Spark.
     """
     out = T.StructType([*items.schema.fields, T.StructField("part", T.StringType()), T.StructField("used", T.LongType())])
 
@@ -132,7 +143,8 @@ def fit_budget(items: DataFrame, key: str, order: Sequence[str], budget: int, mo
                 spent.append(used)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.string()), pa.array(spent, pa.int64())], names=[*batch.schema.names, "part", "used"])
 
-    return items.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(fit, out)
+    dealt = spread(items, rows, key)
+    return (items.repartition(F.col(key)) if dealt is items else dealt).sortWithinPartitions(key, *order).mapInArrow(fit, out)
 
 
 def plan_context(targets: DataFrame, edges: DataFrame, sizes: DataFrame, budget: int, most: int, depth: int = 1) -> DataFrame:
@@ -143,14 +155,19 @@ def plan_context(targets: DataFrame, edges: DataFrame, sizes: DataFrame, budget:
     truncated: the body was asked for and did not fit, or the item was left out.
     """
     at = lambda rows, p: rows.select("request_id", "symbol_id", F.lit(p).alias("priority"))
+    edges = cut(edges, "edges")  # read once for each direction, and counted
+    n = edges.count()
     ahead = targets.join(edges, F.col("symbol_id") == F.col("src")).select("request_id", F.col("tgt").alias("symbol_id"))
     behind = targets.join(edges, F.col("symbol_id") == F.col("tgt")).select("request_id", F.col("src").alias("symbol_id"))
     tiers, level = at(targets, 0).union(at(ahead, 1)).union(at(behind, 2)), ahead
     for k in range(1, depth):
         level = level.distinct().join(edges, F.col("symbol_id") == F.col("src")).select("request_id", F.col("tgt").alias("symbol_id"))
         tiers = tiers.union(at(level, 2 + k))
-    first = tiers.groupBy("request_id", "symbol_id").agg(F.min("priority").alias("priority"))
-    planned = fit_budget(first.join(sizes, "symbol_id"), "request_id", ["priority", "symbol_id"], budget, most)
+    # The tiers are at least the edges in both directions, where each symbol is a target; further depths only estimate.
+    rows = n * (1 + depth)
+    first = spread(tiers, rows, "request_id", "symbol_id").groupBy("request_id", "symbol_id").agg(F.min("priority").alias("priority"))
+    sized = spread(first, rows, "symbol_id").join(sizes.hint("shuffle_hash"), "symbol_id")
+    planned = fit_budget(sized, "request_id", ["priority", "symbol_id"], budget, most, rows)
     short = F.col("part").isNull() | ((F.col("part") == "signature") & F.col("body").isNotNull())
     return planned.select("request_id", "symbol_id", "priority", "part", "used", short.alias("truncated"))
 

@@ -84,7 +84,9 @@ def relation_page(spark: SparkSession, d: str) -> DataFrame:
 def context_plan(spark: SparkSession, d: str) -> DataFrame:
     """Every part as a target, with its suppliers' and line items' parts around it, in 400 bytes and 12 items."""
     s = table(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_size").cast("bigint") * 4).alias("body"), (F.length("p_name") * 2).cast("bigint").alias("signature"))
-    return records.plan_context(s.select(F.col("symbol_id").alias("request_id"), "symbol_id"), _edges(spark, d).select("src", "tgt").distinct(), s, 400, 12)
+    edges = _edges(spark, d).select("src", "tgt")
+    edges = records.spread(edges, edges.count(), "src", "tgt")
+    return records.plan_context(s.select(F.col("symbol_id").alias("request_id"), "symbol_id"), edges.distinct(), s, 400, 12)
 
 
 def bounded_files(spark: SparkSession, d: str) -> DataFrame:

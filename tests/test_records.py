@@ -132,3 +132,15 @@ def test_markdown_edges(spark):
     assert got == [("a", 1, 7, 1, "A", None, "a"), ("a", 4, 7, 2, "B", 1, "b"), ("d", 1, 1, 1, "", None, ""), ("d", 2, 2, 1, "", None, "-1"), ("d", 3, 3, 1, "A", None, "a"), ("d", 4, 4, 1, "A", None, "a-1")]
     assert sorted(tuple(r) for r in markdown.links(texts).collect()) == [("e", 1, "a", "a"), ("e", 1, "e", "z"), ("e", 5, "none", "")]
     assert {(r["path"], r["kind"], r["detail"]) for r in markdown.diagnostics(texts, ["b"]).collect()} == {("e", "missing_document", "none"), ("e", "missing_fragment", "e#z"), ("c", "orphan", ""), ("d", "orphan", ""), ("e", "orphan", "")}
+
+
+def test_more_rows_make_more_tasks(spark, monkeypatch):
+    n = 400
+    symbols = spark.range(n).selectExpr("id as symbol_id", "id % 7 * 20 as body", "id % 3 as signature")
+    edges = spark.range(n * 5).selectExpr("id % 400 as src", "id * id % 397 as tgt").distinct()
+    plan = lambda: records.plan_context(symbols.selectExpr("symbol_id as request_id", "symbol_id"), edges, symbols, 200, 6)
+    small = sorted(map(tuple, plan().collect()), key=str)
+    monkeypatch.setattr(records, "TASK_ROWS", 100)
+    large = plan()
+    assert large.rdd.getNumPartitions() >= 2 * edges.count() // 100 > 8
+    assert sorted(map(tuple, large.collect()), key=str) == small and len(small) > n
