@@ -17,12 +17,23 @@ from sparkloom.llm import lang_id, mixing, ngram_join, pieces, quality
 from sparkloom.llm.common import Scratch, fresh, read
 from sparkloom.llm.queries import PIECE_BPE
 
+#: Whole texts that Arrow sends to a Python worker at once.  Spark's own 10,000 are a whole task's texts, held by the executor and by
+#: its worker, and a worker that lives on keeps that memory in all later stages.
+TEXTS = 500
 #: A document needs this posterior of its best language, and this calibrated chance of good quality.
 LANGUAGE_SCORE, QUALITY_SCORE = 0.5, 0.3
 
 
+def few_texts(spark: SparkSession) -> None:
+    """Arrow's batches of the session have TEXTS rows at most from now on, as a stage's rows are made when its caller writes them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXTS:
+        spark.conf.set(key, TEXTS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a clear language, as learned from those that have one."""
+    few_texts(spark)
     found = fresh(docs, "language")
     known = lang_id.identify(spark, docs, lang_id.train(docs), into=found)
     clear = (F.col(f"{found}.lang_pred") != lang_id.UNDETERMINED) & (F.col(f"{found}.score") >= LANGUAGE_SCORE)
@@ -31,6 +42,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of good quality, as learned from labels.quality."""
+    few_texts(spark)
     stats, score = fresh(docs, "stats"), fresh(docs, "score")
     _, model = quality.measure_and_fit(spark, docs, read(spark, sf_dir, "labels"), Scratch(spark, "quality"))
     scored = quality.score(spark, quality.with_statistics(docs, "text", stats), model, stats, score)
@@ -39,6 +51,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the smallest doc_id, of each group of near duplicates."""
+    few_texts(spark)
     gone, rows, place, again = (fresh(docs, name) for name in ("gone", "rows", "place", "again"))
     groups = ngram_join.join(spark, docs.select("doc_id", "text"), Scratch(spark, "groups"))
     lost = Scratch(spark, "gone").write(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "ids")
@@ -56,11 +69,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
+    few_texts(spark)
     return mixing.mix(spark, docs, Scratch(spark, "mix"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids_sha256, decoded_sha256, ids) of each document of the mix."""
+    few_texts(spark)
     made = pieces.encode(docs.select("doc_id", "source", "text"), PIECE_BPE)
     return made.select("doc_id", "source", "pieces.*")
 
