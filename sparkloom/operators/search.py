@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: A word boundary between ASCII words, whatever the letters around.
@@ -79,6 +80,36 @@ def likely_binary(text: Column) -> Column:
     return F.coalesce(head.contains("\0") | (F.regexp_count(head, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]")) * 10 >= F.length(head)) & (F.length(head) > 0), F.lit(False))
 
 
+def edits(a: str | None, b: str | None) -> int | None:
+    """Levenshtein distance of two strings by code points: a column of the table is one number of bits (Myers, Hyyrö)."""
+    if a is None or b is None:
+        return None
+    if a == b:
+        return 0
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, len(a) - 1
+    up, down, found = every, 0, len(a)
+    for c in b:
+        equal = places.get(c, 0)
+        level = ((((equal & up) + up) ^ up) | equal) & every
+        more, less = down | (every ^ (level | up)), up & level
+        found += (more >> last) - (less >> last)
+        equal |= down
+        more, less = (more << 1 | 1) & every, less << 1 & every
+        up, down = less | (every ^ (equal | more)), more & equal
+    return found
+
+
+#: A row at a time: texts are large, and Arrow would gather 10,000 of them.
+_edits = F.udf(edits, T.IntegerType(), useArrow=False)
+
+
 def fuzzy_windows(texts: DataFrame, key: str) -> DataFrame:
     """(key, ln, distance, similarity): each window of as many lines as the sought text has, with its edits to the sought text.
 
@@ -90,9 +121,10 @@ def fuzzy_windows(texts: DataFrame, key: str) -> DataFrame:
     cut = texts.select(key, own.alias("own"), framed[1].alias("a"), F.size(wanted).alias("n")).where("size(own) >= n")
     each = cut.select(key, "a", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("own") - F.col("n") + 1), lambda i: F.array_join(F.slice("own", i, F.col("n")), "\n"))).alias("at", "b"))
     x, y = (F.trim(F.regexp_replace(F.regexp_replace(c, r"[^\S\n]+", " "), " ?\n ?", "\n")) for c in ("a", "b"))
-    met = each.select(key, (F.col("at") + 1).alias("ln"), "a", "b", x.alias("x"), y.alias("y")).withColumn("distance", F.levenshtein("a", "b"))
-    edits = F.when((F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), F.col("distance")).otherwise(F.levenshtein("x", "y"))
-    return met.select(key, "ln", "distance", (1 - edits / F.greatest(F.length("x"), F.length("y"), F.lit(1))).alias("similarity"))
+    met = each.select(key, (F.col("at") + 1).alias("ln"), "a", "b", x.alias("x"), y.alias("y"))
+    same = (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))
+    met = met.withColumn("distance", _edits("a", "b")).withColumn("plain", _edits(F.when(~same, F.col("x")), F.when(~same, F.col("y"))))
+    return met.select(key, "ln", "distance", (1 - F.coalesce("plain", "distance") / F.greatest(F.length("x"), F.length("y"), F.lit(1))).alias("similarity"))
 
 
 def common_run(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

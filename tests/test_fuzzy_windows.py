@@ -1,5 +1,6 @@
 """The first line of a text against all its other lines, whole; the SQL, of two shortened lines, holds where nothing is shortened."""
 
+import random
 import re
 
 import duckdb
@@ -58,3 +59,17 @@ def test_all_lines_of_every_document(spark):
                 assert got[k, n] == by_hand(line, first)[0][1:]
                 checked += 1
     assert checked > 200
+
+
+def test_edits_by_brute_force():
+    draw = random.Random(5)
+    for n in [*range(12), 40, 70, 130] * 8:
+        a = "".join(draw.choice("abé🌍 ") for _ in range(n))
+        b = "".join(c for c in a if draw.random() < 0.8) + draw.choice(["", "b", "🌍a"])
+        assert search.edits(a, b) == search.edits(b, a) == edits(a, b)
+    assert search.edits(None, "a") is search.edits("a", None) is None
+
+
+def test_no_table_of_two_lines_is_filled_cell_by_cell(spark):
+    plan = catalog.QUERIES["fuzzy_match"](spark, FOLDER)._jdf.queryExecution().toString()
+    assert "levenshtein" not in plan and "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
