@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm import lang_id, mixing, ngram_join, pieces, quality
 from sparkloom.llm.common import Scratch, fresh, read
 from sparkloom.llm.queries import PIECE_BPE
+from sparkloom.llm.vectors import BATCH_BYTES, BYTES_KEY
 
 #: Whole texts that Arrow sends to a Python worker at once.  Spark's own 10,000 are a whole task's texts, held by the executor and by
 #: its worker, and a worker that lives on keeps that memory in all later stages.
@@ -25,7 +26,8 @@ LANGUAGE_SCORE, QUALITY_SCORE = 0.5, 0.3
 
 
 def few_texts(spark: SparkSession) -> None:
-    """Arrow's batches of the session have TEXTS rows at most from now on, as a stage's rows are made when its caller writes them."""
+    """Arrow's batches of the session have TEXTS rows and about BATCH_BYTES at most from now on, as a stage's rows are made when its caller writes them."""
+    spark.conf.set(BYTES_KEY, BATCH_BYTES)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= TEXTS:
         spark.conf.set(key, TEXTS)

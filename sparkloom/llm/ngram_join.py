@@ -41,7 +41,7 @@ from pyspark.sql.types import LongType
 from sparkloom.llm.common import Scratch, strings
 from sparkloom.llm.components import components
 from sparkloom.llm.shingles import mix, shingle_sets
-from sparkloom.llm.vectors import BatchRows
+from sparkloom.llm.vectors import BATCH_BYTES, BatchBytes, BatchRows
 
 #: Similarity as a fraction.
 OVER, UNDER = 75, 100
@@ -58,6 +58,10 @@ LARGEST = (1 << FIELD) - 1
 #: Shingles in a block of a bundle, about.
 BLOCK = 1 << 16
 RANGES = 32
+#: Rows of numbers that are sent to Python at once; BATCH_BYTES bounds those of texts and sets.
+ROWS = 10_000
+#: Pairs whose products a task holds at once.
+STRIP = 1 << 19
 #: Candidates for each member beyond which a list is compared in blocks.
 FEW = 8
 
@@ -366,17 +370,20 @@ def _list_pairs(few: int):
     all others already.
     """
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, np.ndarray]] = []
             crowded: list[int] = []
-            for token, head, members in zip(batch["token"], batch["head"], batch["members"], strict=True):
-                doc, of, n, pos = (np.array([m[k] for m in members], dtype=np.int64) for k in ("doc_id", "component", "n", "pos"))
+            flat = batch.column(2).flatten()
+            fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "component", "n", "pos")]
+            cuts = np.append(0, np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False)))
+            for token, head, start, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                doc, of, n, pos = (x[start:end] for x in fields)
                 rest = doc != head
                 doc, of, n, pos = doc[rest], of[rest], n[rest], pos[rest]
                 found, total = [], 0
-                for start in range(0, len(doc), 256):
-                    i = slice(start, start + 256)
+                for at in range(0, len(doc), 256):
+                    i = slice(at, at + 256)
                     less, more = np.minimum(n[i, None], n[None]), np.maximum(n[i, None], n[None])
                     bound = np.minimum(pos[i, None], pos[None]) + 1 + np.minimum((n - pos)[i, None], (n - pos)[None]) - 1
                     least = (OVER * (n[i, None] + n[None]) + OVER + UNDER - 1) // (OVER + UNDER)
@@ -393,9 +400,10 @@ def _list_pairs(few: int):
                     out.extend(found)
             if out:
                 a, b = np.unique(np.stack([np.concatenate(side) for side in zip(*out, strict=True)]), axis=1)
-                yield pd.DataFrame({"a": a, "b": b, "token": None}).astype("Int64")
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "token"])
             if crowded:
-                yield pd.DataFrame({"a": None, "b": None, "token": crowded}).astype("Int64")
+                none = pa.nulls(len(crowded), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(crowded, pa.int64())], ["a", "b", "token"])
 
     return pairs
 
@@ -407,11 +415,15 @@ def _tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             left, right = row.left, row.right
             sides = [([np.frombuffer(m["shingles"], dtype=np.uint64) for m in side], np.array([m["doc_id"] for m in side]), np.array([m["component"] for m in side])) for side in (left, right)]
             (xs, x_ids, x_of), (ys, y_ids, y_of) = sides
-            common = _products(xs, ys)
-            n, m = np.array([len(x) for x in xs])[:, None], np.array([len(y) for y in ys])[None, :]
-            i, j = np.nonzero(_linked(common, n, m) & (x_of[:, None] != y_of[None, :]))
-            if len(i):
-                yield pd.DataFrame({"a": x_ids[i], "b": y_ids[j]})
+            m = np.array([len(y) for y in ys])[None, :]
+            # Blocks of small sets have many of them: their products are made and read in strips.
+            height = max(1, STRIP // len(ys))
+            for start in range(0, len(xs), height):
+                strip = slice(start, start + height)
+                n = np.array([len(x) for x in xs[strip]])[:, None]
+                i, j = np.nonzero(_linked(_products(xs[strip], ys), n, m) & (x_of[strip, None] != y_of[None, :]))
+                if len(i):
+                    yield pd.DataFrame({"a": x_ids[strip][i], "b": y_ids[j]})
 
 
 def _products(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -458,6 +470,11 @@ def _small(rows: DataFrame) -> DataFrame:
 
 def join(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot: int = HOT, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs (doc_id, text)."""
+    with BatchBytes(spark, BATCH_BYTES), BatchRows(spark, ROWS):
+        return _join(spark, docs, scratch, hot, few, block)
+
+
+def _join(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot: int, few: int, block: int) -> DataFrame:
     profile = scratch.write(profiles(spark, docs, frequency_order(docs, hot)), "profiles")
     sizes = scratch.write(profile.select("doc_id", "high", "low", "n_shingles"), "sizes")
     again = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("high", "low")).alias("a"), F.max(F.struct("high", "low")).alias("b")).where("rows > 1")
@@ -500,7 +517,7 @@ def join(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot: int = HOT,
     rest = F.when(F.col("doc_id") != F.col("head"), F.col("component"))
     gathered = owned.where("salt = 0").groupBy("token").agg(F.first("head").alias("head"), F.min(rest).alias("low"), F.max(rest).alias("high"), F.collect_list(F.struct("doc_id", "component", "n", "pos")).alias("members"))
     with BatchRows(spark, 128):
-        found = scratch.write(gathered.where("low <> high").select("token", "head", "members").mapInPandas(_list_pairs(few), "a bigint, b bigint, token bigint"), "found")
+        found = scratch.write(gathered.where("low <> high").select("token", "head", "members").mapInArrow(_list_pairs(few), "a bigint, b bigint, token bigint"), "found")
     unmet = scratch.write(found.where("a is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "unmet")
     more = _verified(texts, unmet, scratch, "more")
     scratch.drop("profiles")

@@ -33,11 +33,18 @@ def unpack(packed: bytes, width: int, dtype: type = np.float64) -> np.ndarray:
 
 
 
+#: Bytes after which an Arrow batch to Python is full; Spark's own 64 MB are held twice or more by the executor and by its worker.
+BATCH_BYTES = 4 << 20
+BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 class BatchRows:
     """with BatchRows(spark, n): jobs started inside send at most n rows at a time to Python."""
 
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
     def __init__(self, spark: SparkSession, rows: int):
-        self.spark, self.rows, self.key = spark, rows, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        self.spark, self.rows = spark, rows
 
     def __enter__(self) -> None:
         self.before = self.spark.conf.get(self.key)
@@ -45,3 +52,9 @@ class BatchRows:
 
     def __exit__(self, *_) -> None:
         self.spark.conf.set(self.key, self.before)
+
+
+class BatchBytes(BatchRows):
+    """with BatchBytes(spark, n): jobs started inside send at most n bytes, and the row that exceeds them, at a time to Python."""
+
+    key = BYTES_KEY
