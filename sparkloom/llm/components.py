@@ -1,23 +1,82 @@
-"""Connected components by alternating large-star and small-star steps, each written to the shared folder."""
+"""Connected components: tasks contract bounded shares of the edges, then alternate large-star and small-star steps.
+
+Each step is written to the shared folder.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int = 60) -> DataFrame:
+#: Edges that a task contracts at once.
+LOCAL = 1 << 18
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node that some edges name, and the smallest node that they lead to."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        open_ = low != high
+        if not open_.any():
+            return nodes, nodes[root]
+        a, b = a[open_], b[open_]
+        np.minimum.at(root, high[open_], low[open_])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _contract(local: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Edges that connect what those of the task connect: from each node to the smallest one, by shares of about local edges."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
+            size += len(batch)
+            if size > 2 * local:
+                held = [forest(*(np.concatenate(side) for side in zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > local:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["u", "v"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*(np.concatenate(side) for side in zip(*held, strict=True)))], ["u", "v"])
+
+    return contract
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str, most_rounds: int = 60, local: int = LOCAL) -> DataFrame:
     """(node, component): the smallest node reachable from each node that edges (u, v) name.
 
-    Nodes without an edge do not appear; a self-loop makes a node its own component.  Minima are aggregated
-    before they are joined back, so the many edges of one hub are split like any skewed join.
+    Nodes without an edge do not appear; a self-loop makes a node its own component.  Tasks first contract local
+    edges each, whichever these are, as long as that halves the table; if they fit into one task, it has found all.
+    In the steps after that minima are aggregated before they are joined back, so the many edges of one hub are split
+    like any skewed join.
     """
     at = 0
-    current = scratch.write(
-        edges.where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-{at}"
-    )
+    current = scratch.write(edges.where("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), f"{name}-{at}")
+    n = current.count()
+    while True:
+        tasks = max(1, -(-n // local))
+        at += 1
+        after = scratch.write(current.coalesce(tasks).mapInArrow(_contract(local), current.schema), f"{name}-{at}")
+        scratch.drop(f"{name}-{at - 1}")
+        if tasks == 1:
+            return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        current, before, n = after, n, after.count()
+        if 2 * n > before:
+            break
     seen = None
     for _ in range(most_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))

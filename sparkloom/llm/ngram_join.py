@@ -138,7 +138,7 @@ def frequency_order(docs: DataFrame, hot: int = HOT) -> Order:
     parts = docs.select("text").mapInArrow(count, schema).withColumn("part", F.spark_partition_id())
     parts = parts.repartition(SLICES, "slice", F.floor(F.col("part") / PARTS)).select("slice", "counts").mapInPandas(_add_packed, schema).repartition(SLICES, "slice").mapInPandas(_add_packed, schema)
     total = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES))
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # one job; an iterator would start one for each shuffle partition
         total[row["slice"]] += np.frombuffer(zlib.decompress(row["counts"]), dtype="<u8")
     return Order(np.minimum(255, np.round(STEPS * np.log2(1 + total))).astype(np.uint8).ravel(), float(total.mean()), hot)
 
@@ -494,7 +494,7 @@ def _join(spark: SparkSession, docs: DataFrame, scratch: Scratch, hot: int, few:
 
     digest = keyed(sizes.where("n_shingles > 0 and doc_id is not null"))
     first = digest.groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("v"))
-    copies = digest.join(first, ["high", "low", "n_shingles"]).select(F.col("doc_id").alias("u"), "v")
+    copies = digest.join(first, ["high", "low", "n_shingles"]).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
 
     prefixes = keyed(profile.where("tokens is not null")).select("doc_id", "n_shingles", "tokens", "salts", "centrality")
     entries = prefixes.mapInArrow(_entries, "key bigint, doc_id bigint, info bigint")
