@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 from sparkloom.functions import text as fx
 
 _HEADER = r"^@@ -(\d{1,9})(?:,(\d{1,9}))? \+(\d{1,9})(?:,(\d{1,9}))? @@"
-#: More hunks than this are refused.  Fixed value.
-MOST_HUNKS = 1000
 #: Characters outside a charset, by its name.  Fixed values.
 LACKS = {"ascii": r"[^\x00-\x7F]", "iso-8859-1": r"[^\x00-\xFF]"}
 
@@ -40,7 +38,6 @@ def _header_error(path: Column) -> Column:
         .when(F.exists(F.slice(lines, 3, F.size(lines)), lambda x: x.startswith("--- ") | x.startswith("+++ ")), "several files")
         .when(F.exists(lines, lambda x: x == "\\ No newline at end of file"), "no-newline mark")
         .when(F.size("heads") == 0, "no hunk")
-        .when(F.size("heads") > MOST_HUNKS, f"more than {MOST_HUNKS} hunks")
         .when(F.exists(F.slice(lines, F.lit(3), first - 2), lambda x: x != ""), "text before the first hunk")
     )
 
@@ -75,9 +72,12 @@ def apply_patches(rows: DataFrame, text: str, patch: str, path: str | None = Non
     own = own.withColumn("heads", heads).withColumn("wrong", _header_error(F.col(f"row.{path}") if path else F.lit(None)))
     # What has no sound header has no hunks.
     own = own.withColumn("hunks", F.when(F.col("wrong").isNull(), F.transform("heads", _hunk)))
-    grown = lambda k: F.aggregate(F.slice("hunks", F.lit(1), k), F.lit(0), lambda n, h: n + F.size(h["put"]) - F.size(h["taken"]))
     end = lambda h: h["at"] + F.size(h["taken"])
-    before = lambda k: F.coalesce(F.try_element_at(F.col("hunks"), F.when(k > 0, k))["at"] + F.size(F.try_element_at(F.col("hunks"), F.when(k > 0, k))["taken"]), F.lit(0))
+    last = lambda k: F.try_element_at(F.col("hunks"), F.when(k > 0, k))
+    before = lambda k: F.coalesce(end(last(k)), F.lit(0))
+    new_at = lambda h: h["new_start"] - F.when(F.size(h["put"]) > 0, 1).otherwise(0)
+    # Both sides have as many lines between two hunks.  Told from the hunk before, as a sum over all of them is quadratic; the first wrong hunk is the same.
+    new_before = lambda k: F.coalesce(new_at(last(k)) + F.size(last(k)["put"]), F.lit(0))
 
     def wrong(h: Column, k: Column) -> Column:
         outside = (h["at"] < before(k)) | (end(h) > F.size("source"))
@@ -86,7 +86,7 @@ def apply_patches(rows: DataFrame, text: str, patch: str, path: str | None = Non
             .when(~h["fits"], "not as many lines as announced")
             .when(outside, "overlaps or lies outside")
             .when(F.slice("source", h["at"] + 1, F.size(h["taken"])) != h["taken"], "the source differs")
-            .when(h["new_start"] != h["at"] + grown(k) + F.when(F.size(h["put"]) > 0, 1).otherwise(0), "another new start")
+            .when(new_at(h) - new_before(k) != h["at"] - before(k), "another new start")
         )
 
     found = F.filter(F.transform("hunks", lambda h, k: F.concat(F.lit("hunk at line "), h["line"].cast("string"), F.lit(": "), wrong(h, k))), lambda e: e.isNotNull())
